@@ -302,13 +302,14 @@ def stencil_cross(spark, sf):
 
 @query
 def lambda2(spark, sf):
-    rows = view(spark, sf, "hessian").withColumn("lambda2", stencil.middle_eigenvalue())
+    rows = stencil.with_middle_eigenvalue(view(spark, sf, "hessian"))
     return rounded(rows.select("mol_id", "line", "l_partkey", "l_suppkey", "lambda2"), 7, "lambda2")
 
 
 @query
 def nci_field(spark, sf):
-    return rounded(stencil.interaction_field(_differences(spark, sf)), 8, "rho", "rdg", "sl2rho")
+    field_rows = stencil.interaction_field(stencil.with_shape(view(spark, sf, "grid")))
+    return rounded(field_rows, 8, "rho", "rdg", "sl2rho")
 
 
 # --- batches ----------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from molframe.constants import CARTESIAN_POWERS, GRID_PADDING, GRID_SPACING, RHO_CEILING, RHO_FLOOR
 from molframe.operators.basis import usable
 from molframe.operators.grid import BRICK, explode_bricks, extents_of_arrays, grid_specs
-from molframe.operators.stencil import DERIVATIVES, difference_arrays, interaction_field
+from molframe.operators.stencil import FIELDS, field_arrays
 
 VALUES_PER_CHUNK = 4_000_000
 
@@ -67,9 +67,8 @@ def _block_density(wave: dict, axes: list[np.ndarray], normalise: bool) -> np.nd
                 basis[row] = value.ravel()
                 row += 1
         psi = wave["coef"] @ basis
-        out[at : at + step] = np.einsum("op,op,o->p", psi, psi, wave["occ"], optimize=True).reshape(
-            out[at : at + step].shape
-        )
+        np.multiply(psi, psi, out=psi)
+        out[at : at + step] = (wave["occ"] @ psi).reshape(out[at : at + step].shape)
     return np.maximum(np.nan_to_num(out, nan=0.0, posinf=RHO_CEILING, neginf=0.0), 0.0)
 
 
@@ -90,26 +89,24 @@ def _wave(row: dict) -> dict:
     return {"shells": shells, "coef": coef, "occ": np.array([o["occ"] for o in orbitals], dtype=float)}
 
 
-def _brick_batch(row: dict, key: pa.Scalar, differences: bool, normalise: bool) -> pa.RecordBatch:
+def _brick_batch(row: dict, wave: dict, measure, normalise: bool) -> list[np.ndarray]:
+    """Index and value columns of one brick; ``measure`` sees one more plane where a neighbour follows."""
     own = [(row[f"{lo}lo"], row[f"{lo}hi"]) for lo in "ijk"]
-    halo = 1 if differences else 0
+    halo = 1 if measure else 0
     wide = [(max(a - halo, 0), min(b + halo, row[f"n{c}"])) for (a, b), c in zip(own, "xyz")]
     axes = [row[f"{c}0"] + np.arange(*r) * row["h"] for c, r in zip("xyz", wide)]
-    rho = _block_density(_wave(row), axes, normalise)
-    arrays = [rho, *difference_arrays(rho, row["h"])] if differences else [rho]
+    rho = _block_density(wave, axes, normalise)
     inner = tuple(slice(a - w, b - w) for (a, b), (w, _) in zip(own, wide))
     index = np.meshgrid(*[np.arange(a, b, dtype=np.int32) for a, b in own], indexing="ij")
-    columns = [pa.array(i.ravel()) for i in index] + [pa.array(a[inner].ravel()) for a in arrays]
-    columns.insert(0, pa.repeat(key, len(columns[0])))
-    columns += [pa.repeat(pa.scalar(float(row[n])), len(columns[0])) for n in ("x0", "y0", "z0", "h")]
-    names = ["mol_id", "ix", "iy", "iz", "rho", *(DERIVATIVES if differences else ()), "x0", "y0", "z0", "h"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    place = [row[f"{c}0"] + i * row["h"] for c, i in zip("xyz", index)]
+    values = [rho, *measure(rho, row["h"])] if measure else [rho]
+    return [a.ravel() for a in (*index, *place, *[v[inner] for v in values])]
 
 
-def _evaluate(wf: DataFrame, spacing: float, padding: float, brick: int, differences: bool, normalise: bool):
+def _evaluate(wf: DataFrame, spacing: float, padding: float, brick: int, normalise: bool, names, measure):
     key_type = wf.schema["mol_id"].dataType.simpleString()
-    values = ["rho", *(DERIVATIVES if differences else ()), "x0", "y0", "z0", "h"]
-    schema = f"mol_id {key_type}, ix int, iy int, iz int, " + ", ".join(f"{v} double" for v in values)
+    columns = ["x", "y", "z", "rho", *names]
+    schema = f"mol_id {key_type}, ix int, iy int, iz int, " + ", ".join(f"{v} double" for v in columns)
     rows = usable(wf).select(
         "mol_id",
         "atoms",
@@ -119,22 +116,23 @@ def _evaluate(wf: DataFrame, spacing: float, padding: float, brick: int, differe
         *extents_of_arrays(),
     )
     bricks = explode_bricks(grid_specs(rows, spacing, padding), brick)
-    if differences:
+    if measure:
         bricks = bricks.filter((F.col("nx") > 1) & (F.col("ny") > 1) & (F.col("nz") > 1))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, wave = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield _brick_batch(row.to_pylist()[0], row.column("mol_id")[0], differences, normalise)
+                key = batch.column("mol_id")[i]
+                scalars = batch.slice(i, 1).drop_columns(["mol_id", "atoms", "shells", "orbitals"])
+                if key != seen:
+                    seen = key
+                    wave = _wave(batch.slice(i, 1).select(["atoms", "shells", "orbitals"]).to_pylist()[0])
+                arrays = _brick_batch(scalars.to_pylist()[0], wave, measure, normalise)
+                arrays = [pa.repeat(key, len(arrays[0])), *map(pa.array, arrays)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["mol_id", "ix", "iy", "iz", *columns])
 
-    return bricks.mapInArrow(evaluate, schema)
-
-
-def _placed(points: DataFrame) -> DataFrame:
-    place = lambda c: (F.col(f"{c}0") + F.col(f"i{c}") * F.col("h")).alias(c)
-    kept = [c for c in points.columns if c not in ("mol_id", "ix", "iy", "iz", "x0", "y0", "z0", "h")]
-    return points.select("mol_id", "ix", "iy", "iz", *[place(c) for c in "xyz"], *kept)
+    return bricks.sortWithinPartitions("mol_id").mapInArrow(evaluate, schema)
 
 
 def density(
@@ -145,7 +143,7 @@ def density(
     normalise: bool = False,
 ) -> DataFrame:
     """``(mol_id, ix, iy, iz, x, y, z, rho)`` on each molecule's grid."""
-    return _placed(_evaluate(wf, spacing, padding, brick, False, normalise))
+    return _evaluate(wf, spacing, padding, brick, normalise, (), None)
 
 
 def field(
@@ -157,5 +155,5 @@ def field(
     rho_floor: float = RHO_FLOOR,
 ) -> DataFrame:
     """``(mol_id, ix, iy, iz, x, y, z, rho, rdg, sl2rho)`` on each molecule's grid."""
-    points = _evaluate(wf, spacing, padding, brick, True, normalise)
-    return _placed(interaction_field(points, rho_floor))
+    measure = lambda rho, h: field_arrays(rho, h, rho_floor)
+    return _evaluate(wf, spacing, padding, brick, normalise, FIELDS, measure)

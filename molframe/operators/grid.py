@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from molframe.constants import ANGSTROM_TO_BOHR, GRID_PADDING, GRID_SPACING
 
-BRICK = 32
+BRICK = 40
 
 
 def grid_specs(
@@ -46,23 +46,31 @@ def extents_of_arrays(atoms: str = "atoms") -> list[Column]:
 
 
 def brick_count(n: Column | str, brick: int = BRICK) -> Column:
-    """A short last brick joins its neighbour, so a brick spans ``brick`` to ``2 * brick - 1`` planes."""
-    n = F.col(n) if isinstance(n, str) else n
-    return F.greatest(F.floor(n / brick), F.lit(1)).cast("int")
+    """Number of near-equal bricks of at most ``brick`` planes along an axis of ``n`` planes."""
+    return F.ceil((F.col(n) if isinstance(n, str) else n) / brick).cast("int")
+
+
+def brick_start(b: Column, n: Column, count: Column) -> Column:
+    """First plane of brick ``b``; plane ``i`` belongs to brick ``((i + 1) * count - 1) div n``."""
+    return F.floor(b * n / count).cast("int")
+
+
+def brick_tasks(df: DataFrame) -> int:
+    """A fixed task count: a brick row is small but its work is not, so sizes must not merge tasks."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def explode_bricks(specs: DataFrame, brick: int = BRICK) -> DataFrame:
     """One row per brick, with its half-open index ranges ``ilo, ihi, jlo, jhi, klo, khi``; evenly spread."""
     for axis, lo in zip("xyz", "ijk"):
-        last = brick_count(f"n{axis}", brick) - 1
+        n, count = F.col(f"n{axis}"), brick_count(f"n{axis}", brick)
         specs = (
-            specs.withColumn("_b", F.explode(F.sequence(F.lit(0), last)))
-            .withColumn(f"{lo}lo", F.col("_b") * brick)
-            .withColumn(
-                f"{lo}hi", F.when(F.col("_b") == last, F.col(f"n{axis}")).otherwise((F.col("_b") + 1) * brick)
-            )
+            specs.withColumn("_b", F.explode(F.sequence(F.lit(0), count - 1)))
+            .withColumn(f"{lo}lo", brick_start(F.col("_b"), n, count))
+            .withColumn(f"{lo}hi", brick_start(F.col("_b") + 1, n, count))
         )
-    return specs.drop("_b").repartition("mol_id", "ilo", "jlo", "klo")
+    return specs.drop("_b").repartition(brick_tasks(specs), "mol_id", "ilo", "jlo", "klo")
 
 
 def grid_points(specs: DataFrame, brick: int = BRICK) -> DataFrame:

@@ -1,8 +1,7 @@
 """Finite differences on grids, and the interaction field built from them.
 
 A grid is cut into bricks that carry one plane of their neighbours. One shuffle brings a brick together,
-a brick never holds more than ``(2 * BRICK + 1) ** 3`` points, and everything after the differences is
-ordinary columns.
+a brick never holds more than ``(BRICK + 2) ** 3`` points.
 """
 
 from __future__ import annotations
@@ -15,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.constants import RHO_CEILING, RHO_FLOOR
-from molframe.operators.grid import BRICK, brick_count
+from molframe.operators.grid import BRICK, brick_count, brick_start
+from molframe.sources.text import fix_columns
 
 DERIVATIVES = ("gx", "gy", "gz", "hxx", "hyy", "hzz", "hxy", "hxz", "hyz")
+FIELDS = ("rdg", "sl2rho")
+RDG_SCALE = 1.0 / (2.0 * (3.0 * math.pi**2) ** (1.0 / 3.0))
 
 
 def _along(axis: int, part: slice) -> tuple:
@@ -79,22 +81,35 @@ def with_shape(points: DataFrame) -> DataFrame:
 
 def _brick_of(axis: str, brick: int) -> Column:
     """The bricks that need a plane: its owner, and the neighbour it borders on."""
-    i, count = F.col(f"i{axis}"), brick_count(f"n{axis}", brick)
-    own = F.least(F.floor(i / brick), count - 1).cast("int")
-    below = F.when((i == own * brick) & (own > 0), own - 1)
-    above = F.when((i == (own + 1) * brick - 1) & (own < count - 1), own + 1)
+    i, n, count = F.col(f"i{axis}"), F.col(f"n{axis}"), brick_count(f"n{axis}", brick)
+    own = F.floor(((i + 1) * count - 1) / n).cast("int")
+    below = F.when((own > 0) & (i == brick_start(own, n, count)), own - 1)
+    above = F.when((own < count - 1) & (i + 1 == brick_start(own + 1, n, count)), own + 1)
     return F.array_compact(F.array(own, below, above))
 
 
-def derivatives(points: DataFrame, brick: int = BRICK) -> DataFrame:
-    """Differences of ``rho`` on complete grids.
-
-    ``points`` holds ``(mol_id, ix, iy, iz, rho, h, nx, ny, nz)``; the result adds ``DERIVATIVES``.
-    Axes need at least two points (see :func:`too_thin`).
-    """
+def _brick_table(key: tuple, table: pa.Table, brick: int, measure) -> list[pa.Array]:
+    """Lay a brick out as an array, apply ``measure(rho, h)`` and keep the brick's own points."""
+    at = [table.column(f"i{c}").to_numpy() for c in "xyz"]
+    low = [a.min() for a in at]
+    block = np.full([a.max() - b + 1 for a, b in zip(at, low)], np.nan)
+    local = tuple(a - b for a, b in zip(at, low))
+    block[local] = table.column("rho").to_numpy()
+    own = np.ones(table.num_rows, dtype=bool)
+    for axis, place, index in zip("xyz", key[1:], at):
+        n = table.column(f"n{axis}")[0].as_py()
+        own &= ((index + 1) * -(-n // brick) - 1) // n == place.as_py()
+    keep = tuple(a[own] for a in local)
+    columns = [table.column("mol_id").filter(pa.array(own))]
+    columns += [pa.array(a[own], pa.int32()) for a in at] + [pa.array(block[keep])]
+    columns += [pa.array(a[keep]) for a in measure(block, table.column("h")[0].as_py())]
+    return columns
+
+
+def _by_brick(points: DataFrame, brick: int, names: tuple[str, ...], measure) -> DataFrame:
     key_type = points.schema["mol_id"].dataType.simpleString()
     schema = f"mol_id {key_type}, ix int, iy int, iz int, rho double, " + ", ".join(
-        f"{d} double" for d in DERIVATIVES
+        f"{d} double" for d in names
     )
     spread = points.filter((F.col("nx") > 1) & (F.col("ny") > 1) & (F.col("nz") > 1)).select(
         "mol_id",
@@ -106,26 +121,26 @@ def derivatives(points: DataFrame, brick: int = BRICK) -> DataFrame:
         spread = spread.withColumn(f"b{axis}", F.explode(_brick_of(axis, brick)))
 
     def one_brick(key: tuple, table: pa.Table) -> pa.Table:
-        at = [table.column(f"i{c}").to_numpy() for c in "xyz"]
-        low = [a.min() for a in at]
-        shape = [a.max() - b + 1 for a, b in zip(at, low)]
-        local = tuple(a - b for a, b in zip(at, low))
-        block = np.full(shape, np.nan)
-        block[local] = table.column("rho").to_numpy()
-        own = np.ones(table.num_rows, dtype=bool)
-        for axis, place, index in zip("xyz", key[1:], at):
-            place = place.as_py()
-            last = place == max(table.column(f"n{axis}")[0].as_py() // brick, 1) - 1
-            own &= (index >= place * brick) & (last | (index < (place + 1) * brick))
-        keep = tuple(a[own] for a in local)
-        arrays = [a[keep] for a in [block, *difference_arrays(block, table.column("h")[0].as_py())]]
-        columns = [table.column("mol_id").filter(pa.array(own))]
-        columns += [pa.array(a[own], pa.int32()) for a in at] + [pa.array(a) for a in arrays]
-        return pa.table(columns, names=["mol_id", "ix", "iy", "iz", "rho", *DERIVATIVES])
+        columns = _brick_table(key, table, brick, measure)
+        return pa.table(columns, names=["mol_id", "ix", "iy", "iz", "rho", *names])
 
     return spread.groupBy("mol_id", "bx", "by", "bz").applyInArrow(one_brick, schema)
 
 
+def derivatives(points: DataFrame, brick: int = BRICK) -> DataFrame:
+    """Differences of ``rho`` on complete grids.
+
+    ``points`` holds ``(mol_id, ix, iy, iz, rho, h, nx, ny, nz)``; the result adds ``DERIVATIVES``.
+    Axes need at least two points (see :func:`too_thin`).
+    """
+    return _by_brick(points, brick, DERIVATIVES, difference_arrays)
+
+
+def interaction_field(points: DataFrame, rho_floor: float = RHO_FLOOR, brick: int = BRICK) -> DataFrame:
+    """As :func:`derivatives`, but adds only ``rdg`` and ``sl2rho``."""
+    return _by_brick(points, brick, FIELDS, lambda rho, h: field_arrays(rho, h, rho_floor))
+
+
 def too_thin(points: DataFrame) -> DataFrame:
     """Rejects: grids with an axis of a single point have no differences."""
     thin = (F.col("nx") < 2) | (F.col("ny") < 2) | (F.col("nz") < 2)
@@ -136,47 +151,43 @@ def too_thin(points: DataFrame) -> DataFrame:
     )
 
 
-def gradient_norm() -> Column:
-    return F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
-
-
-def middle_eigenvalue() -> Column:
-    """Second eigenvalue of the symmetric Hessian, in closed form."""
+def with_middle_eigenvalue(df: DataFrame, name: str = "lambda2") -> DataFrame:
+    """Second eigenvalue of the symmetric Hessian in columns ``hxx .. hyz``, in closed form."""
     c = F.col
-    third = (c("hxx") + c("hyy") + c("hzz")) / 3
+    df = fix_columns(df, _t=(c("hxx") + c("hyy") + c("hzz")) / 3)
+    df = fix_columns(df, **{f"_d{a}": c(f"h{a}{a}") - c("_t") for a in "xyz"})
     off = c("hxy") * c("hxy") + c("hxz") * c("hxz") + c("hyz") * c("hyz")
-    dx, dy, dz = (c(n) - third for n in ("hxx", "hyy", "hzz"))
-    p = F.sqrt((dx * dx + dy * dy + dz * dz + 2 * off) / 6)
+    spread = c("_dx") * c("_dx") + c("_dy") * c("_dy") + c("_dz") * c("_dz") + 2 * off
     det = (
-        dx * (dy * dz - c("hyz") * c("hyz"))
-        - c("hxy") * (c("hxy") * dz - c("hyz") * c("hxz"))
-        + c("hxz") * (c("hxy") * c("hyz") - dy * c("hxz"))
-    )
-    safe = F.when(p > 0, p)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * safe * safe * safe)))
-    turn = F.acos(cosine) / 3
-    high = third + 2 * p * F.cos(turn)
-    low = third + 2 * p * F.cos(turn + 2 * math.pi / 3)
-    return F.when(p > 0, 3 * third - high - low).otherwise(third)
-
-
-def reduced_gradient(rho_floor: float = RHO_FLOOR) -> Column:
-    """Gradient over density to the power 4/3, scaled; 0 below the density floor."""
-    scale = 1.0 / (2.0 * (3.0 * math.pi**2) ** (1.0 / 3.0))
-    size = F.abs("rho")
-    return F.when(size < rho_floor, 0.0).otherwise(
-        F.lit(scale) * gradient_norm() / F.pow(F.greatest(size, F.lit(rho_floor)), F.lit(4.0 / 3.0))
-    )
-
-
-def signed_density() -> Column:
-    return F.signum(middle_eigenvalue()) * F.col("rho")
-
-
-def interaction_field(differences: DataFrame, rho_floor: float = RHO_FLOOR) -> DataFrame:
-    """Replace the differences by ``rdg`` and ``sl2rho``."""
-    return (
-        differences.withColumn("rdg", reduced_gradient(rho_floor))
-        .withColumn("sl2rho", signed_density())
-        .drop(*DERIVATIVES)
+        c("_dx") * (c("_dy") * c("_dz") - c("hyz") * c("hyz"))
+        - c("hxy") * (c("hxy") * c("_dz") - c("hyz") * c("hxz"))
+        + c("hxz") * (c("hxy") * c("hyz") - c("_dy") * c("hxz"))
     )
+    df = fix_columns(df, _p=F.sqrt(spread / 6), _det=det)
+    cube = F.when(c("_p") > 0, 2 * c("_p") * c("_p") * c("_p"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("_det") / cube))
+    df = fix_columns(df, _turn=F.acos(cosine) / 3)
+    middle = c("_t") - 2 * c("_p") * (F.cos("_turn") + F.cos(c("_turn") + 2 * math.pi / 3))
+    helpers = ("_t", "_dx", "_dy", "_dz", "_p", "_det", "_turn")
+    return df.withColumn(name, F.when(c("_p") > 0, middle).otherwise(c("_t"))).drop(*helpers)
+
+
+def middle_eigenvalues(hessian: list[np.ndarray]) -> np.ndarray:
+    """The same closed form for arrays ``hxx, hyy, hzz, hxy, hxz, hyz``."""
+    xx, yy, zz, xy, xz, yz = hessian
+    third = (xx + yy + zz) / 3
+    dx, dy, dz = xx - third, yy - third, zz - third
+    p = np.sqrt((dx * dx + dy * dy + dz * dz + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    det = dx * (dy * dz - yz * yz) - xy * (xy * dz - yz * xz) + xz * (xy * yz - dy * xz)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turn = np.arccos(np.clip(det / (2 * p * p * p), -1.0, 1.0)) / 3
+    middle = third - 2 * p * (np.cos(turn) + np.cos(turn + 2 * math.pi / 3))
+    return np.where(p > 0, middle, third)
+
+
+def field_arrays(rho: np.ndarray, h: float, rho_floor: float = RHO_FLOOR) -> list[np.ndarray]:
+    """Reduced gradient, 0 below the density floor, and density signed by the middle eigenvalue."""
+    gx, gy, gz, *hessian = difference_arrays(rho, h)
+    scaled = RDG_SCALE * np.sqrt(gx * gx + gy * gy + gz * gz)
+    rdg = np.where(rho < rho_floor, 0.0, scaled / np.maximum(rho, rho_floor) ** (4.0 / 3.0))
+    return [rdg, np.sign(middle_eigenvalues(hessian)) * rho]
