@@ -94,16 +94,17 @@ def _brick_batch(row: dict, wave: dict, measure, normalise: bool) -> list[np.nda
     own = [(row[f"{lo}lo"], row[f"{lo}hi"]) for lo in "ijk"]
     halo = 1 if measure else 0
     wide = [(max(a - halo, 0), min(b + halo, row[f"n{c}"])) for (a, b), c in zip(own, "xyz")]
-    axes = [row[f"{c}0"] + np.arange(*r) * row["h"] for c, r in zip("xyz", wide)]
+    step = {c: row.get(f"h{c}", row["h"]) for c in "xyz"}
+    axes = [row[f"{c}0"] + np.arange(*r) * step[c] for c, r in zip("xyz", wide)]
     rho = _block_density(wave, axes, normalise)
     inner = tuple(slice(a - w, b - w) for (a, b), (w, _) in zip(own, wide))
     index = np.meshgrid(*[np.arange(a, b, dtype=np.int32) for a, b in own], indexing="ij")
-    place = [row[f"{c}0"] + i * row["h"] for c, i in zip("xyz", index)]
+    place = [row[f"{c}0"] + i * step[c] for c, i in zip("xyz", index)]
     values = [rho, *measure(rho, row["h"])] if measure else [rho]
     return [a.ravel() for a in (*index, *place, *[v[inner] for v in values])]
 
 
-def _evaluate(wf: DataFrame, spacing: float, padding: float, brick: int, normalise: bool, names, measure):
+def _evaluate(wf, spacing, padding, brick, normalise, names, measure, specs=None) -> DataFrame:
     key_type = wf.schema["mol_id"].dataType.simpleString()
     columns = ["x", "y", "z", "rho", *names]
     schema = f"mol_id {key_type}, ix int, iy int, iz int, " + ", ".join(f"{v} double" for v in columns)
@@ -113,9 +114,10 @@ def _evaluate(wf: DataFrame, spacing: float, padding: float, brick: int, normali
         F.transform("shells", lambda s: F.struct(s["center"], s["l"], s["prims"])).alias("shells"),
         # Empty orbitals add nothing to the density.
         F.filter("orbitals", lambda o: o["occ"] != 0).alias("orbitals"),
-        *extents_of_arrays(),
+        *([] if specs is not None else extents_of_arrays()),
     )
-    bricks = explode_bricks(grid_specs(rows, spacing, padding), brick)
+    gridded = grid_specs(rows, spacing, padding) if specs is None else rows.join(specs, "mol_id")
+    bricks = explode_bricks(gridded, brick)
     if measure:
         bricks = bricks.filter((F.col("nx") > 1) & (F.col("ny") > 1) & (F.col("nz") > 1))
 
@@ -153,7 +155,12 @@ def field(
     brick: int = BRICK,
     normalise: bool = False,
     rho_floor: float = RHO_FLOOR,
+    specs: DataFrame | None = None,
 ) -> DataFrame:
-    """``(mol_id, ix, iy, iz, x, y, z, rho, rdg, sl2rho)`` on each molecule's grid."""
+    """``(mol_id, ix, iy, iz, x, y, z, rho, rdg, sl2rho)`` on each molecule's grid.
+
+    ``specs`` gives the grids instead: ``(mol_id, x0, y0, z0, h, nx, ny, nz)`` in bohr, with ``hx, hy, hz``
+    where the steps differ between the axes.
+    """
     measure = lambda rho, h: field_arrays(rho, h, rho_floor)
-    return _evaluate(wf, spacing, padding, brick, normalise, FIELDS, measure)
+    return _evaluate(wf, spacing, padding, brick, normalise, FIELDS, measure, specs)
