@@ -19,5 +19,5 @@ def parse_bond_orders(rows: DataFrame) -> DataFrame:
             (to_int(token(1)) - 1).alias("j"),
             to_double(token(2)).alias("wbo"),
         )
-        .dropna(subset=["i", "j", "wbo"])
+        .filter("i is not null and j is not null and wbo is not null")
     )

@@ -14,7 +14,9 @@ def parse_grid_rows(rows: DataFrame) -> DataFrame:
     """``(mol_id, line)`` to ``(mol_id, x, y, z, sl2rho, rdg)``; comments, short and bad rows are skipped."""
     kept = rows.filter(~F.col("line").startswith("#")).select("mol_id", tokens_of(F.col("line")).alias("_t"))
     values = [to_double(F.get("_t", F.lit(i))).alias(name) for i, name in enumerate(FIELD_COLUMNS)]
-    return kept.filter(F.size("_t") >= 5).select("mol_id", *values).dropna(subset=list(FIELD_COLUMNS))
+    numbers = kept.filter(F.size("_t") >= 5).select("mol_id", *values)
+    # NaN is a number of the file; only what is no number at all is NULL here.
+    return numbers.filter(" and ".join(f"{c} is not null" for c in FIELD_COLUMNS))
 
 
 def missing_columns(field: DataFrame) -> list[str]:
