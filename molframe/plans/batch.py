@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from molframe.constants import BATCH_METRICS
 from molframe.operators import batch, delta
 from molframe.plans.descriptors import Inputs, Options, describe
-from molframe.plans.folders import folder_inputs, structure_tables
+from molframe.plans.folders import folder_inputs
 from molframe.session import materialise
 from molframe.sources import sinks
 
@@ -75,8 +75,7 @@ def run_folder(
     stored = None if clean else _stored(spark, store, options.solvent)
     if stored is not None and not force:
         inputs = _only_pending(inputs, stored)
-    unreadable = _unreadable(spark, directory, options, stored, force)
-    fresh = materialise(describe(inputs, options).unionByName(unreadable, True))
+    fresh = materialise(describe(inputs, options).unionByName(_unreadable(inputs, options), True))
     keep = fresh
     if stored is not None:
         # The stored variant is about to be replaced by itself plus the new records.
@@ -102,12 +101,9 @@ def _only_pending(inputs: Inputs, stored: DataFrame) -> Inputs:
     return Inputs(**{name: drop(getattr(inputs, name)) for name in Inputs.__dataclass_fields__})
 
 
-def _unreadable(spark, directory: str, options: Options, stored: DataFrame | None, force: bool) -> DataFrame:
+def _unreadable(inputs: Inputs, options: Options) -> DataFrame:
     """Structures that could not be read, as failed records."""
-    rejects = structure_tables(spark, directory)[2]
-    if stored is not None and not force:
-        rejects = batch.pending_inputs(rejects, stored)
-    return rejects.select(
+    return inputs.rejects.select(
         "mol_id",
         F.lit(options.solvent).alias("solvent"),
         F.lit("failed").alias("status"),

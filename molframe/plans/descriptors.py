@@ -13,6 +13,7 @@ from molframe.operators.fragments import fragments, override_fragments
 from molframe.operators.geometry import shape_terms, strongest_link
 from molframe.operators.moments import field_terms
 from molframe.operators.surface import surface_terms
+from molframe.session import materialise
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Inputs:
     segments: DataFrame | None = None
     topology_atoms: DataFrame | None = None
     topology_bonds: DataFrame | None = None
+    rejects: DataFrame | None = None
 
 
 def assemble_vector(*terms: Column) -> Column:
@@ -71,19 +73,20 @@ def _field_part(inputs: Inputs, options: Options) -> DataFrame | None:
 def describe(inputs: Inputs, options: Options | None = None) -> DataFrame:
     """``(mol_id, solvent, status, error, snci, scdi, scdi_variance, f, meta)`` per molecule.
 
-    Six independent aggregates meet on ``mol_id``. A log or bond-order list that is missing fails the
+    Six independent aggregates meet on ``mol_id``; fragment labels, which several of them read, are stored
+    once. A log or bond-order list that is missing fails the
     molecule; a missing field or surface leaves zeros and is named in ``meta.status``.
     """
     options = options or Options()
-    frags = fragments(inputs.atoms, inputs.bonds)
+    frags = materialise(fragments(inputs.atoms, inputs.bonds))
     link_frags = frags
     if inputs.topology_atoms is not None and inputs.topology_bonds is not None:
-        link_frags = override_fragments(
-            frags, fragments(inputs.topology_atoms, inputs.topology_bonds)
+        link_frags = materialise(
+            override_fragments(frags, fragments(inputs.topology_atoms, inputs.topology_bonds))
         )
     listed = inputs.wbo.select("mol_id").distinct().withColumn("_wbo", F.lit(True))
     records = (
-        shape_terms(inputs.atoms, inputs.bonds, frags)
+        materialise(shape_terms(inputs.atoms, inputs.bonds, frags))
         .join(strongest_link(inputs.wbo, link_frags), "mol_id", "left")
         .join(listed, "mol_id", "left")
         .join(inputs.logs.select("mol_id", "dipole", "polarizability", "reason"), "mol_id", "left")

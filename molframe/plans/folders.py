@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from molframe.operators.geometry import bonds_by_distance
 from molframe.plans.descriptors import Inputs
+from molframe.session import materialise
 from molframe.sources import bondorders, corpus, grids, logs, molden, structures, surface
 from molframe.sources.text import read_documents
 
@@ -33,10 +34,14 @@ def _outputs(spark: SparkSession, root: str, pattern: str, whole: bool) -> DataF
 
 
 def structure_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``atoms``, ``bonds`` and ``rejects`` of a folder; MOL and SDF carry bonds, XYZ bonds are inferred."""
+    """``atoms``, ``bonds`` and ``rejects`` of a folder; MOL and SDF carry bonds, XYZ bonds are inferred.
+
+    Texts are parsed once and stored; every later use reads the parsed rows.
+    """
     files = corpus.structure_files(read_documents(spark, directory), "mol_id")
-    blocks = structures.parse_mol(files.filter(F.col("ext").isin(".mol", ".sdf")))
-    plain = structures.parse_xyz(files.filter(F.col("ext") == ".xyz"))
+    files = materialise(files.select("mol_id", "ext", "text"))
+    blocks = materialise(structures.parse_mol(files.filter(F.col("ext").isin(".mol", ".sdf"))))
+    plain = materialise(structures.parse_xyz(files.filter(F.col("ext") == ".xyz")))
     plain_atoms = structures.atoms_of(plain)
     other = files.filter(F.col("ext").isin(".pdb", ".mol2")).select(
         "mol_id", F.lit("structure").alias("source"), F.lit("format is listed only").alias("reason")
@@ -53,9 +58,9 @@ def structure_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, Da
 
 def folder_inputs(spark: SparkSession, directory: str, results: str, text_grids: bool = False) -> Inputs:
     """All inputs of a batch: structures in ``directory``, solver outputs in ``results/<file stem>/``."""
-    atoms, bonds, _ = structure_tables(spark, directory)
+    atoms, bonds, rejects = structure_tables(spark, directory)
     files = corpus.structure_files(corpus.list_files(spark, directory))
-    stems = files.select(F.col("path").alias("mol_id"), _stem(F.col("file")).alias("stem"))
+    stems = materialise(files.select(F.col("path").alias("mol_id"), _stem(F.col("file")).alias("stem")))
 
     def keyed(pattern: str, whole: bool = True) -> DataFrame:
         return _outputs(spark, results, pattern, whole).join(stems, "stem").drop("stem")
@@ -65,17 +70,22 @@ def folder_inputs(spark: SparkSession, directory: str, results: str, text_grids:
         .groupBy("mol_id")
         .agg(F.min_by("text", F.struct(F.col("file") != PREFERRED_SURFACE, "file")).alias("text"))
     )
-    topology = structures.parse_mol(keyed(TOPOLOGY))
+    topology = materialise(structures.parse_mol(keyed(TOPOLOGY)))
     field = None
     if text_grids:
-        field = grids.parse_grid_rows(keyed(GRID_TEXT, whole=False).withColumnRenamed("text", "line"))
+        field = materialise(
+            grids.parse_grid_rows(keyed(GRID_TEXT, whole=False).withColumnRenamed("text", "line"))
+        )
     return Inputs(
         atoms=atoms,
         bonds=bonds,
-        wbo=bondorders.parse_bond_orders(keyed(BOND_ORDERS, whole=False).withColumnRenamed("text", "line")),
-        logs=logs.scrape_logs(keyed(LOG)),
+        rejects=rejects,
+        wbo=materialise(
+            bondorders.parse_bond_orders(keyed(BOND_ORDERS, whole=False).withColumnRenamed("text", "line"))
+        ),
+        logs=materialise(logs.scrape_logs(keyed(LOG))),
         field=field,
-        wavefunctions=None if text_grids else molden.parse_wavefunction(keyed(WAVEFUNCTION)),
+        wavefunctions=None if text_grids else materialise(molden.parse_wavefunction(keyed(WAVEFUNCTION))),
         segments=surface.parse_segments(surfaces),
         topology_atoms=structures.atoms_of(topology),
         topology_bonds=structures.bonds_of(topology),

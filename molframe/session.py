@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column call is a large part of building long plans from Python.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
