@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molframe.functions.scalars import one_row
 from molframe.operators.grid import axis_index, axis_values
 from molframe.operators.quantiles import exact_quantiles, smallest_rows
-from molframe.operators.ranks import pearson, spearman
+from molframe.operators.ranks import spearman, with_salts
 
 LOW_RDG = 2.0
 TRIM_QUANTILE = 0.999
@@ -68,27 +68,36 @@ def with_trim_mask(pairs: DataFrame, q: float = TRIM_QUANTILE) -> DataFrame:
 def _metrics(mask: Column, ref: str, pred: str, name: str) -> list[Column]:
     a, b = F.when(mask, F.col(ref)), F.when(mask, F.col(pred))
     return [
-        pearson(a, b).alias(f"pearson_{name}"),
+        # NULL for constant input; both columns are NULL outside the mask.
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"pearson_{name}"),
         F.avg(F.abs(a - b)).alias(f"mae_{name}"),
         F.sqrt(F.avg((a - b) * (a - b))).alias(f"rmse_{name}"),
     ]
 
 
 def subset_metrics(pairs: DataFrame, masks: dict[str, Column]) -> DataFrame:
-    """One row per subset: n, Pearson, MAE and RMSE of both fields, in a single pass over the points."""
-    packed = []
-    for name, mask in masks.items():
-        values = [F.count_if(mask).alias("n")]
-        for ref, pred, field in (("sl2_ref", "sl2_pred", "sl2rho"), ("rdg_ref", "rdg_pred", "rdg")):
-            values += _metrics(mask, ref, pred, field)
-        packed.append(F.struct(F.lit(name).alias("subset"), *values).alias(name))
-    return pairs.agg(*packed).select(F.inline(F.array(*[F.col(n) for n in masks])))
+    """One row per subset: n, Pearson, MAE and RMSE of both fields; one pass, four groups.
+
+    A point is repeated once per subset it belongs to and merged again before the shuffle.
+    """
+    labels = F.array_compact(F.array(*[F.when(mask, F.lit(name)) for name, mask in masks.items()]))
+    spread = pairs.select("sl2_ref", "sl2_pred", "rdg_ref", "rdg_pred", F.explode(labels).alias("subset"))
+    values = [F.count("*").alias("n")]
+    for ref, pred, field in (("sl2_ref", "sl2_pred", "sl2rho"), ("rdg_ref", "rdg_pred", "rdg")):
+        values += _metrics(F.col(ref).isNotNull() & F.col(pred).isNotNull(), ref, pred, field)
+    found = spread.groupBy("subset").agg(*values)
+    # An empty subset keeps its row.
+    names = F.array(*[F.lit(n) for n in masks])
+    wanted = pairs.sparkSession.range(1).select(F.explode(names).alias("subset"))
+    return wanted.join(found, "subset", "left").fillna(0, subset=["n"])
 
 
 def subset_spearman(pairs: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """``(subset, spearman_sl2rho, spearman_rdg)``; every subset ranks its own points."""
     labels = F.array_compact(F.array(*[F.when(mask, F.lit(name)) for name, mask in masks.items()]))
-    spread = pairs.select("sl2_ref", "sl2_pred", "rdg_ref", "rdg_pred", F.explode(labels).alias("subset"))
+    spread = with_salts(
+        pairs.select("sl2_ref", "sl2_pred", "rdg_ref", "rdg_pred", F.explode(labels).alias("subset"))
+    )
     one = spearman(spread, "sl2_ref", "sl2_pred", "subset").withColumnRenamed("spearman", "spearman_sl2rho")
     two = spearman(spread, "rdg_ref", "rdg_pred", "subset").withColumnRenamed("spearman", "spearman_rdg")
     return one.join(two, "subset")

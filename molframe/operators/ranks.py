@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molframe.session import materialise
+
 VALUES_PER_BUCKET = 1_000_000
 HEAVY_SHARE = 1000
+SALTS = 1024
 
 
 def _bucket(value: str, bounds: list[float]) -> Column:
@@ -24,7 +27,7 @@ def _bucket(value: str, bounds: list[float]) -> Column:
 
 
 def average_ranks(
-    df: DataFrame, value: str, group: str, values_per_bucket: int = VALUES_PER_BUCKET
+    df: DataFrame, value: str, group: str, values_per_bucket: int | None = None
 ) -> DataFrame:
     """``(group, value, cnt, rank)`` per distinct value: ties share the mean of their positions.
 
@@ -32,7 +35,8 @@ def average_ranks(
     row. Distinct values fall into ranges cut by a sketch; positions are counted inside a range and ranges
     are added up from one total each, so no task orders a whole group.
     """
-    counted = df.groupBy(group, value).agg(F.count("*").alias("cnt"))
+    values_per_bucket = values_per_bucket or VALUES_PER_BUCKET
+    counted = materialise(df.groupBy(group, value).agg(F.count("*").alias("cnt")))
     distinct = counted.count()
     buckets = -(-distinct // values_per_bucket)
     bounds: list[float] = []
@@ -57,22 +61,23 @@ def average_ranks(
     )
 
 
-def attach_ranks(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
-    """Add each row's average rank.
+def attach_ranks(
+    df: DataFrame, ranks: DataFrame, value: str, group: str, name: str, salt: str, rows: int
+) -> DataFrame:
+    """Add each row's average rank in one hash join.
 
     A value that holds more than a thousandth of the rows would overload its join key. There are fewer
-    than a thousand such values per group, so these go by broadcast and all others by a hash join.
+    than a thousand such values per group: these come from a broadcast, and their rows go to the join
+    under the keys of the spread-out column ``salt``, where they match nothing and crowd nobody.
     """
-    ranks = average_ranks(df, value, group).withColumnRenamed("rank", name)
-    rows = df.count()
     heavy = (F.col("cnt") * HEAVY_SHARE > rows) & (F.lit(rows) > HEAVY_SHARE)
-    keys = [group, value]
-    common = F.broadcast(ranks.filter(heavy).drop("cnt"))
-    rare = ranks.filter(~heavy).drop("cnt")
-    flagged = df.join(common, keys, "left")
-    return flagged.filter(F.col(name).isNotNull()).unionByName(
-        flagged.filter(F.col(name).isNull()).drop(name).join(rare, keys)
+    common = ranks.filter(heavy).select(group, value, F.col("rank").alias("_common"))
+    rare = ranks.filter(~heavy).select(group, value, F.lit(0).alias("_salt"), F.col("rank").alias("_rare"))
+    flagged = df.join(F.broadcast(common), [group, value], "left").withColumn(
+        "_salt", F.when(F.col("_common").isNull(), 0).otherwise(F.col(salt) + 1)
     )
+    joined = flagged.join(rare, [group, value, "_salt"], "left")
+    return joined.withColumn(name, F.coalesce("_common", "_rare")).drop("_common", "_rare", "_salt")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -82,8 +87,19 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def spearman(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """``(group, spearman)`` of two columns, ranked within each group."""
-    base = df.select(group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = attach_ranks(attach_ranks(base, x, group, "_rx"), y, group, "_ry")
+def with_salts(df: DataFrame) -> DataFrame:
+    """Store the rows once, with two columns that spread them evenly whatever their values are."""
+    spread = lambda seed: F.floor(F.rand(seed) * SALTS).cast("int")
+    return materialise(df.withColumns({"_sx": spread(7), "_sy": spread(11)}))
+
+
+def spearman(salted: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """``(group, spearman)`` of two columns of :func:`with_salts` rows, ranked within each group."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    base = salted.filter(both).select(group, x, y, "_sx", "_sy")
+    rows = base.count()
+    # Both rank tables come from the stored rows, so neither repeats the other's join.
+    ranks = {c: materialise(average_ranks(base, c, group)) for c in (x, y)}
+    ranked = attach_ranks(base, ranks[x], x, group, "_rx", "_sx", rows)
+    ranked = attach_ranks(ranked, ranks[y], y, group, "_ry", "_sy", rows)
     return ranked.groupBy(group).agg(pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))

@@ -150,7 +150,7 @@ def test_ranks_and_spearman(spark, monkeypatch, per_bucket):
         want = average_rank(x[g == k])
         assert all(got[k, float(v)] == w for v, w in zip(x[g == k], want))
     monkeypatch.setattr(ranks, "VALUES_PER_BUCKET", per_bucket)
-    for r in ranks.spearman(df, "x", "y", "g").collect():
+    for r in ranks.spearman(ranks.with_salts(df), "x", "y", "g").collect():
         a, b = average_rank(x[g == r.g]), average_rank(y[g == r.g])
         assert r.spearman == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-12)
 
