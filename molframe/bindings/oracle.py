@@ -20,7 +20,6 @@ def r(expr: str, digits: int, name: str) -> str:
 
 _NAME = "regexp_extract(path, '[^/]*$')"
 _EXT = rf"lower(regexp_extract(trim({_NAME}), '^\.*[^.].*(\.[^.]*)$', 1))"
-_CHECKED_EXT = f"CASE WHEN regexp_matches({_EXT}, '^[a-z0-9.]+$') THEN {_EXT} ELSE tail END"
 _EXTS = f"""(SELECT *, CASE WHEN regexp_matches(e, '^[a-z0-9.]+$') THEN e
   WHEN regexp_matches(regexp_replace(e, '[^a-z0-9.]', '', 'g'), '^\\.[a-z0-9.]+$')
   THEN regexp_replace(e, '[^a-z0-9.]', '', 'g') ELSE e END AS ext
@@ -229,8 +228,6 @@ t AS (SELECT mol_id, sum(a * (q - mu) * (q - mu)) / sum(a) AS w FROM k JOIN m US
 SELECT i.mol_id, {r('coalesce(w, 0e0)', 8, 'scdi_variance')}, {r('greatest(0e0, least(1e0, 1e0 - w / 1e-2))', 8, 'scdi')}
 FROM (SELECT DISTINCT mol_id FROM v) i LEFT JOIN t USING (mol_id)"""
 
-_STEP = "coalesce((SELECT min(v) FROM unnest(list_distinct(list({0}))) u(v) WHERE v > min({0})), 0)"
-
 
 def _axis_step(c: str) -> str:
     return f"""(SELECT mol_id, CASE WHEN count(*) < 2 THEN 1e0 ELSE max(v) - min(v) END AS s{c} FROM
