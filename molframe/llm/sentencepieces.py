@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,15 @@ MEMO_SLOTS = 1 << 21
 _ODD = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_ODD, k, 1 << 64) for k in range(LONGEST_WORD + 1)], np.uint64)
 # Spaces begin a word; a run of them belongs to the word that it precedes.
-_UNITS = re.compile(r" +[^ ]*|[^ ]+")
+_UNITS = re.compile(r" +[^ ]*")
+
+
+def split_words(text: str) -> list[str]:
+    """Words of a text behind a leading blank, each without its first blank."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
+    parts = text.split(" ")
+    return [u[1:] for u in _UNITS.findall(" " + text)] if "" in parts else parts
 
 
 @dataclass
@@ -231,7 +240,7 @@ class Encoder:
         known, by_length, runs = self.v.mergeable, {}, {}
         for word in fresh:
             low, cut = 0, []
-            shown = word.replace(" ", SPACE)
+            shown = SPACE + word.replace(" ", SPACE)
             for i, c in enumerate(shown):
                 if c not in known:
                     cut += [shown[low:i]] * (i > low) + [c]
@@ -260,22 +269,28 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, in order; null and empty texts have none."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            units = _UNITS.findall(" " + text.replace(SPACE, " "))
-            if any(u not in self.words for u in units):
-                self.learn(set(units))
-            out.append(b"".join([self.words[u] for u in units]))
-        return out
+        split = [split_words(t) if t else [] for t in texts]
+        # New words of all texts at once, so that equal lengths meet in large groups.
+        self.learn(set().union(*split))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
 
+class Decoder:
+    """Piece ids to bytes: one gather over the joined piece bytes."""
 
-def decode(ids: list[int], table: list[bytes]) -> str:
-    """The text of piece ids; bytes that do not form a character are replaced."""
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    def __init__(self, table: list[bytes]):
+        self.sizes = np.array([len(t) for t in table])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of consecutive id lists that begin at ``at``; bytes that do not form a character are replaced."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)].tobytes()
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[at[:-1]], ends[at[1:]], strict=True))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def byte_table(vocabulary: Vocabulary) -> list[bytes]:
@@ -298,11 +313,6 @@ def _encoder(held) -> Encoder:
     return _ENCODERS[key]
 
 
-def _batch_words(encoder: Encoder, texts: list[str | None]) -> None:
-    """New words of a whole batch at once, so that equal lengths meet in large groups."""
-    encoder.learn({u for t in texts if t for u in _UNITS.findall(" " + t.replace(SPACE, " "))})
-
-
 def encode_documents(docs: DataFrame, model_file: str, text_column: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int), and with ``check`` also ``round_trip``: do the ids decode to the text?
 
@@ -318,22 +328,19 @@ def encode_documents(docs: DataFrame, model_file: str, text_column: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held)
-        table = byte_table(held.value)
+        decoder = Decoder(byte_table(held.value))
         for batch in batches:
-            for part in pieces(batch, text_column, 1 << 23):
+            for part in pieces(batch, text_column, 1 << 22):
                 texts = part.column(at).to_pylist()
-                _batch_words(encoder, texts)
                 coded = encoder.encode(texts)
                 values = np.frombuffer(b"".join(coded), "<i4")
                 offsets = np.cumsum([0, *(len(c) // 4 for c in coded)])
-                gone = pa.array([*(t is None for t in texts), False])
-                starts = pa.array(offsets, pa.int32(), mask=np.array(gone))
+                gone = np.array([*(t is None for t in texts), False])
+                starts = pa.array(offsets, pa.int32(), mask=gone)
                 columns = [*part.columns, pa.ListArray.from_arrays(starts, pa.array(values, pa.int32()))]
                 if check:
-                    same = [
-                        None if t is None else decode(np.frombuffer(c, "<i4").tolist(), table) == t.replace(SPACE, " ")
-                        for t, c in zip(texts, coded, strict=True)
-                    ]
+                    back = decoder.decode(values, offsets)
+                    same = [None if t is None else d == t.replace(SPACE, " ") for t, d in zip(texts, back, strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
@@ -347,14 +354,20 @@ def encode_documents(docs: DataFrame, model_file: str, text_column: str = "text"
 
 def decode_documents(rows: DataFrame, model_file: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
     """``rows`` with the text of their ids; null ids give null."""
-    held = rows.sparkSession.sparkContext.broadcast(byte_table(load_vocabulary(model_file)))
+    held = rows.sparkSession.sparkContext.broadcast(Decoder(byte_table(load_vocabulary(model_file))))
     names = [c for c in rows.columns if c != text_column]
     at = names.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode(ids, held.value) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text_column])
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                lists = part.column(at)
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                offsets = np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())])
+                texts = held.value.decode(values, offsets)
+                made = [None if gone else t for gone, t in zip(lists.is_null().to_pylist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], [*names, text_column])
 
     source = rows.select(*names)
     schema = source.withColumn(text_column, F.lit(None).cast("string")).schema
