@@ -15,7 +15,8 @@ from molframe.llm.common import pieces
 
 CAPACITY = 2048
 # Tokens that one task gathers before it packs them; also what bounds its memory.
-WINDOW_TOKENS = 8 << 20
+WINDOW_TOKENS = 2 << 20
+ROWS_AT_ONCE = 256
 
 PACKED = "bin_id bigint, ids binary, n_tokens int, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, parts array<int>, rows array<bigint>"
 
@@ -104,27 +105,28 @@ def _encode(encoding, text: str) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _packed(held: list[tuple[int, int | None, np.ndarray]], capacity: int, first: int) -> pa.RecordBatch:
-    """Bins of one window: whole rows of overlong texts first as they are cut, then the rest by best fit."""
+def _packed(held: list[tuple[int, int | None, np.ndarray]], capacity: int, first: int) -> Iterator[pa.RecordBatch]:
+    """Bins of one window: overlong texts are cut into whole rows and a rest, and all pieces go by best fit."""
     items = []
     for row, doc_id, ids in held:
         items += [(row, doc_id, k, ids[low : low + capacity]) for k, low in enumerate(range(0, len(ids), capacity))]
     bins = best_fit_decreasing([len(i[3]) for i in items], capacity)
-    columns: list[list] = [[] for _ in range(8)]
-    for number, members in enumerate(bins):
-        inside = [items[m] for m in members]
-        sizes = [len(i[3]) for i in inside]
-        used = sum(sizes)
-        ids = np.zeros(capacity, "<u4")
-        ids[:used] = np.concatenate([i[3] for i in inside])
-        places = np.zeros(capacity, "<i4")
-        places[:used] = np.concatenate([np.arange(n) for n in sizes])
-        made = (first + number, ids.tobytes(), used, np.cumsum([0, *sizes]).tolist(), places.tobytes(), [i[1] for i in inside], [i[2] for i in inside], [i[0] for i in inside])
-        for column, value in zip(columns, made, strict=True):
-            column.append(value)
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    names = ["bin_id", "ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "parts", "rows"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    for low in range(0, len(bins), ROWS_AT_ONCE):
+        columns: list[list] = [[] for _ in range(8)]
+        for number, members in enumerate(bins[low : low + ROWS_AT_ONCE], first + low):
+            inside = [items[m] for m in members]
+            sizes = [len(i[3]) for i in inside]
+            used = sum(sizes)
+            ids = np.zeros(capacity, "<u4")
+            ids[:used] = np.concatenate([i[3] for i in inside])
+            places = np.zeros(capacity, "<i4")
+            places[:used] = np.concatenate([np.arange(n) for n in sizes])
+            made = (number, ids.tobytes(), used, np.cumsum([0, *sizes]).tolist(), places.tobytes(), [i[1] for i in inside], [i[2] for i in inside], [i[0] for i in inside])
+            for column, value in zip(columns, made, strict=True):
+                column.append(value)
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["bin_id", "ids", "n_tokens", "cu_seqlens", "position_ids", "doc_ids", "parts", "rows"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def pack_documents(
@@ -165,20 +167,15 @@ def pack_documents(
                     held.append((row, doc_id, ids))
                     row, tokens = row + 1, tokens + len(ids)
                     if tokens >= window_tokens:
-                        made = _packed(held, capacity, bins)
-                        held, tokens, bins = [], 0, bins + made.num_rows
-                        yield from _in_parts(made)
-        if held:
-            yield from _in_parts(_packed(held, capacity, bins))
+                        for made in _packed(held, capacity, bins):
+                            bins += made.num_rows
+                            yield made
+                        held, tokens = [], 0
+        yield from _packed(held, capacity, bins)
 
     return source.mapInArrow(run, PACKED)
 
 
-def _in_parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for low in range(0, batch.num_rows, rows):
-        yield batch.slice(low, rows)
-
-
 def segments(packed: DataFrame) -> DataFrame:
     """(row, doc_id, part, ids) of every segment, cut out of the packed rows again."""
 
