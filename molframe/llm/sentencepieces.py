@@ -147,6 +147,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words: dict[str, bytes] = {}
+        self.characters = {t for t in vocabulary.mergeable if len(t) == 1}
         self.memo_keys = np.full(MEMO_SLOTS, -1, np.int64)
         self.memo_fits = np.zeros(MEMO_SLOTS, bool)
         self.sieve = np.zeros(1 << 20, bool)
@@ -196,8 +197,8 @@ class Encoder:
             b[two] = v.left[b[two]]
         return out
 
-    def _advance(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length that hold only known characters and no run of spaces.
+    def _advance(self, texts: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of words of one length that hold only known characters and no run of spaces, joined, and where each ends.
 
         The lattice runs over character places. A piece may end a prefix if merging leaves it next to the piece that ends
         the shorter prefix; exactly one does, and it is the backpointer.
@@ -230,7 +231,7 @@ class Encoder:
         rows, ids = np.concatenate(taken), np.concatenate(back)
         step = np.repeat(np.arange(len(taken)), [len(t) for t in taken])
         order = np.lexsort((-step, rows))
-        return np.split(ids[order], np.cumsum(np.bincount(rows, minlength=len(texts)))[:-1])
+        return ids[order].astype("<i4").tobytes(), np.cumsum(np.bincount(rows, minlength=len(texts))) * 4
 
     def learn(self, words: set[str]) -> None:
         """Encode new words: cut at unknown characters, equal lengths together, exceptions by the heap."""
@@ -241,8 +242,12 @@ class Encoder:
         for word in fresh:
             low, cut = 0, []
             shown = SPACE + word.replace(" ", SPACE)
+            if self.characters.issuperset(shown):
+                runs[word] = (shown,)
+                by_length.setdefault(len(shown), set()).add(shown)
+                continue
             for i, c in enumerate(shown):
-                if c not in known:
+                if c not in self.characters:
                     cut += [shown[low:i]] * (i > low) + [c]
                     low = i + 1
             cut += [shown[low:]] * (len(shown) > low)
@@ -251,19 +256,21 @@ class Encoder:
                 by_length.setdefault(len(part), set()).add(part)
         done: dict[str, bytes] = {}
         for width, parts in by_length.items():
-            plain = [p for p in parts if width <= LONGEST_WORD and SPACE not in p[1:] and p[0] in known]
+            plain = [p for p in parts if width <= LONGEST_WORD and SPACE not in p[1:] and p[0] in self.characters]
             rows = max(1, STEP_CELLS // (width * width))
             for low in range(0, len(plain), rows):
                 some = plain[low : low + rows]
-                done.update((p, ids.astype("<i4").tobytes()) for p, ids in zip(some, self._advance(some), strict=True))
+                raw, ends = self._advance(some)
+                ends = [0, *ends.tolist()]
+                done.update(zip(some, (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True))
             for part in parts:
                 if part not in done:
                     done[part] = np.array(self._other(part), "<i4").tobytes()
-        self.words.update((word, b"".join(done[part] for part in cut)) for word, cut in runs.items())
+        self.words.update((word, done[cut[0]] if len(cut) == 1 else b"".join([done[part] for part in cut])) for word, cut in runs.items())
 
     def _other(self, part: str) -> list[int]:
         known = self.v.mergeable
-        if part[0] not in known:
+        if part[0] not in self.characters:
             return self.v.byte_ids[list(part.encode("utf-8", "surrogatepass"))].tolist()
         return [known[p] for p in _merged(part, known, self.v.scores)[0]]
 
