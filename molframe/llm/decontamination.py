@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,20 +147,25 @@ def _scanner(held, column: str):
     return run
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def _packed(docs: DataFrame, text_column: str) -> DataFrame:
+    """All columns as one, so that none can clash with what is added, and the text."""
+    return docs.select(F.struct(*docs.columns).alias("_kept"), F.col(text_column).alias("_text"))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without any hit, with their own columns."""
-    found = find_contamination(docs.withColumn("_kept", F.struct(*docs.columns)), benchmark, **options)
+    found = find_contamination(_packed(docs, text_column), benchmark, text_column="_text", **options)
     return found.filter(F.size("spans") == 0).select("_kept.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """``docs`` with the text of every hit run, and what stands between its words, cut out."""
-    found = find_contamination(docs.withColumn("_kept", F.struct(*docs.columns)), benchmark, text_column=text_column, **options)
+    found = find_contamination(_packed(docs, text_column), benchmark, text_column="_text", **options)
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text_column):
-                data, at = utf8(part.column(part.schema.get_field_index(text_column)))
+            for part in pieces(batch, "_text"):
+                data, at = utf8(part.column(part.schema.get_field_index("_text")))
                 starts, ends, counts = words(LOWER[data], at, ALNUM)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 raw, out = data.tobytes(), []
@@ -171,12 +175,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_column: str = "text
                         kept.append(raw[low : starts[first[row] + span["begin"]]])
                         low = int(ends[first[row] + span["finish"] - 1])
                     out.append(b"".join([*kept, raw[low : at[row + 1]]]).decode())
-                missing = part.column(part.schema.get_field_index(text_column)).is_null().to_pylist()
+                missing = part.column(part.schema.get_field_index("_text")).is_null().to_pylist()
                 texts = pa.array([None if gone else text for gone, text in zip(missing, out, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("_kept")), texts], ["_kept", "_cut"])
 
     kept = found.schema["_kept"].dataType.simpleString()
-    cut = found.select("_kept", text_column, "spans").mapInArrow(run, f"_kept {kept}, _cut string")
+    cut = found.select("_kept", "_text", "spans").mapInArrow(run, f"_kept {kept}, _cut string")
     return cut.select(*(F.col("_cut").alias(c) if c == text_column else F.col(f"_kept.{c}") for c in docs.columns))
 
 
@@ -197,6 +201,3 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
         (hit > 0).alias("contaminated"),
     )
 
-
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

@@ -224,8 +224,9 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
             table.append([gram, before[k][first], hashed[k][first], np.bincount(inverse, weight)])
         tables.append(table)
         alphabet.append(len(table[0][0]))
-    models = kneser_ney(languages, tables, alphabet, order)
-    return _calibrated(models, drawn.filter("part = 0")) if languages else models
+    if not languages:
+        return Models([], order)
+    return _calibrated(kneser_ney(languages, tables, alphabet, order), drawn.filter("part = 0"))
 
 
 def _calibrated(models: Models, aside: DataFrame) -> Models:

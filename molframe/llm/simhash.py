@@ -151,6 +151,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = stored(with_fingerprints(docs.select("doc_id", "text"), keep=["doc_id"]))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "fp")
     chosen = group(rows, radius).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_print"))
-    marked = with_fingerprints(docs, name="_fp")
-    kept = marked.join(chosen, F.col("_fp").eqNullSafe(F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_kept"), F.col("doc_id").alias("_doc"), "text")
+    marked = with_fingerprints(packed, name="_fp", keep=["_kept", "_doc"])
+    kept = marked.join(chosen, F.col("_fp").eqNullSafe(F.col("_print")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_doc", "_fp"]).select("_kept.*")
