@@ -103,7 +103,7 @@ ORACLE["basis_guard"] = f"""SELECT p_partkey AS mol_id, {_CART}::INT AS n_cart,
 _OK = f"{_READABLE} AND {_N_BASIS} = {_CART}"
 
 _POWER_ROWS = ", ".join(
-    f"({l}, {k}, {w[0]}, {w[1]}, {w[2]})" for l, row in enumerate(CARTESIAN_POWERS) for k, w in enumerate(row.split())
+    f"({l}, {k}, {w[0]}, {w[1]}, {w[2]})" for l, row in enumerate(CARTESIAN_POWERS) for k, w in enumerate(row)
 )
 _POWERS = f"(VALUES {_POWER_ROWS}) w(l, k, lx, ly, lz)"
 _FIRST_MU = "(CASE shell WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 5 END)"

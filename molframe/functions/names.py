@@ -14,7 +14,7 @@ MOJIBAKE_PROBES = "ÂÃÎÏÐÑâ"
 ONE_BYTE_ENCODINGS = ("latin-1", "cp1252")
 REPAIR_ROUNDS = 2
 DROPPED_CATEGORIES = ("Cc", "Cf", "Cs")
-PLAIN = r"^[\x20-\x7e]*$"
+PLAIN = r"\A[\x20-\x7e]*\z"
 
 
 def _redecode(text: str) -> str | None:

@@ -12,8 +12,8 @@ from molframe.constants import CARTESIAN_POWERS
 
 def powers_literal() -> Column:
     """Array indexed by l of arrays of ``(lx, ly, lz)``: 35 fixed rows, folded into the plan."""
-    triple = lambda p: F.struct(*[F.lit(int(d)).alias(n) for d, n in zip(p, ("lx", "ly", "lz"))])
-    return F.array(*[F.array(*map(triple, row.split())) for row in CARTESIAN_POWERS])
+    triple = lambda p: F.struct(*[F.lit(d).alias(n) for d, n in zip(p, ("lx", "ly", "lz"), strict=True)])
+    return F.array(*[F.array(*map(triple, row)) for row in CARTESIAN_POWERS])
 
 
 def _odd_product(n: Column) -> Column:

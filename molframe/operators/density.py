@@ -37,8 +37,7 @@ def _shell_functions(shell: dict, axes: list[np.ndarray], normalise: bool) -> It
     plane = (gauss[0][:, :, None] * gauss[1][:, None, :]).reshape(len(alpha), -1)
     shape = [len(d) for d in axes]
     radial = None
-    for word in CARTESIAN_POWERS[shell["l"]].split():
-        power = [int(c) for c in word]
+    for power in CARTESIAN_POWERS[shell["l"]]:
         if radial is None or normalise:
             scale = coef
             if normalise:
@@ -84,7 +83,7 @@ def _wave(row: dict) -> dict:
         for s in row["shells"]
     ]
     orbitals = row["orbitals"]
-    n_basis = sum(len(CARTESIAN_POWERS[s["l"]].split()) for s in shells)
+    n_basis = sum(len(CARTESIAN_POWERS[s["l"]]) for s in shells)
     coef = np.array([o["coef"] for o in orbitals], dtype=float).reshape(len(orbitals), n_basis)
     return {"shells": shells, "coef": coef, "occ": np.array([o["occ"] for o in orbitals], dtype=float)}
 
