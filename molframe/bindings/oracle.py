@@ -122,7 +122,7 @@ _SPECS = "(SELECT p_partkey, " + ", ".join(
 ) + f" FROM {_CENTERS} GROUP BY p_partkey)"
 _POINTS = "(SELECT p_partkey, " + ", ".join(
     f"i{c}, {c}0 + i{c} * {_H} AS {c}" for c in "xyz"
-) + f" FROM {_SPECS} s, range(40) gx(ix), range(40) gy(iy), range(40) gz(iz) WHERE ix < nx AND iy < ny AND iz < nz)"
+) + f" FROM {_SPECS} s, LATERAL (SELECT unnest(range(s.nx)) AS ix) gx, LATERAL (SELECT unnest(range(s.ny)) AS iy) gy, LATERAL (SELECT unnest(range(s.nz)) AS iz) gz)"
 _CELL = "p_partkey AS mol_id, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz"
 ORACLE["grid_points"] = f"""SELECT {_CELL}, {r('x', 9, 'x')}, {r('y', 9, 'y')}, {r('z', 9, 'z')} FROM {_POINTS}"""
 ORACLE["density"] = f"""

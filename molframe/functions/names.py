@@ -83,12 +83,12 @@ def casefold(name: Column) -> Column:
 
 def _last_suffix(name: Column) -> Column:
     """The part from the last dot on, unless only dots stand before it."""
-    return F.lower(F.regexp_extract(name, r"^(?s)\.*[^.].*?(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(name, r"^(?s)\.*[^.].*?(\.[^.]*)\z", 1))
 
 
 def file_extension(cleaned: Column, raw: Column) -> Column:
     """Lower-case extension of a cleaned name; non-ASCII remains fall back to the repaired raw name."""
-    plain = r"^[A-Za-z0-9.]+$"
+    plain = r"\A[A-Za-z0-9.]+\z"
     first = _last_suffix(cleaned)
     repaired = _last_suffix(
         F.when(raw.rlike(PLAIN), raw).otherwise(_repair_only(F.when(~raw.rlike(PLAIN), raw)))
@@ -97,6 +97,6 @@ def file_extension(cleaned: Column, raw: Column) -> Column:
     return (
         F.when(first.rlike(plain), first)
         .when(repaired.rlike(plain), repaired)
-        .when(tail.rlike(r"^\.[A-Za-z0-9.]+$"), tail)
+        .when(tail.rlike(r"\A\.[A-Za-z0-9.]+\z"), tail)
         .otherwise(first)
     )

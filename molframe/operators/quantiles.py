@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Values that may be sorted in one array once the interval is that narrow.
 DIRECT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -52,19 +53,14 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Quantiles with linear interpolation between neighbours, NULL and NaN left out.
 
-    A counted small table takes the built-in ``percentile`` for all quantities in one pass. A larger one
-    is narrowed by sketches and exact counts; each pass is a plain aggregate and shrinks the candidates by
-    three orders of magnitude.
+    Each is narrowed by sketches and exact counts until ``direct_rows`` candidates remain; each pass is a plain
+    aggregate and shrinks the candidates by three orders of magnitude. One path serves every size.
     """
     clean = {name: F.when(~F.isnan(c), c) for name, (c, _) in wanted.items()}
     counts = df.agg(*[F.count(c).alias(n) for n, c in clean.items()]).first().asDict()
     result: dict[str, float | None] = {n: None for n, rows in counts.items() if rows == 0}
-    small = [n for n, rows in counts.items() if 0 < rows <= direct_rows]
-    if small:
-        row = df.agg(*[F.percentile(clean[n], F.lit(float(wanted[n][1]))).alias(n) for n in small]).first()
-        result.update(row.asDict())
     for name, rows in counts.items():
-        if rows <= direct_rows:
+        if rows == 0:
             continue
         values = df.select(clean[name].alias("v")).filter(F.col("v").isNotNull())
         place = wanted[name][1] * (rows - 1)
@@ -77,10 +73,12 @@ def exact_quantiles(
 
 
 def smallest_rows(df: DataFrame, order: Column, tie: str, n: int, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """The ``n`` rows with the smallest ``order`` value, ties by ``tie``.
+    """The ``n`` rows with the smallest ``order`` value, ties by ``tie``; all rows where ``n`` is not positive.
 
     The bound is selected exactly first, so the final ordered limit sees little more than ``n`` rows.
     """
+    if n <= 0:
+        return df
     keyed = df.withColumn("_k", order.cast("double"))
     rows = keyed.count()
     if rows > n:

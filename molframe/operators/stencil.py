@@ -107,6 +107,8 @@ def _brick_table(key: tuple, table: pa.Table, brick: int, measure) -> list[pa.Ar
 
 
 def _by_brick(points: DataFrame, brick: int, names: tuple[str, ...], measure) -> DataFrame:
+    if brick < 4:
+        raise ValueError("a brick needs four planes, or edge differences would see too few")
     key_type = points.schema["mol_id"].dataType.simpleString()
     schema = f"mol_id {key_type}, ix int, iy int, iz int, rho double, " + ", ".join(
         f"{d} double" for d in names

@@ -15,10 +15,10 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def _weighted_sums(area: Column, charge: Column, tag: str) -> list[Column]:
-    """Sums of a, aq and aq² over the valid segments."""
+def _weighted_sums(area: Column, charge: Column, pivot: Column, tag: str) -> list[Column]:
+    """Sums of a, a(q - p) and a(q - p)² over the valid segments; the pivot p keeps the digits of close charges."""
     ok = _finite(area) & _finite(charge) & (area > 0)
-    a, q = F.when(ok, area), F.when(ok, charge)
+    a, q = F.when(ok, area), F.when(ok, charge - F.coalesce(pivot, F.lit(0.0)))
     return [
         F.sum(a).alias(f"_w{tag}"),
         F.sum(a * q).alias(f"_s{tag}"),
@@ -32,24 +32,20 @@ def _variance(tag: str) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.try_divide(t, w) - mean * mean), F.lit(0.0))
 
 
-def weighted_variance(segments: DataFrame, exact: bool = False) -> DataFrame:
+def _pivot(charge: Column, valid: Column) -> Column:
+    """The plain mean of the valid charges: near enough to the weighted mean for sums around it to be exact."""
+    return F.avg(F.when(_finite(charge) & valid, charge))
+
+
+def weighted_variance(segments: DataFrame) -> DataFrame:
     """``(mol_id, variance)`` of ``charge`` weighted by ``area``; 0 without a valid segment.
 
-    One pass of plain sums, so only one row per molecule and partition is shuffled. Surface charges scatter
-    around zero, which keeps the sums well conditioned; ``exact`` takes a second pass around each mean.
+    Two aggregations of plain sums: the mean charge of a molecule, then sums around it.
     """
-    sums = segments.groupBy("mol_id").agg(*_weighted_sums(F.col("area"), F.col("charge"), ""))
-    if not exact:
-        return sums.select("mol_id", _variance("").alias("variance"))
-    a, q = F.col("area"), F.col("charge")
-    means = sums.select("mol_id", F.try_divide("_s", "_w").alias("_mean"))
-    ok = _finite(a) & _finite(q) & (a > 0)
-    gap = F.when(ok, a * (q - F.col("_mean")) * (q - F.col("_mean")))
-    return (
-        segments.join(means, "mol_id")
-        .groupBy("mol_id")
-        .agg(F.coalesce(F.try_divide(F.sum(gap), F.sum(F.when(ok, a))), F.lit(0.0)).alias("variance"))
-    )
+    pivots = segments.groupBy("mol_id").agg(_pivot(F.col("charge"), _finite(F.col("area")) & (F.col("area") > 0)).alias("_p"))
+    sums = _weighted_sums(F.col("area"), F.col("charge"), F.col("_p"), "")
+    joined = segments.select("mol_id", "area", "charge").join(pivots, "mol_id")
+    return joined.groupBy("mol_id").agg(*sums).select("mol_id", _variance("").alias("variance"))
 
 
 def _role_sums() -> list[Column]:
@@ -109,20 +105,23 @@ def bounded_score(variance: Column, low: float | None, high: float | None) -> Co
 
 
 def surface_terms(segments: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
-    """``(mol_id, scdi_variance, scdi)``: roles and variance of every candidate in a single aggregation.
+    """``(mol_id, scdi_variance, scdi)``: one aggregation for roles and mean charges, one for all candidates' sums.
 
-    Only the three columns that can be area or charge matter, so the sums of all candidates are cheaper
-    than a second visit to the segments once the roles are known.
+    Only the three columns that can be area or charge matter.
     """
-    sums = _role_sums()
+    columns = sorted({q for _, q in ROLE_CANDIDATES})
+    first = segments.groupBy("mol_id").agg(*_role_sums(), *(_pivot(F.get("v", F.lit(q)), F.lit(True)).alias(f"_p{q}") for q in columns))
+    roles = first.select("mol_id", _best_role().alias("_r"), *(f"_p{q}" for q in columns))
+    sums = [F.first("_r").alias("_r")]
     for i, (a, q) in enumerate(ROLE_CANDIDATES):
-        sums += _weighted_sums(F.get("v", F.lit(a)), F.get("v", F.lit(q)), str(i))
+        sums += _weighted_sums(F.get("v", F.lit(a)), F.get("v", F.lit(q)), F.col(f"_p{q}"), str(i))
     variance = _pick([_variance(str(i)) for i in range(len(ROLE_CANDIDATES))], F.col("_r"))
     valid = _pick([F.col(f"_w{i}").isNotNull() for i in range(len(ROLE_CANDIDATES))], F.col("_r"))
     return (
-        segments.groupBy("mol_id")
+        segments.select("mol_id", "v")
+        .join(roles, "mol_id")
+        .groupBy("mol_id")
         .agg(*sums)
-        .withColumn("_r", _best_role())
         .select("mol_id", variance.alias("scdi_variance"), valid.alias("_valid"))
         .select(
             "mol_id",

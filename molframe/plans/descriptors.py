@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molframe.constants import ANGSTROM_TO_BOHR, GRID_PADDING, GRID_SPACING, RHO_FLOOR
+from molframe.operators.basis import basis_guard
 from molframe.operators.density import field
 from molframe.operators.fragments import fragments, override_fragments
 from molframe.operators.geometry import shape_terms, strongest_link
@@ -44,6 +45,8 @@ class Inputs:
     segments: DataFrame | None = None
     topology_atoms: DataFrame | None = None
     topology_bonds: DataFrame | None = None
+    # Molecules whose bond-order file exists, be it empty; by default those with a row.
+    wbo_listed: DataFrame | None = None
     rejects: DataFrame | None = None
 
 
@@ -70,12 +73,20 @@ def _field_part(inputs: Inputs, options: Options) -> DataFrame | None:
     return None
 
 
+def wavefunction_errors(wf: DataFrame) -> DataFrame:
+    """``(mol_id, wf_error)`` of every wavefunction; null where its field can be evaluated."""
+    verdict = F.col("verdict")
+    problem = F.when(verdict == "unsupported", "spherical basis functions").when(verdict == "mismatch", "orbitals do not fit the basis")
+    return wf.select("mol_id", "reason").join(basis_guard(wf), "mol_id", "left").select("mol_id", F.coalesce("reason", problem).alias("wf_error"))
+
+
 def describe(inputs: Inputs, options: Options | None = None) -> DataFrame:
     """``(mol_id, solvent, status, error, snci, scdi, scdi_variance, f, meta)`` per molecule.
 
     Six independent aggregates meet on ``mol_id``; fragment labels, which several of them read, are stored
-    once. A log or bond-order list that is missing fails the
-    molecule; a missing field or surface leaves zeros and is named in ``meta.status``.
+    once. A log or bond-order list that is missing fails the molecule, and so does a wavefunction that is missing,
+    unreadable, spherical or of another size than its basis: its zeros would enter the norms of the whole batch. A stored
+    grid or surface that is missing leaves zeros and is named in ``meta.status``. An empty bond-order list is f3 = 0.
     """
     options = options or Options()
     frags = materialise(fragments(inputs.atoms, inputs.bonds))
@@ -84,7 +95,8 @@ def describe(inputs: Inputs, options: Options | None = None) -> DataFrame:
         link_frags = materialise(
             override_fragments(frags, fragments(inputs.topology_atoms, inputs.topology_bonds))
         )
-    listed = inputs.wbo.select("mol_id").distinct().withColumn("_wbo", F.lit(True))
+    listed = inputs.wbo if inputs.wbo_listed is None else inputs.wbo_listed
+    listed = listed.select("mol_id").distinct().withColumn("_wbo", F.lit(True))
     records = (
         materialise(shape_terms(inputs.atoms, inputs.bonds, frags))
         .join(strongest_link(inputs.wbo, link_frags), "mol_id", "left")
@@ -111,6 +123,12 @@ def describe(inputs: Inputs, options: Options | None = None) -> DataFrame:
     error = F.when(F.col("dipole").isNull() & F.col("reason").isNull(), "log not found").otherwise(
         F.coalesce("reason", F.when(F.col("_wbo").isNull(), "bond orders not found"))
     )
+    if inputs.field is None and inputs.wavefunctions is not None:
+        states = wavefunction_errors(inputs.wavefunctions).withColumn("_wave", F.lit(True))
+        records = records.join(states, "mol_id", "left")
+        absent = F.when(F.col("_wave").isNull(), "wavefunction not found").otherwise(F.col("wf_error"))
+        thin = F.when(~F.col("_field"), "grid too thin for differences")
+        error = F.coalesce(error, absent, thin)
     missing = F.concat_ws(
         ", ",
         F.when(~F.col("_field"), "no field"),

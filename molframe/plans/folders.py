@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from molframe.operators.geometry import bonds_by_distance
 from molframe.plans.descriptors import Inputs
 from molframe.session import materialise
 from molframe.sources import bondorders, corpus, grids, logs, molden, structures, surface
-from molframe.sources.text import read_documents
+from molframe.sources.text import file_key, read_documents
 
 # File names the external solver leaves in a molecule's result folder.
 BOND_ORDERS, WAVEFUNCTION, LOG, SURFACE, TOPOLOGY = (
@@ -27,12 +29,22 @@ def _outputs(spark: SparkSession, root: str, pattern: str, whole: bool) -> DataF
     """``(stem, file, text)`` of one kind of output below ``root``; the parent folder names the molecule."""
     files = spark.read.format("text").option("wholetext", str(whole).lower())
     files = files.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    path = F.split(F.col("_metadata.file_path"), "/")
+    path = F.split(file_key(), "/")
     return files.select(
         F.element_at(path, -2).alias("stem"), F.element_at(path, -1).alias("file"), F.col("value").alias("text")
     )
 
 
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``(stem)`` of the molecules that have such an output, be it empty.
+
+    A scan leaves out files of no length, so the names come from the file index that the driver builds for any scan.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    stems = {(unquote(path).rsplit("/", 2)[-2],) for path in files.inputFiles()}
+    return spark.createDataFrame(sorted(stems), "stem string")
+
+
 def structure_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``atoms``, ``bonds`` and ``rejects`` of a folder; MOL and SDF carry bonds, XYZ bonds are inferred.
 
@@ -83,6 +95,7 @@ def folder_inputs(spark: SparkSession, directory: str, results: str, text_grids:
         wbo=materialise(
             bondorders.parse_bond_orders(keyed(BOND_ORDERS, whole=False).withColumnRenamed("text", "line"))
         ),
+        wbo_listed=_listed(spark, results, BOND_ORDERS).join(stems, "stem").select("mol_id"),
         logs=materialise(logs.scrape_logs(keyed(LOG))),
         field=field,
         wavefunctions=None if text_grids else materialise(molden.parse_wavefunction(keyed(WAVEFUNCTION))),

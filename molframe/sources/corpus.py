@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from molframe.constants import STRUCTURE_EXTENSIONS
 from molframe.functions.names import clean_name, file_extension
+from molframe.sources.text import file_key
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """``(path, length, modified)`` of the regular files directly in ``directory``; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.select(file_key().alias("path"), "length", F.col("modificationTime").alias("modified"))
 
 
 def structure_files(files: DataFrame, path: str = "path") -> DataFrame:

@@ -169,6 +169,10 @@ def _with_reason(df: DataFrame) -> DataFrame:
         .when(F.exists("atoms", lambda a: (a.x + a.y + a.z).isNull()), "unreadable atom line")
         .when(F.size("shells") == 0, "no basis functions")
         .when(F.exists("shells", lambda s: s["center"].isNull()), "shell before centre")
+        .when(
+            F.exists("shells", lambda s: (s["center"] < 0) | (s["center"] >= F.size("atoms"))),
+            "shell centre out of range",
+        )
         .when(bad_shell, "unreadable shell")
         .when(F.size("orbitals") == 0, "no orbitals")
         .when(

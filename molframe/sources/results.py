@@ -11,13 +11,13 @@ from molframe.sources.text import to_int
 META = "charge int, spin int, fragments int, n_basis int, n_points bigint, status string"
 
 
-def parse_results(docs: DataFrame) -> DataFrame:
+def parse_results(docs: DataFrame, suffix: str = "vector") -> DataFrame:
     """``(mol_id, readable, snci, scdi, scdi_variance, f, fragments)``; bad JSON is kept as unreadable.
 
-    The vector is the array whose key ends in ``vector``, so records of other writers can be read too.
+    The vector is the array whose key ends in ``suffix``, so records of other writers can be read too.
     """
     body = F.from_json("text", "map<string,string>", {"mode": "PERMISSIVE"})
-    vector = F.get(F.map_values(F.map_filter("_m", lambda k, v: k.endswith("vector"))), F.lit(0))
+    vector = F.get(F.map_values(F.map_filter("_m", lambda k, v: k.endswith(suffix))), F.lit(0))
     number = lambda name: safe_double(F.try_element_at("_m", F.lit(name)))
     return (
         docs.withColumn("_m", body)
@@ -43,11 +43,16 @@ def parse_results(docs: DataFrame) -> DataFrame:
 
 
 def parse_timings(docs: DataFrame) -> DataFrame:
-    """``(file, setting, seconds)`` from metrics keyed by worker count."""
+    """``(file, modified, setting, seconds)`` from metrics keyed by worker count; a bad file gives no row.
+
+    ``docs`` as ``read_documents`` gives them; without ``modified`` it is null.
+    """
+    modified = F.col("modified") if "modified" in docs.columns else F.lit(None).cast("timestamp")
     entry = "batch_workers_monitor map<string, struct<wall_time_sec: double>>"
     body = F.from_json("text", entry)["batch_workers_monitor"]
-    return docs.select(F.col("mol_id").alias("file"), F.explode(body).alias("_k", "_v")).select(
+    return docs.select(F.col("mol_id").alias("file"), modified.alias("modified"), F.explode(body).alias("_k", "_v")).select(
         "file",
+        "modified",
         to_int(F.col("_k")).alias("setting"),
         F.coalesce("_v.wall_time_sec", F.lit(0.0)).alias("seconds"),
     )

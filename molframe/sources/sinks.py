@@ -87,7 +87,8 @@ def field_lines(field: DataFrame, unit: str = "bohr") -> DataFrame:
 
 
 def write_field_text(field: DataFrame, path: str, unit: str = "bohr") -> None:
-    field_lines(field, unit).select("value").write.mode("overwrite").text(path)
+    """One folder of text per molecule."""
+    field_lines(field, unit).write.mode("overwrite").partitionBy("mol_id").text(path)
 
 
 def write_agreement(metrics: DataFrame, path: str) -> None:

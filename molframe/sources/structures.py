@@ -18,6 +18,10 @@ def with_elements(atoms: DataFrame) -> DataFrame:
     return atoms.join(F.broadcast(element_table(atoms.sparkSession)), "el", "left")
 
 
+def _unknown(element: Column) -> Column:
+    return ~F.coalesce(element, F.lit("")).isin(*(row[0] for row in ELEMENTS))
+
+
 def _fixed(line: Column, start: int, width: int) -> Column:
     return F.trim(F.substring(line, start, width))
 
@@ -56,6 +60,7 @@ def parse_mol(docs: DataFrame) -> DataFrame:
         .when(F.col("_na") == 0, "no atoms")
         .when((F.size("atoms") < F.col("_na")) | bad_atom, "unreadable atom line")
         .when((F.size("bonds") < F.col("_nb")) | bad_bond, "unreadable bond line")
+        .when(F.exists("atoms", lambda a: _unknown(a.el)), "unknown element")
     )
     return parsed.select("mol_id", "atoms", "bonds", reason.alias("reason"))
 
@@ -78,6 +83,7 @@ def parse_xyz(docs: DataFrame) -> DataFrame:
         F.when(F.col("_na").isNull() | (F.col("_na") <= 0), "unreadable atom count")
         .when(F.size("atoms") < F.col("_na"), "fewer atoms than announced")
         .when(F.exists("atoms", lambda a: (a.x + a.y + a.z).isNull()), "unreadable atom line")
+        .when(F.exists("atoms", lambda a: _unknown(a.el)), "unknown element")
     )
     return parsed.select("mol_id", "atoms", reason.alias("reason"))
 

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_key() -> Column:
+    """The path of a row's file as it is written, with what the scan encodes (blanks, %, #) taken back."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(mol_id, text)``: every file whole, keyed by its full path. Nothing is shuffled to read it."""
+    """``(mol_id, text, modified)``: every file whole, keyed by its full path. Nothing is shuffled to read it."""
     docs = spark.read.text(path, wholetext=True)
-    return docs.select(F.col("_metadata.file_path").alias("mol_id"), F.col("value").alias("text"))
+    modified = F.col("_metadata.file_modification_time").alias("modified")
+    return docs.select(file_key().alias("mol_id"), F.col("value").alias("text"), modified)
 
 
 def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(mol_id, line)``: splittable, for files whose lines stand on their own."""
     rows = spark.read.text(path)
-    return rows.select(F.col("_metadata.file_path").alias("mol_id"), F.col("value").alias("line"))
+    return rows.select(file_key().alias("mol_id"), F.col("value").alias("line"))
 
 
 def lines_of(text: Column) -> Column:
@@ -29,7 +35,7 @@ def tokens_of(line: Column) -> Column:
 
 def to_double(token: Column) -> Column:
     """A number, or NULL. Type suffixes that a cast would accept (``1.5d``) are not numbers here."""
-    return F.when(~token.rlike(r"[0-9.][dDfF]\s*$"), token.try_cast("double"))
+    return F.when(~token.rlike(r"[0-9.][dDfF]\s*\z"), token.try_cast("double"))
 
 
 def to_double_fortran(token: Column) -> Column:
@@ -38,7 +44,7 @@ def to_double_fortran(token: Column) -> Column:
 
 
 def to_int(token: Column) -> Column:
-    return F.when(token.rlike(r"^[+-]?\d+$"), token.try_cast("int"))
+    return F.when(token.rlike(r"\A[+-]?\d+\z"), token.try_cast("int"))
 
 
 def fix_columns(df: DataFrame, **columns: Column) -> DataFrame:

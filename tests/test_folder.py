@@ -92,6 +92,22 @@ def test_second_run_does_only_what_is_missing(spark, folder):
     assert rows["dry.mol"].status == "success" and rows["one.mol"].f[3] == 1.5 and len(rows) == 4
 
 
+def test_unusable_inputs_fail_their_own_record(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for stem in ("a b", "a+b", "lone", "nowave", "short"):
+        (tmp_path / "in" / f"{stem}.mol").write_text(dimer(2.0))
+        outputs(tmp_path / "res", stem, 1.5, 0.1)
+    (tmp_path / "res" / "lone" / "wbo").write_text("")
+    (tmp_path / "res" / "nowave" / "molden.input").unlink()
+    (tmp_path / "res" / "short" / "molden.input").write_text("[Atoms] AU\nH 1 1 0 0 0\n")
+    rows = by_name(run_folder(spark, str(tmp_path / "in"), str(tmp_path / "res"), str(tmp_path / "out"), OPTIONS).records)
+    assert {n: r.error for n, r in rows.items()} == {
+        "a b.mol": None, "a+b.mol": None, "lone.mol": None,
+        "nowave.mol": "wavefunction not found", "short.mol": "missing section",
+    }
+    assert rows["lone.mol"].f[2] == 0.0 and rows["a b.mol"].f[2] == 0.125
+
+
 def test_variant_and_delta(spark, folder):
     out = str(folder / "out")
     args = (spark, str(folder / "in"), str(folder / "res"), out)

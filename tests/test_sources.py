@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from molframe.functions import names
+from molframe.operators import batch
 from molframe.operators.paths import resolve_paths
-from molframe.sources import bondorders, corpus, grids, logs, molden, results, structures, surface
+from molframe.sources import bondorders, corpus, grids, logs, molden, results, structures, surface, text
 from molframe.sources.text import read_documents, read_rows
 
 
@@ -144,7 +145,30 @@ def test_results_and_timings(spark):
     assert (got["ok"].f, got["ok"].fragments) == ([1.0, 2.5], 2)
     assert not got["cut"].readable and not got["junk"].readable and got["cut"].snci is None
     timing = '{"batch_workers_monitor": {"4": {"wall_time_sec": 2.5}, "8": {}}}'
-    assert {(r.setting, r.seconds) for r in results.parse_timings(docs(spark, {"f": timing})).collect()} == {(4, 2.5), (8, 0.0)}
+    rows = results.parse_timings(docs(spark, {"f": timing, "bad": '{"batch_workers_monitor": 7}'}))
+    assert {(r.file, r.setting, r.seconds) for r in rows.collect()} == {("f", 4, 2.5), ("f", 8, 0.0)}
+    assert batch.best_setting(rows).first().setting == 4
+
+
+def test_names_on_disk_are_one_key(spark, tmp_path):
+    names = ["a b.mol", "a+b.mol", "é.mol", "50%#1.mol"]
+    for name in names:
+        (tmp_path / name).write_text("x\n")
+    whole = {r.mol_id for r in text.read_documents(spark, str(tmp_path)).collect()}
+    assert whole == {r.path for r in corpus.list_files(spark, str(tmp_path)).collect()} == {r.mol_id for r in text.read_rows(spark, str(tmp_path)).collect()}
+    assert {p.rsplit("/", 1)[1] for p in whole} == set(names)
+
+
+def test_unknown_elements_and_centres_are_rejected(spark):
+    block = lambda e: "\n\n\n  1  0  0  0 V2000\n" + mol_line(0, 0, 0, e) + "\nM  END\n"
+    got = {r.mol_id: r.reason for r in structures.parse_mol(docs(spark, {e: block(e) for e in ("Pu", "Qq", "D")})).collect()}
+    assert got == {"Pu": None, "Qq": "unknown element", "D": None}
+    xyz = {e: f"1\n\n{e} 0 0 0\n" for e in ("Og", "Zz")}
+    assert {r.mol_id: r.reason for r in structures.parse_xyz(docs(spark, xyz)).collect()} == {"Og": None, "Zz": "unknown element"}
+    gto = "[Atoms] AU\nH 1 1 0 0 0\n[GTO]\n{} 0\n s 1 1.0\n 1.5 1.0\n[MO]\n Sym= A\n Occup= 2.0\n 1 1.0\n"
+    wave = {str(n): gto.format(n) for n in (1, 0, 99)}
+    got = {r.mol_id: r.reason for r in molden.parse_wavefunction(docs(spark, wave)).collect()}
+    assert got["1"] is None and {got["0"], got["99"]} == {"shell centre out of range"}
 
 
 def test_names(spark):
