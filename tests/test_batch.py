@@ -22,7 +22,7 @@ def test_weighted_variance_and_bounds(spark):
     assert got == {"m": pytest.approx(want, rel=1e-10), "none": 0.0}
     close = spark.createDataFrame([("m", 1.0, 1e8), ("m", 1.0, 1e8 + 1)], df.schema)
     assert surface.weighted_variance(close).first().variance == pytest.approx(0.25)
-    rows = [("m", [0.0] * 5 + [q, 2.0, -1.0]) for q in (-1e8, -1e8 - 1)]
+    rows = [("m", [0.0] * 5 + [q, 2.0, -1e12]) for q in (-1e8, -1e8 - 1)]
     assert surface.surface_terms(spark.createDataFrame(rows, "mol_id string, v array<double>")).first().scdi_variance == pytest.approx(0.25)
     score = lambda lo, hi: spark.range(1).select(surface.bounded_score(F.lit(0.25), lo, hi)).first()[0]
     assert (score(0.0, 1.0), score(0.5, 1.0), score(0.0, 0.2)) == (0.75, 1.0, 0.0)
