@@ -125,16 +125,15 @@ _POINTS = "(SELECT p_partkey, " + ", ".join(
 ) + f" FROM {_SPECS} s, LATERAL (SELECT unnest(range(s.nx)) AS ix) gx, LATERAL (SELECT unnest(range(s.ny)) AS iy) gy, LATERAL (SELECT unnest(range(s.nz)) AS iz) gz)"
 _CELL = "p_partkey AS mol_id, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz"
 ORACLE["grid_points"] = f"""SELECT {_CELL}, {r('x', 9, 'x')}, {r('y', 9, 'y')}, {r('z', 9, 'z')} FROM {_POINTS}"""
-ORACLE["density"] = f"""
-WITH c AS {_CENTERS}, f AS {_FUNCTIONS}, pt AS {_POINTS}, m AS {_MO},
+_RHO_STEPS = f"""c AS {_CENTERS}, f AS {_FUNCTIONS}, pt AS {_POINTS}, m AS {_MO},
 phi AS (SELECT pt.p_partkey, ix, iy, iz, mu, sum(coef * pow(pt.x - c.x, lx) * pow(pt.y - c.y, ly) * pow(pt.z - c.z, lz)
     * exp(-f.exp * ((pt.x - c.x) * (pt.x - c.x) + (pt.y - c.y) * (pt.y - c.y) + (pt.z - c.z) * (pt.z - c.z)))) AS v
   FROM pt JOIN f ON pt.p_partkey = f.p_partkey JOIN c ON c.p_partkey = f.p_partkey AND c.center = f.center
   GROUP BY ALL),
 psi AS (SELECT phi.p_partkey, ix, iy, iz, mo, occ, sum(m.coef * v) AS v FROM phi
   JOIN m ON m.p_partkey = phi.p_partkey AND m.mu = phi.mu GROUP BY ALL),
-rho AS (SELECT p_partkey, ix, iy, iz, sum(occ * v * v) AS rho FROM psi GROUP BY ALL)
-SELECT {_CELL}, {r('x', 8, 'x')}, {r('y', 8, 'y')}, {r('z', 8, 'z')}, {r('rho', 8, 'rho')}
+rho AS (SELECT p_partkey, ix, iy, iz, sum(occ * v * v) AS rho FROM psi GROUP BY ALL)"""
+ORACLE["density"] = f"""WITH {_RHO_STEPS} SELECT {_CELL}, {r('x', 8, 'x')}, {r('y', 8, 'y')}, {r('z', 8, 'z')}, {r('rho', 8, 'rho')}
 FROM rho JOIN pt USING (p_partkey, ix, iy, iz)"""
 
 ORACLE["grid_rows"] = """SELECT p_partkey AS mol_id, p_size + 5e-1 AS x, -25e-2 AS y, 1e-3 AS z,
@@ -292,6 +291,15 @@ ORACLE["nci_field"] = f"""WITH src AS (SELECT * FROM {_DIFF}), {_L2_STEPS}
 SELECT {_AT}, {r('rho', 8, 'rho')}, {r(f"CASE WHEN rho < 1e-12 THEN 0e0 ELSE {_RDG_SCALE} * sqrt(gx*gx + gy*gy + gz*gz) / pow(rho, 4e0/3e0) END", 8, 'rdg')},
   {r('sign(l2) * rho', 8, 'sl2rho')} FROM l"""
 
+# The density of the wavefunctions through the same differences.
+_WAVE_SHAPE = f"""{_RHO_STEPS}, g AS (SELECT r.p_partkey AS mol_id, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, rho, {_H} AS h,
+    nx - 1 AS tx, ny - 1 AS ty, nz - 1 AS tz
+  FROM rho r JOIN {_SPECS} s ON s.p_partkey = r.p_partkey WHERE nx > 1 AND ny > 1 AND nz > 1)"""
+_WAVE_DIFF = _DIFF.replace(_SHAPE, _WAVE_SHAPE)
+ORACLE["wave_field"] = f"""WITH src AS (SELECT * FROM {_WAVE_DIFF})
+SELECT {_AT}, {r('rho', 6, 'rho')}, {r(f"CASE WHEN rho < 1e-12 THEN 0e0 ELSE {_RDG_SCALE} * sqrt(gx*gx + gy*gy + gz*gz) / pow(rho, 4e0/3e0) END", 6, 'rdg')}
+FROM src"""
+
 # --- batches ----------------------------------------------------------------------------------------
 
 _STATUS = """(SELECT u.mol_id, elapsed_seconds, lane,
@@ -434,3 +442,6 @@ ORACLE["sample_points"] = """SELECT event_id AS id, value FROM events
 ORDER BY (event_id * 2654435761 + 7) % 4294967296, event_id LIMIT 500"""
 ORACLE["overlay_extract"] = f"""SELECT {r('sl2_ref', 9, 'sl2_ref')}, {r('sl2_pred', 9, 'sl2_pred')}, rdg_ref, {r('rdg_pred', 9, 'rdg_pred')}
 FROM {{pairs}} WHERE rdg_ref <= 2 AND rdg_pred <= 2"""
+
+# The given texts hold no composed forms and no wrongly decoded ones, so cleaning them is dropping controls and trimming.
+ORACLE["clean_names"] = r"""SELECT doc_id, coalesce(trim(regexp_replace(text, '[\p{Cc}\p{Cf}]', '', 'g')), '') AS cleaned FROM documents"""
