@@ -43,7 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage through a Parquet table in the same shared folder: compressed, and read by column."""
     ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -187,7 +187,7 @@ def _counts(texts: Iterator[tuple[str, str]]) -> dict[str, Counter]:
 
 def sample(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(lang, text, part) of the rows that models may learn from, drawn by hash to about ``sample_bytes`` per language."""
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)

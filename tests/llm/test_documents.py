@@ -208,7 +208,7 @@ def test_language(spark, docs, empty):
     held = [r for r in found.values() if r.held_out and r.doc_id is not None and r.doc_id < 9000]
     assert np.mean([r.lang_pred == "abc"[r.doc_id % 3] * 2 for r in held]) > 0.98
     assert sum(r.rejected for r in held) <= len(held) * 0.02
-    clashing = frame.withColumns({"score": F.lit("mine"), "rejected": F.lit(7)})
+    clashing = frame.withColumns({"score": F.lit("mine"), "rejected": F.lit(7), "share": F.lit(0), "part": F.lit(0)})
     kept = langid.keep_identified(clashing)
     assert kept.columns == clashing.columns and {r.score for r in kept.collect()} == {"mine"}
     assert {r.lang_pred for r in langid.language_report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
