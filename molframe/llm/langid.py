@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import mix, probe, remainder
+from molframe.llm.common import mix, pieces, probe, remainder
 
 ORDER = 4
 # Text that the models learn from, per language: rows are drawn by hash so that about this many bytes are expected.
@@ -263,10 +263,10 @@ def identify(docs: DataFrame, models: Models, text_column: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = held.value.predict(batch.column(at).to_pylist())
-            lang, score, rejected = zip(*made, strict=True) if made else ((), (), ())
-            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "lang_pred", "score", "rejected"])
+            for part in pieces(batch, text_column, 1 << 23):
+                lang, score, rejected = zip(*held.value.predict(part.column(at).to_pylist()), strict=True)
+                columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, "lang_pred", "score", "rejected"])
 
     source = docs.select(*names)
     schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema

@@ -20,7 +20,7 @@ SPACE = "▁"
 # Words up to this length advance in numpy; merges of longer ones go through a heap.
 LONGEST_WORD = 96
 STEP_CELLS = 1 << 21
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 MEMO_SLOTS = 1 << 21
 
 _ODD = 0x9E3779B97F4A7C15
