@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from molframe.llm.common import ALNUM, LOWER, hashes, mix, pieces, probe, stored, utf8, words
 
 WINDOW = 10
-# Benchmark text in one broadcast slice; a larger benchmark is scanned in several slices of about this size.
-SLICE_BYTES = 64 << 20
+# Benchmark text in one broadcast slice, which takes some five times this in memory; a larger benchmark is scanned in
+# several slices of about this size.
+SLICE_BYTES = 16 << 20
 _ORDER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 SPANS = "array<struct<begin:int,finish:int>>"
@@ -29,27 +30,53 @@ def _folded(hashed: np.ndarray, size: int) -> np.ndarray:
 
 
 class Grams:
-    """Windows of one benchmark slice: per length the sorted hashes, and per hash its texts and items."""
+    """Windows of one benchmark slice: per length the sorted distinct hashes, and for each the places where it stands.
+
+    A place is a stretch of the slice's words, joined by blanks, and the item it belongs to; so a window costs some twenty
+    bytes whatever its length. A window that an item repeats has one place.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-        for item_id, text in items:
-            for size, hashed, text_of in _windows_of(text or "", window):
-                slot = found.setdefault(size, {}).setdefault(hashed, {})
-                slot.setdefault(text_of, set()).update([] if item_id is None else [item_id])
-        self.texts = found
-        self.keys = {size: np.array(sorted(slots), np.uint64) for size, slots in found.items()}
-
-
-def _windows_of(text: str, window: int):
-    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-    starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-    if not len(starts):
-        return
-    size = min(window, len(starts))
-    raw = data.tobytes()
-    for i, hashed in enumerate(_folded(hashes(data, starts, ends), size).tolist()):
-        yield size, hashed, b" ".join(raw[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
+        self.owners = [item_id for item_id, _ in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        joined, length = [], 0
+        for number, (_, text) in enumerate(items):
+            data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+            starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
+            if not len(starts):
+                continue
+            size, raw = min(window, len(starts)), data.tobytes()
+            hashed = _folded(hashes(data, starts, ends), size)
+            until = np.cumsum(ends - starts + 1) - 1 + length
+            begin = (until - (ends - starts))[: len(hashed)]
+            found.setdefault(size, []).append((hashed, np.full(len(hashed), number, np.int32), begin, until[size - 1 :]))
+            joined.append(b" ".join(raw[a:b] for a, b in zip(starts, ends, strict=True)))
+            length += len(joined[-1]) + 1
+        self.words = b" ".join(joined)
+        self.keys, self.first, self.places = {}, {}, {}
+        for size, parts in found.items():
+            hashed, number, begin, until = (np.concatenate(column) for column in zip(*parts, strict=True))
+            order = np.lexsort((number, hashed))
+            order = order[self._new(hashed[order], number[order], begin[order], until[order])]
+            self.keys[size], first = np.unique(hashed[order], return_index=True)
+            self.first[size] = np.append(first, len(order))
+            self.places[size] = np.stack([number[order], begin[order], until[order]]).astype(np.int32)
+
+    def _new(self, hashed: np.ndarray, number: np.ndarray, begin: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Which places are no repetition of a text that the same item has already."""
+        new, last, texts = np.ones(len(hashed), bool), -1, set()
+        for i in (np.flatnonzero((hashed[1:] == hashed[:-1]) & (number[1:] == number[:-1])) + 1).tolist():
+            if i != last + 1 or not texts:
+                texts = {self.words[begin[i - 1] : until[i - 1]]}
+            text, last = self.words[begin[i] : until[i]], i
+            new[i] = text not in texts
+            texts.add(text)
+        return new
+
+    def items_with(self, size: int, key: int, text: bytes) -> list[int | None]:
+        """Items that hold this very text, of the places under one hash."""
+        low, high = self.first[size][key], self.first[size][key + 1]
+        return [self.owners[n] for n, a, b in self.places[size][:, low:high].T.tolist() if self.words[a:b] == text]
 
 
 def _scan(batch: pa.RecordBatch, grams: Grams, column: str) -> tuple[list[int], list[list], list[list[int]]]:
@@ -64,7 +91,8 @@ def _scan(batch: pa.RecordBatch, grams: Grams, column: str) -> tuple[list[int],
     items: dict[int, set[int]] = {}
     for size, keys in grams.keys.items():
         windows = _folded(hashed, size)
-        candidates = np.flatnonzero(probe(keys, windows) >= 0)
+        found = probe(keys, windows)
+        candidates = np.flatnonzero(found >= 0)
         if not len(candidates):
             continue
         rows = np.searchsorted(first, candidates, side="right") - 1
@@ -72,11 +100,11 @@ def _scan(batch: pa.RecordBatch, grams: Grams, column: str) -> tuple[list[int],
         raw = raw if raw is not None else data.tobytes()
         for i, row in zip(candidates[inside].tolist(), rows[inside].tolist(), strict=True):
             text = b" ".join(raw[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-            owners = grams.texts[size][int(windows[i])].get(text)
-            if owners is not None:
+            owners = grams.items_with(size, int(found[i]), text)
+            if owners:
                 low = i - int(first[row])
                 hits.setdefault(row, []).append((low, low + size))
-                items.setdefault(row, set()).update(owners)
+                items.setdefault(row, set()).update(o for o in owners if o is not None)
     runs = [_union(hits.get(row, [])) for row in range(len(counts))]
     return counts.tolist(), runs, [sorted(items.get(row, ())) for row in range(len(counts))]
 

@@ -113,8 +113,10 @@ class Models:
         bits, chars = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
         for low in range(0, len(vocabulary), 1 << 16):
             b, c = self.bits(vocabulary[low : low + (1 << 16)])
-            bits.append(b)
-            chars.append(c)
+            # A run of numerals such as a superscript two is no word: it has no letter.
+            lettered = np.array([any(map(str.isalpha, w)) for w in vocabulary[low : low + (1 << 16)]])
+            bits.append(b * lettered[:, None])
+            chars.append(c * lettered)
         bits, chars = np.concatenate(bits), np.concatenate(chars)
         out, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for i, spot in enumerate(spots):

@@ -12,6 +12,8 @@ JUMP_MULTIPLIER = 2862933555777941757
 LIMBS = [(JUMP_MULTIPLIER >> (16 * i)) & 0xFFFF for i in range(4)]
 LOW16, LOW32 = 0xFFFF, 0xFFFFFFFF
 CHUNKS_PER_PARTITION = 4
+# Repeated rows are laid out again in runs of this many.
+RUN = 1 << 16
 
 
 def _advance(high: Column, low: Column) -> tuple[Column, Column]:
@@ -70,7 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     Only the id and the shard count decide (law ``key``): no table is looked up and a further shard takes rows only into
     itself. Places follow the order (chunk, id, checksum, size), where a chunk is a hash range of those three; a prefix
     sum over the counts per (shard, chunk) makes them gapless without one task ever holding a shard. Rows equal in all
-    three are counted first and share a run of places, so repeated rows cannot crowd a task either. Null text: size 1 and
+    three are counted first and travel as one row; at the end they are laid out in runs of bounded length. Null text: size 1 and
     the checksum of nothing; null id: the shard of key 0. An empty table gives an empty result.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -98,10 +100,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
         "sum(copies) OVER (PARTITION BY shard, chunk ORDER BY doc_id, text_crc32, size) - copies"
     )
     placed = counted.withColumn("first", within).join(offsets, ["shard", "chunk"])
-    return placed.select(
+    runs = placed.select(
+        *keys,
+        "shard",
+        "grown_shard",
+        (F.col("base") + F.col("first") + F.col("copies")).alias("end"),
+        F.explode(F.expr(f"sequence(base + first, base + first + copies - 1, {RUN}L)")).alias("low"),
+    )
+    return runs.select(
         *keys,
         F.lit("key").alias("law"),
         "shard",
-        F.explode(F.expr("sequence(base + first, base + first + copies - 1)")).alias("slot"),
+        F.explode(F.expr(f"sequence(low, least(low + {RUN}, end) - 1)")).alias("slot"),
         "grown_shard",
     )

@@ -49,6 +49,25 @@ def test_contamination(spark, docs, made, empty):
     assert decontamination.contamination_report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_repeated_windows(spark):
+    # An item that repeats itself, items that share windows, and one hash for all windows.
+    repeated = [(1, "a b " * 40), (2, "a b " * 7), (2, "a b " * 7), (3, "x " * 30 + "a b"), (None, "b " * 9)]
+    texts = [(1, "a b " * 6), (2, "x " * 9 + "a b"), (3, "b " * 9), (4, "a " * 20), (5, "c a b a b a b a b a b c")]
+    bench = spark.createDataFrame(repeated, "item_id long, text string")
+    found = decontamination.contamination_report(spark.createDataFrame(texts, "doc_id long, text string"), bench)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert as_counter(found, *names) == Counter(brute.contamination(texts, repeated))
+    grams = decontamination.Grams([(1, "a b " * 40)], 10)
+    assert len(grams.places[10][0]) == 2
+
+
+def test_places_of_one_hash(monkeypatch):
+    monkeypatch.setattr(decontamination, "_folded", lambda hashed, size: np.zeros(max(0, len(hashed) - size + 1), np.uint64))
+    grams = decontamination.Grams([(7, "a b c a b"), (8, "a b"), (9, "b c")], 2)
+    assert grams.items_with(2, 0, b"a b") == [7, 8] and grams.items_with(2, 0, b"b c") == [7, 9]
+    assert grams.items_with(2, 0, b"c a") == [7] and grams.items_with(2, 0, b"c c") == []
+
+
 def test_contamination_removed(spark, docs, made):
     bench = spark.createDataFrame(items(made), "item_id long, text string")
     clashing = docs.withColumns({"spans": F.lit("mine"), "items": F.lit(1), "_text": F.lit("x")})
@@ -184,6 +203,18 @@ def test_shards(spark, docs, made, empty):
         assert [r.s for r in frame.select(column.alias("s")).collect()] == [brute.jump(k, n) for k in keys]
 
 
+@pytest.mark.parametrize("run", [1, 4, 1 << 16])
+def test_shards_of_repeated_rows(spark, monkeypatch, run):
+    monkeypatch.setattr(sharding, "RUN", run)
+    repeated = [(k, "same") for k in range(6) for _ in range((1, 4, 5, 8, 9, 30)[k])]
+    found = sharding.shard_documents(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in repeated)
+    places = defaultdict(list)
+    for r in found:
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def language_rows():
     import random
 
@@ -215,6 +246,12 @@ def test_language(spark, docs, empty):
     assert langid.language_report(empty).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    models = langid.train(spark.createDataFrame(language_rows(), brute.DOCS))
+    kinds = [name for name, _, _ in models.predict(["\u00b2 \u2167 7", "x\u00b2 \u2167", "\u00b2", ""])]
+    assert kinds[0] == kinds[2] == kinds[3] == "und" and kinds[1] != "und"
+
+
 def test_strange_text_is_rejected(spark):
     made = language_rows() + [(7000, " ".join(["qxzvwkj"] * 60), None, "s", 0)]
     found = {r.doc_id: r for r in langid.language_report(spark.createDataFrame(made, brute.DOCS)).collect()}
