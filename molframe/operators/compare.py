@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molframe.functions.scalars import one_row
 from molframe.operators.grid import axis_index, axis_values
 from molframe.operators.quantiles import exact_quantiles, smallest_rows
-from molframe.operators.ranks import spearman, with_salts
+from molframe.operators.ranks import rank_correlations
 
 LOW_RDG = 2.0
 TRIM_QUANTILE = 0.999
@@ -94,13 +94,7 @@ def subset_metrics(pairs: DataFrame, masks: dict[str, Column]) -> DataFrame:
 
 def subset_spearman(pairs: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """``(subset, spearman_sl2rho, spearman_rdg)``; every subset ranks its own points."""
-    labels = F.array_compact(F.array(*[F.when(mask, F.lit(name)) for name, mask in masks.items()]))
-    spread = with_salts(
-        pairs.select("sl2_ref", "sl2_pred", "rdg_ref", "rdg_pred", F.explode(labels).alias("subset"))
-    )
-    one = spearman(spread, "sl2_ref", "sl2_pred", "subset").withColumnRenamed("spearman", "spearman_sl2rho")
-    two = spearman(spread, "rdg_ref", "rdg_pred", "subset").withColumnRenamed("spearman", "spearman_rdg")
-    return one.join(two, "subset")
+    return rank_correlations(pairs, {"sl2rho": ("sl2_ref", "sl2_pred"), "rdg": ("rdg_ref", "rdg_pred")}, masks)
 
 
 def agreement(pairs: DataFrame, q: float = TRIM_QUANTILE, low_rdg: float = LOW_RDG) -> DataFrame:

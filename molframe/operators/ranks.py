@@ -2,82 +2,44 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molframe.session import materialise
 
-VALUES_PER_BUCKET = 1_000_000
-HEAVY_SHARE = 1000
-SALTS = 1024
 
-
-def _bucket(value: str, bounds: list[float]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    edges = np.array(bounds)
-
-    @F.pandas_udf("int")
-    def place(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, v.to_numpy(), side="left"))
-
-    return place(value)
-
-
-def average_ranks(
-    df: DataFrame, value: str, group: str, values_per_bucket: int | None = None
+def ranked(
+    counted: DataFrame, keys: list[str], value: str, counts: dict[str, str], ranges: int | None = None
 ) -> DataFrame:
-    """``(group, value, cnt, rank)`` per distinct value: ties share the mean of their positions.
+    """``(keys, value, counts, ranks)``: for each count column the average rank of each distinct value.
 
-    Equal values are counted before anything is ordered, so a value that fills a third of the table is one
-    row. Distinct values fall into ranges cut by a sketch; positions are counted inside a range and ranges
-    are added up from one total each, so no task orders a whole group.
+    ``counted`` has one row per key and value, and ``counts`` names the rank of each count column. Values are
+    cut into ranges by Spark's range partitioning (``ranges``, or the session's number of partitions); positions
+    are counted inside a range and added to one total per earlier range, so no task orders a whole group.
     """
-    values_per_bucket = values_per_bucket or VALUES_PER_BUCKET
-    counted = materialise(df.groupBy(group, value).agg(F.count("*").alias("cnt")))
-    distinct = counted.count()
-    buckets = -(-distinct // values_per_bucket)
-    bounds: list[float] = []
-    if buckets > 1:
-        cuts = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(counted.agg(F.percentile_approx(value, cuts, 10 * buckets)).first()[0]))
-    placed = counted.withColumn("_b", _bucket(value, bounds))
+    columns = [F.col(c) for c in (*keys, value)]
+    cut = counted.repartitionByRange(ranges, *columns) if ranges else counted.repartitionByRange(*columns)
+    placed = materialise(cut.withColumn("_range", F.spark_partition_id()))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = before(Window.partitionBy(group, "_b").orderBy(value))
-    totals = (
-        placed.groupBy(group, "_b")
-        .agg(F.sum("cnt").alias("_t"))
-        .select(
-            group, "_b", F.sum("_t").over(before(Window.partitionBy(group).orderBy("_b"))).alias("_off")
-        )
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    earlier = before(Window.partitionBy(*keys).orderBy("_range"))
+    offsets = totals.select(
+        *keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in counts]
     )
-    smaller = F.coalesce("_in", F.lit(0)) + F.coalesce("_off", F.lit(0))
-    return (
-        placed.withColumn("_in", F.sum("cnt").over(inside))
-        .join(totals, [group, "_b"])
-        .select(group, value, "cnt", (smaller + (F.col("cnt") + 1) / 2).alias("rank"))
+    inside = before(Window.partitionBy(*keys, "_range").orderBy(value))
+    rank = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}") + (F.col(c) + 1) / 2
+    return placed.join(offsets, [*keys, "_range"]).select(
+        *keys, value, *counts, *[rank(c).alias(name) for c, name in counts.items()]
     )
 
 
-def attach_ranks(
-    df: DataFrame, ranks: DataFrame, value: str, group: str, name: str, salt: str, rows: int
-) -> DataFrame:
-    """Add each row's average rank in one hash join.
+def average_ranks(df: DataFrame, value: str, group: str, ranges: int | None = None) -> DataFrame:
+    """``(group, value, cnt, rank)`` per distinct value: ties share the mean of their positions.
 
-    A value that holds more than a thousandth of the rows would overload its join key. There are fewer
-    than a thousand such values per group: these come from a broadcast, and their rows go to the join
-    under the keys of the spread-out column ``salt``, where they match nothing and crowd nobody.
+    Equal values are counted before anything is ordered, so a value that fills a third of the table is one row.
     """
-    heavy = (F.col("cnt") * HEAVY_SHARE > rows) & (F.lit(rows) > HEAVY_SHARE)
-    common = ranks.filter(heavy).select(group, value, F.col("rank").alias("_common"))
-    rare = ranks.filter(~heavy).select(group, value, F.lit(0).alias("_salt"), F.col("rank").alias("_rare"))
-    flagged = df.join(F.broadcast(common), [group, value], "left").withColumn(
-        "_salt", F.when(F.col("_common").isNull(), 0).otherwise(F.col(salt) + 1)
-    )
-    joined = flagged.join(rare, [group, value, "_salt"], "left")
-    return joined.withColumn(name, F.coalesce("_common", "_rare")).drop("_common", "_rare", "_salt")
+    counted = df.groupBy(group, value).agg(F.count("*").alias("cnt"))
+    return ranked(counted, [group], value, {"cnt": "rank"}, ranges)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -87,19 +49,39 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def with_salts(df: DataFrame) -> DataFrame:
-    """Store the rows once, with two columns that spread them evenly whatever their values are."""
-    spread = lambda seed: F.floor(F.rand(seed) * SALTS).cast("int")
-    return materialise(df.withColumns({"_sx": spread(7), "_sy": spread(11)}))
-
+def rank_correlations(
+    rows: DataFrame, fields: dict[str, tuple[str, str]], masks: dict[str, Column], ranges: int | None = None
+) -> DataFrame:
+    """``(subset, spearman_<field>...)``: Spearman's correlation of each field's two columns, ranked within each subset.
 
-def spearman(salted: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """``(group, spearman)`` of two columns of :func:`with_salts` rows, ranked within each group."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    base = salted.filter(both).select(group, x, y, "_sx", "_sy")
-    rows = base.count()
-    # Both rank tables come from the stored rows, so neither repeats the other's join.
-    ranks = {c: materialise(average_ranks(base, c, group)) for c in (x, y)}
-    ranked = attach_ranks(base, ranks[x], x, group, "_rx", "_sx", rows)
-    ranked = attach_ranks(ranked, ranks[y], y, group, "_ry", "_sy", rows)
-    return ranked.groupBy(group).agg(pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
+    A row is laid out once per field. One table counts every distinct value for all subsets side by side, so a
+    single ordering ranks all of them. Ranks come back in one join per side; a value that holds a large share of
+    the rows is one rank row, and adaptive execution splits the crowd it meets. A subset without rows has NULLs.
+    """
+    marks = [f"m{i}" for i in range(len(masks))]
+    flags = rows.withColumns({m: F.coalesce(c, F.lit(False)) for m, c in zip(marks, masks.values(), strict=True)})
+    each = [
+        F.struct(F.lit(f).alias("field"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        for f, (x, y) in fields.items()
+    ]
+    laid = flags.select(F.explode(F.array(*each)).alias("_e"), *marks).select("_e.*", *marks)
+    laid = materialise(laid.filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in "xy"])
+    counted = (
+        laid.select("field", F.explode(sides).alias("_s"), *marks)
+        .groupBy("field", "_s.side", "_s.value")
+        .agg(*[F.count_if(m).alias(f"n_{m}") for m in marks])
+    )
+    ranks = materialise(ranked(counted, ["field", "side"], "value", {f"n_{m}": f"r_{m}" for m in marks}, ranges))
+    for s in "xy":
+        own = ranks.filter(F.col("side") == s).select(
+            "field", F.col("value").alias(s), *[F.col(f"r_{m}").alias(f"{s}_{m}") for m in marks]
+        )
+        laid = laid.join(own, ["field", s])
+    within = lambda s, m: F.when(F.col(m), F.col(f"{s}_{m}"))
+    found = laid.groupBy("field").agg(*[pearson(within("x", m), within("y", m)).alias(m) for m in marks])
+    labels = F.array(*[F.struct(F.lit(n).alias("subset"), F.col(m).alias("r")) for n, m in zip(masks, marks, strict=True)])
+    tall = found.select("field", F.explode(labels).alias("_l")).select("field", "_l.*")
+    return tall.groupBy("subset").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("r"))).alias(f"spearman_{f}") for f in fields]
+    )

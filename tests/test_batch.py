@@ -140,22 +140,26 @@ def average_rank(v):
     return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
 
 
-@pytest.mark.parametrize("per_bucket", [10**6, 40])
-def test_ranks_and_spearman(spark, monkeypatch, per_bucket):
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_ranks_and_spearman(spark, ranges):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=1500), 2)
     x[:500] = 0.0
     y = x + rng.normal(size=1500)
     g = np.where(rng.random(1500) < 0.7, "a", "b")
     df = spark.createDataFrame([(str(k), float(a), float(b)) for k, a, b in zip(g, x, y)], "g string, x double, y double")
-    got = {(r.g, r.x): r["rank"] for r in ranks.average_ranks(df, "x", "g", per_bucket).collect()}
+    got = {(r.g, r.x): r["rank"] for r in ranks.average_ranks(df, "x", "g", ranges).collect()}
     for k in "ab":
         want = average_rank(x[g == k])
         assert all(got[k, float(v)] == w for v, w in zip(x[g == k], want))
-    monkeypatch.setattr(ranks, "VALUES_PER_BUCKET", per_bucket)
-    for r in ranks.spearman(ranks.with_salts(df), "x", "y", "g").collect():
-        a, b = average_rank(x[g == r.g]), average_rank(y[g == r.g])
-        assert r.spearman == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-12)
+    holes = df.unionByName(spark.createDataFrame([("a", None, 1.0), ("b", 2.0, None), (None, 1.0, 1.0)], df.schema))
+    masks = {"a": F.col("g") == "a", "b": F.col("g") == "b", "none": F.lit(False)}
+    found = {r.subset: r for r in ranks.rank_correlations(holes, {"one": ("x", "y"), "two": ("y", "x")}, masks, ranges).collect()}
+    for k in "ab":
+        a, b = average_rank(x[g == k]), average_rank(y[g == k])
+        assert found[k].spearman_one == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-12)
+        assert found[k].spearman_two == pytest.approx(found[k].spearman_one, rel=1e-12)
+    assert found["none"].spearman_one is None
 
 
 def test_constant_input_has_no_correlation(spark):
