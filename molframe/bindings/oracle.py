@@ -186,6 +186,9 @@ _PAIRS = f"""(WITH c AS {_COM}, p AS (SELECT a.mol_id, sqrt((a.x-b.x)*(a.x-b.x)
   SELECT c.mol_id, count(DISTINCT c.frag)::INT AS fragments, any_value(n) AS n, any_value(m) AS m FROM c
   LEFT JOIN (SELECT mol_id, count(*) AS n, avg(d) AS m FROM p GROUP BY 1) q USING (mol_id) GROUP BY 1)"""
 ORACLE["frag_pairs"] = f"SELECT mol_id, coalesce(n, 0) AS pairs, {r('m', 8, 'mean_distance')} FROM {_PAIRS}"
+_LARGE = lambda sql: sql.replace("{raw_atoms}", "{large_atoms}").replace("{atoms}", "{large_atoms}")
+ORACLE["fragments_large"] = _LARGE(ORACLE["fragments"])
+ORACLE["frag_pairs_large"] = _LARGE(f"SELECT mol_id, coalesce(n, 0) AS pairs, {r('m', 7, 'mean_distance')} FROM {_PAIRS}")
 _HB = f"""(WITH f AS {_FRAGS}, t AS (SELECT * FROM {{atoms}} JOIN f USING (mol_id, atom)), e AS (SELECT * FROM {{bonds}}),
   two AS (SELECT mol_id FROM f GROUP BY 1 HAVING count(DISTINCT frag) = 2),
   ends AS (SELECT mol_id, a AS h, b AS d FROM e UNION ALL SELECT mol_id, b, a FROM e),
@@ -416,12 +419,22 @@ def _ranks(column: str) -> str:
     return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2e0"
 
 
-ORACLE["spearman"] = " UNION ALL ".join(
-    f"""SELECT '{k}' AS subset, {r('corr(a, b)', 7, 'spearman_sl2rho')}, {r('corr(c, d)', 7, 'spearman_rdg')} FROM
+def _spearman(source: str, masks: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{k}' AS subset, {r('corr(a, b)', 7, 'spearman_sl2rho')}, {r('corr(c, d)', 7, 'spearman_rdg')} FROM
   (SELECT {_ranks('sl2_ref')} AS a, {_ranks('sl2_pred')} AS b, {_ranks('rdg_ref')} AS c, {_ranks('rdg_pred')} AS d
-   FROM {_JUDGED} WHERE {m})"""
-    for k, m in _MASKS.items()
-)
+   FROM {source} WHERE {m})"""
+        for k, m in masks.items()
+    )
+
+
+ORACLE["spearman"] = _spearman(_JUDGED, _MASKS)
+ORACLE["agreement"] = f"SELECT * FROM ({ORACLE['subset_metrics']}) m JOIN ({ORACLE['spearman']}) s USING (subset)"
+_TRIMMED = f"""(WITH c AS {_COMPARED} SELECT * FROM c,
+  (SELECT quantile_cont(rdg_ref, 0.9) AS qr, quantile_cont(abs(sl2_ref), 0.9) AS qs FROM c))"""
+_GRID_MASKS = {**_MASKS, "low_rdg": "rdg_ref <= 1"}
+ORACLE["grid_agreement"] = f"""SELECT * FROM ({_metrics(_TRIMMED, _GRID_MASKS)}) m
+JOIN ({_spearman(_TRIMMED, _GRID_MASKS)}) s USING (subset)"""
 
 
 def _histogram(source: str, x: str, y: str, bins: int) -> str:
@@ -445,3 +458,14 @@ FROM {{pairs}} WHERE rdg_ref <= 2 AND rdg_pred <= 2"""
 
 # The given texts hold no composed forms and no wrongly decoded ones, so cleaning them is dropping controls and trimming.
 ORACLE["clean_names"] = r"""SELECT doc_id, coalesce(trim(regexp_replace(text, '[\p{Cc}\p{Cf}]', '', 'g')), '') AS cleaned FROM documents"""
+
+# --- stored forms -----------------------------------------------------------------------------------
+
+_VECTOR = ", ".join(f"f{i}" for i in range(1, 10))
+ORACLE["batch_sheet"] = f"""SELECT n.mol_id || '.mol' AS "File", {_VECTOR},
+  {r('CASE WHEN NOT isnan(snci) THEN snci END', 8, '"SNCI"')}, {r('scdi', 8, '"SCDI"')},
+  {r('scdi_variance', 8, '"SCDI_variance"')}, {r('x', 8, '"SNCI_Norm"')}, {r('y', 8, '"SCDI_Norm"')}
+FROM {_NORMED} n JOIN {{vectors}} USING (mol_id) JOIN (SELECT mol_id, snci, scdi, scdi_variance FROM {{records}}) k USING (mol_id)"""
+ORACLE["record_texts"] = """SELECT mol_id, round(scdi, 8) AS scdi, f1, f9, 9::BIGINT AS n, true AS note_kept, 'none' AS solvent
+FROM {records} JOIN {vectors} USING (mol_id) WHERE status = 'success'"""
+ORACLE["field_texts"] = """SELECT mol_id, printf('%.8f %.8f %.8f %.10e %.10e', x, y, z, sl2rho, rdg) AS "value" FROM {field}"""

@@ -16,7 +16,8 @@ from molframe.operators.density import density, field
 from molframe.operators.fragments import fragments, override_fragments
 from molframe.operators.paths import resolve_paths
 from molframe.plans.descriptors import assemble_vector
-from molframe.sources import bondorders, corpus, grids, logs, molden, results, structures
+from molframe.plans.compare import compare_grids
+from molframe.sources import bondorders, corpus, grids, logs, molden, results, sinks, structures
 from molframe.sources import surface as surface_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +211,24 @@ def frag_override(spark, sf):
     return override_fragments(own, other)
 
 
+def _large(spark, sf):
+    return view(spark, sf, "large_atoms"), view(spark, sf, "large_bonds")
+
+
+@query
+def fragments_large(spark, sf):
+    """Molecules of many blocks, so that labels meet across blocks."""
+    return fragments(*_large(spark, sf))
+
+
+@query
+def frag_pairs_large(spark, sf):
+    """Molecules of many packs of fragments."""
+    atoms, bonds = _large(spark, sf)
+    centres = geometry.centres_of_mass(atoms, fragments(atoms, bonds))
+    return rounded(geometry.pair_distances(centres), 7, "mean_distance")
+
+
 # --- surfaces, fields, moments ----------------------------------------------------------------------
 
 
@@ -480,6 +499,30 @@ def spearman(spark, sf):
     return rounded(rows, 7, "spearman_sl2rho", "spearman_rdg")
 
 
+def _rounded_agreement(rows):
+    ranks = {c: 7 if c.startswith("spearman") else 6 for c in rows.columns if c not in ("subset", "n")}
+    for c, digits in ranks.items():
+        rows = rounded(rows, digits, c)
+    return rows
+
+
+@query
+def agreement(spark, sf):
+    """All metrics of all subsets, as a user calls it."""
+    return _rounded_agreement(compare.agreement(_pairs(spark, sf)))
+
+
+@query
+def grid_agreement(spark, sf):
+    """A stored grid in angstrom against a prediction by index: completeness, alignment, trimming and all metrics."""
+    reference = view(spark, sf, "field").select("mol_id", "x", "y", "z", "sl2rho", "rdg")
+    predicted = view(spark, sf, "grid").select(
+        "mol_id", "ix", "iy", "iz", (F.col("rho") - 0.25 + F.col("iz") / 100).alias("sl2rho"),
+        (F.col("rho") * 3 + F.col("ix") / 10).alias("rdg"),
+    )
+    return _rounded_agreement(compare_grids(reference, predicted, trim_quantile=0.9, low_rdg=1.0))
+
+
 @query
 def parity_hist(spark, sf):
     return compare.parity_histogram(_pairs(spark, sf), "rdg_ref", "rdg_pred", 40)
@@ -509,3 +552,43 @@ QUERIES["fragments"] = QUERIES.pop("fragment_labels")
 QUERIES["assemble_vector"] = QUERIES.pop("assembled_vector")
 QUERIES["density"] = QUERIES.pop("density_field")
 QUERIES["resolve_paths"] = QUERIES.pop("resolved_paths")
+
+
+# --- stored forms -----------------------------------------------------------------------------------
+
+
+def _described(spark, sf):
+    """Normalised records with their vectors, keyed by input path."""
+    vectors = view(spark, sf, "vectors").select("mol_id", F.array(*[f"f{i}" for i in range(1, 10)]).alias("f"))
+    path = F.concat(F.lit("in/"), F.col("mol_id").cast("string"), F.lit(".mol"))
+    return _normed(spark, sf).join(vectors, "mol_id").withColumn("mol_id", path)
+
+
+@query
+def batch_sheet(spark, sf):
+    rows = sinks.batch_table(_described(spark, sf))
+    rows = rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("SNCI", "SNCI_Norm")})
+    return rounded(rows, 8, "SNCI", "SCDI", "SCDI_variance", "SNCI_Norm", "SCDI_Norm")
+
+
+@query
+def record_texts(spark, sf):
+    """Descriptor records written as JSON text and read back from it."""
+    rows = _described(spark, sf).withColumns(
+        {"solvent": F.lit("none"), "meta": F.struct(F.size("f").alias("n"), F.lit(None).cast("string").alias("note"))}
+    )
+    text = rows.select(sinks.record_json().alias("j"))
+    get = lambda path, kind="double": F.get_json_object("j", path).cast(kind)
+    return text.select(
+        F.regexp_extract(get("$.mol_id", "string"), "in/([0-9]+)", 1).cast("long").alias("mol_id"),
+        F.round(get("$.SCDI"), 8).alias("scdi"),
+        get("$.vector[0]").alias("f1"), get("$.vector[8]").alias("f9"),
+        get("$.metadata.n", "long").alias("n"),
+        F.col("j").contains('"note":null').alias("note_kept"), get("$.solvent", "string").alias("solvent"),
+    )
+
+
+@query
+def field_texts(spark, sf):
+    """The text form of stored fields, with the molecule of every line."""
+    return sinks.field_lines(view(spark, sf, "field"))

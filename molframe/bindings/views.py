@@ -35,6 +35,20 @@ SELECT a.mol_id AS mol_id, a.atom AS a, b.atom AS b
 FROM {raw_atoms} a JOIN {raw_atoms} b ON a.mol_id = b.mol_id AND b.atom = a.atom + 1
 WHERE (a.pk + b.pk) % 3 <> 0"""
 
+# Large molecules: the line items of a nation's suppliers, thousands of atoms each.
+VIEWS["large_atoms"] = """
+SELECT s_nationkey AS mol_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY l_orderkey, l_linenumber,
+         l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS INT) AS atom, l_partkey AS pk,
+       CASE l_partkey % 4 WHEN 0 THEN 'H' WHEN 1 THEN 'O' WHEN 2 THEN 'N' ELSE 'C' END AS el,
+       CASE l_partkey % 4 WHEN 0 THEN 1008e-3 WHEN 1 THEN 15999e-3 WHEN 2 THEN 14007e-3 ELSE 12011e-3 END AS mass,
+       l_quantity / 5e0 AS x, l_discount * 30e0 AS y, l_tax * 30e0 AS z
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"""
+
+VIEWS["large_bonds"] = """
+SELECT mol_id, atom - 1 AS a, atom AS b
+FROM (SELECT mol_id, atom, pk + lag(pk) OVER (PARTITION BY mol_id ORDER BY atom) AS s FROM {large_atoms})
+WHERE s % 3 <> 0"""
+
 VIEWS["wbo"] = """
 SELECT l_orderkey AS mol_id, CAST(l_linenumber AS INT) AS i, CAST(l_partkey % 7 + 1 AS INT) AS j,
        CAST((l_partkey * 7 + l_suppkey * 13) % 1000 AS DOUBLE) / 1e3 AS wbo
@@ -78,6 +92,12 @@ SELECT l_partkey AS mol_id, CASE WHEN l_partkey % 10 = 9 THEN 'failed' ELSE 'suc
        sum(l_quantity * l_tax) / sum(l_quantity) AS scdi_variance
 FROM {lineitem} GROUP BY l_partkey"""
 
+VIEWS["vectors"] = """
+SELECT l_partkey AS mol_id, min(l_quantity) AS f1, min(l_discount) AS f2, min(l_tax) AS f3, max(l_quantity) AS f4,
+       max(l_discount) AS f5, CAST(count(*) AS DOUBLE) AS f6, max(l_tax) AS f7, max(l_extendedprice) AS f8,
+       CAST(max(l_orderkey) AS DOUBLE) AS f9
+FROM {lineitem} GROUP BY l_partkey"""
+
 # The second run's keys are moved, so that both ends are one-sided and no row is left out.
 VIEWS["variant"] = """
 SELECT l_suppkey * 3 + l_partkey % 3 + CASE l_linestatus WHEN 'O' THEN 30 ELSE 0 END AS mol_id, l_linestatus AS run, max(l_shipdate) AS seen,
