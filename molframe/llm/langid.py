@@ -18,11 +18,13 @@ from molframe.llm.common import mix, pieces, probe, remainder
 ORDER = 4
 # Text that the models learn from, per language: rows are drawn by hash so that about this many bytes are expected.
 SAMPLE_BYTES = 3 << 20
-# Of the drawn rows, one in CALIBRATE is kept aside to set the rejection limits.
+# Of the drawn rows, one in CALIBRATE is kept aside, so that languages drawn whole have rows for their limit too.
 CALIBRATE = 5
 # Short texts are pulled to the typical entropy of their language as if they had so many characters more.
 PRIOR_CHARS = 60
-# A text is rejected beyond the median plus so many times the distance to the 99.9th percentile.
+# A text is rejected beyond the median plus STRETCH times the distance to this quantile of all rows not fitted on. The
+# quantile leaves room for rows with a wrong label, whatever their number of bits.
+TOP = 0.95
 STRETCH = 3.0
 SHARPNESS = 20.0
 UNKNOWN = "und"
@@ -187,20 +189,27 @@ def _counts(texts: Iterator[tuple[str, str]]) -> dict[str, Counter]:
     return found
 
 
-def sample(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text, part) of the rows that models may learn from, drawn by hash to about ``sample_bytes`` per language."""
+def usable_rows(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(lang, text, fitted) of all rows that may be learned from.
+
+    The models are fitted on rows drawn by hash, about ``sample_bytes`` per language with one in CALIBRATE left out, and on the
+    row of each language that comes first by hash, so that none goes without. All others are for the limits.
+    """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    aside = F.pmod(F.xxhash64("text", "doc_id"), F.lit(CALIBRATE)) == 0
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), drawn)
+    sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(lettered).alias("first"))
+    share = sizes.select("lang", "first", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("share"))
     # The table of languages is one row per label.
-    joined = usable.join(F.broadcast(share), "lang").filter(drawn < F.col("share"))
-    return joined.select("lang", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(CALIBRATE)).alias("part"))
+    joined = usable.join(F.broadcast(share), "lang")
+    fitted = ((drawn < F.col("share")) & ~aside) | F.coalesce(drawn == F.col("first"), F.lit(False))
+    return joined.select("lang", "text", fitted.alias("fitted"))
 
 
 def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Models:
     """Models of every label, from words that Spark counts over the drawn rows; the bounded sample limits what arrives here."""
-    drawn = sample(docs, sample_bytes)
+    rows_of = usable_rows(docs, sample_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +220,7 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
                     ["lang", "word", "n"],
                 )
 
-    counted = drawn.filter("part > 0").select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
+    counted = rows_of.filter("fitted").select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
     rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "word"])
     languages = sorted(rows["lang"].unique().tolist())
     tables, alphabet = [], []
@@ -228,25 +237,25 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
         alphabet.append(len(table[0][0]))
     if not languages:
         return Models([], order)
-    return _calibrated(kneser_ney(languages, tables, alphabet, order), drawn.filter("part = 0"))
+    return _calibrated(kneser_ney(languages, tables, alphabet, order), rows_of.filter("NOT fitted"))
 
 
 def _calibrated(models: Models, aside: DataFrame) -> Models:
-    """Rejection limits from the entropies of rows that were kept aside, measured on the executors."""
+    """Rejection limits from the entropies of all rows that the models were not fitted on, measured on the executors."""
     held = aside.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {name: i for i, name in enumerate(held.value.languages)}
         for batch in batches:
-            languages = batch.column(0).to_pylist()
-            entropy, chars = held.value.entropy(batch.column(1).to_pylist())
-            known = {name: i for i, name in enumerate(held.value.languages)}
-            keep = [(name, float(e[known[name]])) for name, e, c in zip(languages, entropy, chars, strict=True) if c >= PRIOR_CHARS and name in known]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.float64())], ["lang", "bits"])
+            for part in pieces(batch, "text", 1 << 23):
+                entropy, chars = held.value.entropy(part.column(1).to_pylist())
+                keep = [(name, float(e[known[name]])) for name, e, c in zip(part.column(0).to_pylist(), entropy, chars, strict=True) if c >= PRIOR_CHARS and name in known]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.float64())], ["lang", "bits"])
 
     rows = aside.select("lang", "text").mapInArrow(measure, "lang string, bits double")
-    spread = {r["lang"]: r for r in rows.groupBy("lang").agg(F.percentile("bits", [0.5, 0.999]).alias("q")).collect()}
-    middle = [spread[name]["q"][0] if name in spread else np.inf for name in models.languages]
-    top = [spread[name]["q"][1] if name in spread else np.inf for name in models.languages]
+    spread = {r["lang"]: r["q"] for r in rows.groupBy("lang").agg(F.percentile_approx("bits", [0.5, TOP], 10000).alias("q")).collect()}
+    middle = [spread[name][0] if name in spread else np.inf for name in models.languages]
+    top = [spread[name][1] if name in spread else np.inf for name in models.languages]
     models.median = np.array([m if np.isfinite(m) else 0.0 for m in middle])
     models.limit = np.array([m + max(1.0, STRETCH * (t - m)) if np.isfinite(m) else np.inf for m, t in zip(middle, top, strict=True)])
     return models
