@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from molframe.llm.common import stored
 
 KINDS = ("assign", "access", "hex", "owned")
+HEX_KIND = 2
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -26,7 +27,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 # A value seen with this many owners, or in this many repositories, is a copied example.
 WIDE = 5
-# A live-looking value holds a digit and has at least this many bits per character.
+# A live-looking value has at least this many bits per character; a hex run also holds a digit.
 MIN_ENTROPY = 2.0
 MASK = "<secret>"
 
@@ -48,10 +49,11 @@ def candidates(text: str | None) -> list[tuple[int, int, int, int, str]]:
     return sorted(found, key=lambda c: (c[1], c[0]))
 
 
-def live_looking(value: str) -> bool:
+def live_looking(kind: int, value: str) -> bool:
+    """Whether a value looks drawn at random: by its entropy, for hex runs by a digit too. Passwords and access keys need none."""
     counts = Counter(value).values()
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts)
-    return bits >= MIN_ENTROPY and any(c.isdigit() for c in value)
+    return bits >= MIN_ENTROPY and (kind != HEX_KIND or any(c.isdigit() for c in value))
 
 
 def _hash(value: str) -> int:
@@ -70,7 +72,7 @@ def scan(docs: DataFrame, text_column: str, keep: list[str]) -> DataFrame:
         kinds = pa.list_(pa.struct([(n, t) for n, t in zip(names, [pa.int32()] * 4 + [pa.int64(), pa.bool_()], strict=True)]))
         for batch in batches:
             found = [
-                [dict(zip(names, (k, a, b, v, _hash(s), live_looking(s)), strict=True)) for k, a, b, v, s in candidates(t.as_py())]
+                [dict(zip(names, (k, a, b, v, _hash(s), live_looking(k, s)), strict=True)) for k, a, b, v, s in candidates(t.as_py())]
                 for t in batch.column(len(keep))
             ]
             rows = pa.array(range(row, row + len(found)), pa.int64())
