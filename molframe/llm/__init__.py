@@ -1 +1 @@
-"""Operators for preparing training data: ten methods over documents, vectors and conversations."""
+"""Operators for preparing training data: thirteen methods over documents, vectors and conversations."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molframe.llm import chat, decontamination, langid, packing, secrets, sentencepieces, sharding, simhash, vectors, weighting
+from molframe.llm import chat, decontamination, langid, packing, periodic, repeats, secrets, sentencepieces, sharding, simhash, spelling, vectors, weighting
 from molframe.llm.common import table
 
 # Where the vocabularies of public tokenizers lie on the driver.
@@ -68,6 +68,18 @@ def op10_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +93,9 @@ QUERIES: dict[str, Query] = {
         op8_chat,
         op9_language,
         op10_packed,
+        op11_periodic_runs,
+        op12_spelling,
+        op13_substrings,
     )
 }
 
@@ -127,3 +142,70 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len("".join(chat.CONTROLS))}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
+
+_BLANK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes: each byte is followed by eight shifts."""
+    digits = f"hex(encode({text}))"
+    digit = "(strpos('0123456789ABCDEF', substr({0}, 2 * k + {1}, 1)) - 1)"
+    byte = f"{digit.format(digits, 1)} * 16 + {digit.format(digits, 2)}"
+    steps = f"flatten(list_transform(range(CAST(length({digits}) / 2 AS BIGINT)), lambda k: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda c, x: {shift}), 4294967295)"
+
+
+ORACLE["op11_periodic_runs"] = f"""
+WITH d AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) AS g FROM (
+  SELECT doc_id, {_BLANK_WORDS} AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents)),
+m AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM d),
+t AS (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS word FROM (
+  SELECT *, unnest(range(n)) AS i FROM m)),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island),
+long AS (SELECT * FROM islands WHERE l >= greatest(24, 3 * q)),
+runs AS (SELECT * FROM long r WHERE NOT EXISTS (
+  SELECT 1 FROM long o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+best AS (SELECT doc_id, s, l, q FROM runs b WHERE NOT EXISTS (
+  SELECT 1 FROM runs o WHERE o.doc_id = b.doc_id AND (o.l * b.q > b.l * o.q OR (o.l * b.q = b.l * o.q AND (o.s < b.s OR (o.s = b.s AND o.q < b.q)))))),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS x FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS x FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i
+  WHERE gone.i IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+ORACLE["op12_spelling"] = f"""
+WITH found AS (SELECT doc_id, r, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY doc_id, r),
+marked AS (SELECT r, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM found),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM marked),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM v)),
+pairs AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, v.word FROM cut a JOIN v ON v.word = a.rest UNION SELECT v.word, a.word FROM cut a JOIN v ON v.word = a.rest),
+ranked AS (SELECT p.word, p.near, x.n, row_number() OVER (PARTITION BY p.word ORDER BY x.n DESC, p.near) AS place,
+  count(*) OVER (PARTITION BY p.word) AS n_near FROM pairs p JOIN v x ON x.word = p.near),
+named AS (SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * v.n THEN r.near END AS form, CASE WHEN r.n >= 5 * v.n THEN r.n END AS form_n
+  FROM v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+steps AS (WITH RECURSIVE up AS (SELECT word, word AS top, 0 AS depth FROM named
+  UNION ALL SELECT u.word, x.form, u.depth + 1 FROM up u JOIN named x ON x.word = u.top WHERE x.form IS NOT NULL)
+  SELECT word, arg_max(top, depth) AS root FROM up GROUP BY word)
+SELECT a.word, a.form, s.root, a.n, CAST(a.n_near AS BIGINT) AS n_near, a.form_n FROM named a JOIN steps s ON s.word = a.word"""
+
+ORACLE["op13_substrings"] = f"""
+WITH d AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM (
+  SELECT x.doc_id, x.i FROM windows x JOIN firsts f ON f.h = x.h WHERE f.first_id < x.doc_id)),
+parts AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS x
+  FROM parts p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.x, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
