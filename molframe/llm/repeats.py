@@ -275,7 +275,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, text_column: str =
     """
     common = common_grams(docs, text_column)
     marks = written(_marked(docs, common, window, text_column))
-    least = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
+    least = written(marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("least")))
     rows = written(marks.select("doc_id", "n_words", "d1", "d2", "digest").join(least, ["d1", "d2"]))
     origins = rows.filter((F.col("doc_id") == F.col("least")) & (F.col("n_words") >= window)).select("doc_id").distinct()
     every = marks.filter("doc_id IS NOT NULL").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.a", "s.s1", "s.s2")
