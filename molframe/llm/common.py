@@ -45,7 +45,20 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more."""
+    for made in tables:
+        remove_folder(made.sparkSession, made.written_path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def remainder(column: Column, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import stored
+from molframe.llm.common import discard, written
 
 
 def _nearest(edges: DataFrame, both: bool) -> DataFrame:
@@ -28,10 +28,10 @@ def _round(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node it reaches.
 
-    Large-star and small-star steps alternate until the edges no longer change; each round is stored in the
-    shared folder. An empty table gives an empty result; loops and repeated links are harmless.
+    Large-star and small-star steps alternate until the edges no longer change; each round is written to the
+    shared folder and replaces the one before. An empty table gives an empty result; loops and repeated links are harmless.
     """
-    edges = stored(
+    edges = written(
         links.filter("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
@@ -42,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == tuple(sums) or not sums[0]:
             break
         state = tuple(sums)
-        edges = stored(_round(edges))
+        last, edges = edges, written(_round(edges))
+        discard(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
