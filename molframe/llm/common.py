@@ -132,3 +132,22 @@ def probe(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         return np.full(len(wanted), -1)
     place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[place] == wanted, place, -1)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of ``counts`` words each, joined by one blank."""
+    last = np.zeros(len(starts), bool)
+    last[(np.cumsum(counts) - 1)[counts > 0]] = True
+    size = ends - starts + ~last
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(total[-1], 0x20, np.uint8)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + (_STEP >> 1), side="right")) - 1)
+        length = (ends - starts)[low:high]
+        before = np.cumsum(length) - length
+        step = np.arange(length.sum())
+        out[step + np.repeat(total[low:high] - before, length)] = data[step + np.repeat(starts[low:high] - before, length)]
+        low = high
+    offsets = total[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])

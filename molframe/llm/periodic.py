@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import NOT_BLANK, mix, pieces, utf8, words
+from molframe.llm.common import NOT_BLANK, joined_words, mix, pieces, utf8, words
 
 # A run holds at least this many words and at least this many periods.
 LEAST_WORDS = 24
@@ -18,7 +18,6 @@ LEAST_PERIODS = 3
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PIECE = 1 << 21
-_STEP = 1 << 20
 
 Run = tuple[int, int, int]
 
@@ -98,25 +97,6 @@ def lag_scan(codes: np.ndarray, least_words: int = LEAST_WORDS, least_periods: i
     return found
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Rows of ``counts`` words each, joined by one blank."""
-    last = np.zeros(len(starts), bool)
-    last[(np.cumsum(counts) - 1)[counts > 0]] = True
-    size = ends - starts + ~last
-    total = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(total[-1], 0x20, np.uint8)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + _STEP, side="right")) - 1)
-        length = (ends - starts)[low:high]
-        before = np.cumsum(length) - length
-        step = np.arange(length.sum())
-        out[step + np.repeat(total[low:high] - before, length)] = data[step + np.repeat(starts[low:high] - before, length)]
-        low = high
-    offsets = total[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
-
-
 def collapse(texts: pa.Array, marks: list[int] | None, least_words: int, least_periods: int) -> tuple[np.ndarray, list[list[Run]], pa.Array]:
     """Words per text, its runs by start and period, and the text without what repeats in them."""
     data, at = utf8(texts)
@@ -141,7 +121,7 @@ def collapse(texts: pa.Array, marks: list[int] | None, least_words: int, least_p
     for found in runs:
         found.sort(key=lambda r: (r[0], r[2]))
     kept = np.bincount(owner[~drop], minlength=len(counts)) if len(counts) else counts
-    return counts, runs, _joined(data, starts[~drop], ends[~drop], kept)
+    return counts, runs, joined_words(data, starts[~drop], ends[~drop], kept)
 
 
 def collapse_runs(

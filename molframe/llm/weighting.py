@@ -3,283 +3,344 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import LOWER, NOT_BLANK, hashes, pieces, remainder, written, utf8, words
-from molframe.llm.lookup import sums_by_row
+from molframe.llm.common import LOWER, NOT_BLANK, discard, hashes, joined_words, pieces, probe, remainder, utf8, words, written
 
 DEPTH = 5
-# A document class is seen by the contexts of a token's first bytes only; later bytes tell enough by themselves.
-CLASS_DEPTH = 3
-BLANK = 0x20
-# Bytes that UTF-8 never uses open a token in place of the blank to name a class. Labels beyond the most frequent ones
-# share the first of them, as do rows without a label.
-CLASS_BYTES = (0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xFF, 0xC0, 0xC1)
-END_KEY = 0
-_PIECE = 1 << 24
+# Contexts are dealt to tasks by their last two bytes; the levels above those have at most 256 * 255 nodes.
+SPLIT = 2
+BLANK, END = 0x20, 0x0A
+# Bytes of text that share one table of prices, and grams of one task that builds the tree.
+BLOCK = 64 << 20
+GRAMS = 1 << 20
+_PIECE = 1 << 22
+_TOKEN = np.uint64(1 << 63)
 _LN_HALF = math.log(0.5)
 
 
-def token_batches(batch: pa.RecordBatch, column: str):
-    """Parts of a batch with, per token, its row and its key; the end of a text is one more token."""
-    for part in pieces(batch, column, _PIECE):
-        data, at = utf8(part.column(part.schema.get_field_index(column)))
-        data = LOWER[data]
-        starts, ends, counts = words(data, at, NOT_BLANK)
-        keys = hashes(data, starts, ends).view(np.int64)
-        rows = np.arange(part.num_rows)
-        yield part, data, starts, ends, np.concatenate([np.repeat(rows, counts), rows]), np.concatenate([keys, np.full(len(rows), END_KEY)])
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x >= 1/2, by a shift of seven and the asymptotic series."""
+    z = x + 7
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    shift = x.copy()
+    for k in range(1, 7):
+        shift *= x + k
+    return series - np.log(shift)
 
 
-def vocabulary(docs: DataFrame, learned: Column, group: Column, groups: int, text_column: str = "text") -> DataFrame:
-    """(key, word, use, n0..): every distinct token of all texts, how often it stands in all and in learned rows by class."""
-    number = F.when(learned, group).otherwise(-1).cast("int")
-    source = docs.select(F.col(text_column).alias("_text"), number.alias("_group"))
-    names = [f"n{g}" for g in range(groups)]
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The Krichevsky-Trofimov probability (ln) of a block of zeros and ones."""
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, starts, ends, owner, keys in token_batches(batch, "_text"):
-                group_of = part.column(1).to_numpy(zero_copy_only=False)[owner]
-                unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                raw = data.tobytes()
-                texts = [raw[starts[i] : ends[i]] if i < len(starts) else b"" for i in first.tolist()]
-                cells = np.bincount(inverse * (groups + 1) + group_of + 1, minlength=len(unique) * (groups + 1)).reshape(-1, groups + 1)
-                counts = [pa.array(cells.sum(1)), *(pa.array(np.ascontiguousarray(cells[:, g + 1])) for g in range(groups))]
-                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(texts, pa.binary()), *counts], ["key", "word", "use", *names])
 
-    found = source.mapInArrow(run, "key bigint, word binary, use bigint, " + ", ".join(f"{n} bigint" for n in names))
-    return found.groupBy("key").agg(F.first("word").alias("word"), *(F.sum(n).alias(n) for n in ["use", *names]))
+@dataclass
+class Level:
+    """Nodes of one depth: code (context, then the bits of the byte so far behind a leading one), counts, and ln weighted.
 
+    ``share`` is the weight that a node's own estimate has against its longer contexts.
+    """
 
-def byte_grams(array: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per byte of each token and its closing blank: the token, the packed context and byte, and the bytes since it opened.
+    code: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    share: np.ndarray
 
-    Contexts are the bytes since the blank that opens the token, that blank included, the last ``depth`` of them.
-    """
-    data, at = utf8(array.cast(pa.large_binary()))
-    sizes = np.diff(at)
-    laid = np.full(len(data) + 2 * len(sizes), BLANK, np.uint8)
-    ends = np.cumsum(sizes + 2)
-    inside = np.ones(len(laid), bool)
-    inside[ends - 1] = inside[ends - sizes - 2] = False
-    laid[inside] = data
-    step = np.arange(len(laid)) - np.repeat(ends - sizes - 2, sizes + 2)
-    place = np.flatnonzero(step > 0)
-    step = step[place]
-    keys = np.zeros(len(place), np.uint64)
-    for back in range(depth + 1):
-        within = step >= back
-        keys[within] |= laid[place[within] - back].astype(np.uint64) << np.uint64(8 * back)
-    return np.repeat(np.arange(len(sizes)), sizes + 1), keys.view(np.int64), np.minimum(step, depth + 1)
-
-
-def grams(vocabulary: DataFrame, depth: int, groups: int) -> DataFrame:
-    """(key, length, step, use, n0..): every context and next byte, over distinct tokens (use) and over learned text (n).
-
-    ``step`` counts the bytes since the token opened, up to one more than the longest context.
+    def chance(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+
+
+def _nodes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight nodes on the way to each key's byte, and the bit taken at each."""
+    byte, context = keys & np.uint64(255), keys >> np.uint64(8) << np.uint64(8)
+    steps = range(8)
+    code = np.stack([context | np.uint64(1 << k) | byte >> np.uint64(8 - k) for k in steps], 1)
+    return code, np.stack([byte >> np.uint64(7 - k) & np.uint64(1) for k in steps], 1).astype(bool)
+
+
+def _shorter(code: np.ndarray, depth: int) -> np.ndarray:
+    """The node of the last ``depth`` bytes of context."""
+    return code & np.uint64((1 << (8 * depth + 8)) - 1)
+
+
+def deepest(keys: np.ndarray, counts: np.ndarray) -> Level:
+    """The nodes of the full contexts of all grams that were learned."""
+    learned = counts > 0
+    code, bit = _nodes(keys[learned])
+    code, inverse = np.unique(code.ravel(), return_inverse=True)
+    times = np.repeat(counts[learned].astype(np.float64), 8)
+    ones = np.bincount(inverse, times * bit.ravel(), len(code))
+    zeros = np.bincount(inverse, times, len(code)) - ones
+    return Level(code, zeros, ones, _estimate(zeros, ones), np.ones(len(code)))
+
+
+def shortened(below: Level, depth: int) -> Level:
+    """The nodes of contexts of ``depth`` bytes from those one byte longer.
+
+    A node's weighted probability is half its own estimate and half the product over its longer contexts.
     """
-    names = [f"n{g}" for g in range(groups)]
+    code, inverse = np.unique(_shorter(below.code, depth), return_inverse=True)
+    zeros, ones, longer = (np.bincount(inverse, x, len(code)) for x in (below.zeros, below.ones, below.weighted))
+    own = _estimate(zeros, ones)
+    gap = longer - own
+    mixed = _LN_HALF + np.maximum(longer, own) + np.log1p(np.exp(-np.abs(gap)))
+    return Level(code, zeros, ones, mixed, 1 / (1 + np.exp(np.minimum(gap, 700.0))))
+
+
+@dataclass
+class Path:
+    """For the nodes of a level: probability gained in shorter contexts, weight left for this and longer ones, and the
+    chance of a one if the way ends here."""
+
+    code: np.ndarray
+    gained: np.ndarray
+    left: np.ndarray
+    final: np.ndarray
+    next_gained: np.ndarray
+    next_left: np.ndarray
+
+
+def lengthened(level: Level, depth: int, above: Path | None) -> Path:
+    """The same for the nodes of ``level`` from those one byte shorter."""
+    gained, left = np.zeros(len(level.code)), np.ones(len(level.code))
+    if above is not None:
+        place = np.searchsorted(above.code, _shorter(level.code, depth - 1))
+        gained, left = above.next_gained[place], above.next_left[place]
+    chance = level.chance()
+    return Path(level.code, gained, left, gained + left * chance, gained + left * level.share * chance, left * (1 - level.share))
+
+
+def log_chances(keys: np.ndarray, paths: list[tuple[int, Path]]) -> np.ndarray:
+    """log10 probability of each gram: every bit is told by the deepest node on its way that was learned, or by a half."""
+    code, bit = _nodes(keys)
+    one = np.full(code.shape, 0.5)
+    open_ = np.ones(code.shape, bool)
+    for depth, path in sorted(paths, key=lambda x: -x[0]):
+        if not len(path.code):
+            continue
+        place = probe(path.code, _shorter(code[open_], depth))
+        found = open_.copy()
+        found[open_] = place >= 0
+        one[found] = path.final[place[place >= 0]]
+        open_ &= ~found
+    return np.log10(np.where(bit, one, 1 - one)).sum(1)
+
+
+def tree_prices(keys: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of each gram (``depth`` bytes of context and a byte) under the tree of all grams."""
+    levels = [deepest(keys, counts)]
+    for d in range(depth - 1, -1, -1):
+        levels.insert(0, shortened(levels[0], d))
+    paths, above = [], None
+    for d, level in enumerate(levels):
+        above = lengthened(level, d, above)
+        paths.append((d, above))
+    return log_chances(keys, paths)
+
+
+def _streams(docs: DataFrame, keep: list[str], learned: Column, text_column: str) -> DataFrame:
+    """info (the ``keep`` columns), learned, block, size and body: the lower-cased words joined by one blank, compressed."""
+    blocks = max(1, -(-(docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0) // BLOCK))
+    place = F.pmod(F.xxhash64(*keep, text_column), F.lit(blocks))
+    source = docs.select(F.struct(*keep).alias("info"), F.coalesce(learned, F.lit(False)).alias("learned"), place.alias("block"), F.col(text_column).alias("_text"))
+    schema = source.drop("_text").withColumns({"size": F.lit(0), "body": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in batches:
-            owner, keys, step = byte_grams(batch.column(0), depth)
-            unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            columns = [unique, np.minimum(step[first], depth), step[first], np.bincount(inverse)]
-            for g in range(groups):
-                times = batch.column(1 + g).to_numpy().astype(np.float64)
-                columns.append(np.bincount(inverse, times[owner]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "length", "step", "use", *names])
-
-    kinds = ", ".join(f"{n} bigint" for n in ["key", "length", "step", "use", *names])
-    found = vocabulary.select("word", *names).mapInArrow(run, kinds)
-    return found.groupBy("key", "length", "step").agg(*(F.sum(n).alias(n) for n in ["use", *names]))
-
-
-def _by_class(grams: DataFrame, groups: int) -> DataFrame:
-    """One row per gram that knows its class, for each class, with the class byte in place of the opening blank."""
-    opened = (F.col("step") <= CLASS_DEPTH) & (F.col("step") == F.col("length"))
-    plain = grams.filter(~opened).select("key", F.col("key").alias("coded"), "length", F.lit(-1).alias("g"), sum((F.col(f"n{g}") for g in range(groups)), F.lit(0)).alias("n"))
-    each = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(CLASS_BYTES[g] ^ BLANK).cast("long").alias("swap"), F.col(f"n{g}").alias("n")) for g in range(groups))))
-    own = grams.filter(opened).select("key", "length", "step", each.alias("c"))
-    coded = F.col("key").bitwiseXOR(F.call_function("shiftleft", F.col("c.swap"), (F.col("step") * 8).cast("int")))
-    return plain.unionByName(own.select("key", coded.alias("coded"), "length", "c.g", "c.n"))
-
-
-def _log_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x >= 1/2, by a shift of seven and the asymptotic series."""
-    z = x + 7
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
-    shift = x
-    for k in range(1, 7):
-        shift = shift * (x + k)
-    return series - F.log(shift)
+            for part in pieces(batch, "_text", _PIECE):
+                data, at = utf8(part.column(3))
+                data = LOWER[data]
+                text = joined_words(data, *words(data, at, NOT_BLANK)).cast(pa.large_binary())
+                sizes = np.diff(utf8(text)[1]).astype(np.int32)
+                body = pa.array([codec.compress(x.as_buffer(), asbytes=True) if n else b"" for x, n in zip(text, sizes.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes), body], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+@dataclass
+class Uses:
+    """Every use of a token or gram in some rows of a block: its row and key. Token keys have the highest bit set."""
+
+    rows: slice
+    owner: np.ndarray
+    key: np.ndarray
+    bytes: np.ndarray
+
+
+def _uses(group: pa.Table, depth: int) -> Iterator[Uses]:
+    """The keys of the rows of a block, about _PIECE bytes at a time.
+
+    A text is coded as its bytes and one END after ``depth`` END bytes of context; the end is one more token.
+    """
+    codec = pa.Codec("zstd")
+    sizes = group["size"].to_numpy().astype(np.int64)
+    bodies = group["body"].combine_chunks()
+    total, low = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + _PIECE, side="right")) - 1)
+        size, lead = sizes[low:high], bytes([END]) * depth
+        parts = []
+        for i in range(low, high):
+            parts += [lead, codec.decompress(bodies[i].as_buffer(), int(sizes[i]), asbytes=True) if sizes[i] else b"", bytes([END])]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        row = np.repeat(np.arange(high - low), size + depth + 1)
+        step = np.arange(len(data)) - np.repeat(np.cumsum(size + depth + 1) - (size + depth + 1), size + depth + 1)
+        coded = np.flatnonzero(step >= depth)
+        grams = np.zeros(len(coded), np.uint64)
+        for back in range(depth + 1):
+            grams |= data[coded - back].astype(np.uint64) << np.uint64(8 * back)
+        at = np.append(np.flatnonzero(step == 0), len(data))
+        starts, ends, counts = words(data, at, NOT_BLANK)
+        tokens = np.maximum(hashes(data, starts, ends) >> np.uint64(1), np.uint64(1)) | _TOKEN
+        rows = np.arange(high - low)
+        yield Uses(slice(low, high), np.concatenate([np.repeat(rows, counts), rows, row[coded]]), np.concatenate([tokens, np.full(high - low, _TOKEN), grams]), size + 1)
+        low = high
+
+
+def _needed(group: pa.Table, depth: int) -> pa.Table:
+    """(block, key, n): the tokens and grams of a block and how often its learned rows use them."""
+    learned = group["learned"].to_numpy(zero_copy_only=False).astype(bool)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+    for some in _uses(group, depth):
+        new, inverse = np.unique(some.key, return_inverse=True)
+        times = np.bincount(inverse, learned[some.rows][some.owner], len(new))
+        keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, times]), len(keys))
+    block = pa.array(np.full(len(keys), group["block"][0].as_py(), np.int64))
+    return pa.table([block, pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["block", "key", "n"])
+
+
+def _levels(group: pa.Table, depth: int, split: int) -> tuple[np.ndarray, list[Level]]:
+    keys = group["key"].to_numpy().view(np.uint64)
+    levels = [deepest(keys, group["n"].to_numpy())]
+    for d in range(depth - 1, split - 1, -1):
+        levels.insert(0, shortened(levels[0], d))
+    return keys, levels
 
 
-def _estimate(nodes: DataFrame) -> DataFrame:
-    """Adds the Krichevsky-Trofimov block probability (ln) of each node's zeros and ones."""
-    zeros, ones = F.col("zeros") + 0.5, F.col("ones") + 0.5
-    value = _log_gamma(zeros) + _log_gamma(ones) - _log_gamma(zeros + ones) - math.log(math.pi)
-    return nodes.withColumn("kt", value)
+_NODE = "code bigint, zeros double, ones double, weighted double"
 
 
-def _bits(grams: DataFrame) -> DataFrame:
-    """Eight binary decisions per byte: the node is the bits so far behind a leading one."""
-    rows = grams.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    node = F.expr("CAST(shiftleft(1, k) | shiftright(coded & 255, 8 - k) AS INT)")
-    bit = F.expr("shiftright(coded & 255, 7 - k) & 1")
-    context = F.shiftrightunsigned("coded", 8)
-    return rows.select("key", "g", "length", "n", context.alias("context"), node.alias("node"), bit.alias("bit"))
+def _as_table(level: Level) -> pa.Table:
+    return pa.table([pa.array(level.code.view(np.int64)), *(pa.array(x.astype(np.float64)) for x in (level.zeros, level.ones, level.weighted))], names=["code", "zeros", "ones", "weighted"])
 
 
-def _mask(length: int) -> int:
-    return (1 << (8 * length)) - 1
+def _as_level(table: pa.Table) -> Level:
+    code, *rest = (table[c].to_numpy() for c in ("code", "zeros", "ones", "weighted"))
+    order = np.argsort(code)
+    return Level(code[order].view(np.uint64), *(x[order] for x in rest), np.ones(len(code)))
 
 
-def byte_costs(grams: DataFrame, depth: int, groups: int) -> DataFrame:
-    """(key, use, p0..): log10 probability of each context's next byte under the weighted tree, for each class.
+def _shortener(depth: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: _as_table(shortened(_as_level(group), depth))
 
-    Every node of a byte's eight decisions has a tree of contexts of its own. From the deepest contexts up, a node's weighted
-    probability is half its own estimate and half the product over its longer contexts, one aggregation per depth with
-    partial sums, so the short contexts that everything passes through are no burden. From the root down, the shares
-    multiply along the path: one join per depth, where a context has at most 256 longer ones. Contexts that the learned rows
-    lack stand in the tree with zero counts and then predict one half, which is what the method gives them.
+
+def gram_prices(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, price): log10 probability of every gram's byte after its context under the tree of all learned grams.
+
+    Every node of a byte's eight decisions has a tree of contexts of its own. Grams are dealt by the last SPLIT bytes of
+    context, so a task has whole subtrees: it mixes them from the longest contexts to that depth. The levels above have
+    at most 256 * 255 nodes, mixed per last byte and then at the root. From there the shares multiply along the way back
+    to the longest contexts. Where learned rows lack a longer context, the way ends at the shorter one; a decision that
+    they never met costs one bit.
     """
-    decisions = _bits(_by_class(grams, groups))
-    leaves = written(
-        _estimate(
-            decisions.groupBy("length", "context", "node").agg(
-                F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-                F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-            )
-        )
-    )
-    columns = ["context", "node", "zeros", "ones", "kt"]
-    levels, below = {}, None
-    for length in range(depth, -1, -1):
-        own = leaves.filter(F.col("length") == length).select(*columns, F.col("kt").alias("weighted"))
-        if below is not None:
-            shorter = F.col("context").bitwiseAND(F.lit(_mask(length))).alias("context")
-            inner = below.groupBy(shorter, "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer"))
-            gap = F.col("longer") - F.col("kt")
-            mixed = _LN_HALF + F.greatest("longer", "kt") + F.log1p(F.exp(-F.abs(gap)))
-            inner = _estimate(inner).withColumns({"weighted": mixed, "share": 1 / (1 + F.exp(gap))})
-            levels[length] = written(inner.select(*columns, "weighted", "share"))
-            own = levels[length].select(*columns, "weighted").unionByName(own)
-        below = own
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    above, finals = None, []
-    for length in range(depth + 1):
-        inner = levels[length].select("context", "node", one.alias("one"), "share") if length in levels else None
-        ends = leaves.filter(F.col("length") == length).select("context", "node", one.alias("one"))
-        if above is not None:
-            key = F.col("context").bitwiseAND(F.lit(_mask(length - 1))).alias("upper")
-            ends = ends.withColumn("upper", key).join(above, ["upper", "node"])
-            finals.append(ends.select(F.lit(length).alias("length"), "context", "node", (F.col("gained") + F.col("left") * F.col("one")).alias("one")))
-            if inner is not None:
-                inner = inner.withColumn("upper", key).join(above, ["upper", "node"])
-        elif inner is not None:
-            inner = inner.withColumns({"gained": F.lit(0.0), "left": F.lit(1.0)})
-        if inner is not None:
-            gained, left = F.col("gained") + F.col("left") * F.col("share") * F.col("one"), F.col("left") * (1 - F.col("share"))
-            above = inner.select(F.col("context").alias("upper"), "node", gained.alias("gained"), left.alias("left"))
-            above = written(above) if 1 < length < depth else above
-    final = finals[0]
-    for more in finals[1:]:
-        final = final.unionByName(more)
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    part = F.log10(chance)
-    costs = (
-        decisions.drop("n")
-        .join(final, ["length", "context", "node"])
-        .groupBy("key")
-        .agg(*(F.sum(F.when(F.col("g").isin(-1, g), part)).alias(f"p{g}") for g in range(groups)))
-    )
-    return grams.select("key", "use").join(costs, "key")
-
-
-def token_costs(vocabulary: DataFrame, depth: int, groups: int) -> DataFrame:
-    """(key, p0..) of every token: the sum over its bytes and its closing blank, for each class."""
-    costs = written(byte_costs(written(grams(vocabulary, depth, groups)), depth, groups))
-
-    def expand(batch: pa.RecordBatch):
-        owner, keys, _ = byte_grams(batch.column(batch.schema.get_field_index("word")), depth)
-        yield batch, owner, keys
-
-    return sums_by_row(vocabulary.select("key", "word"), ["key"], expand, costs, [f"p{g}" for g in range(groups)])
-
-
-def score_documents(
-    docs: DataFrame,
-    learned: Column,
-    keep: list[str],
-    depth: int = DEPTH,
-    text_column: str = "text",
-    label_column: str | None = "lang",
-) -> DataFrame:
+    split = min(SPLIT, depth)
+    buckets = max(1, -(-grams.count() // GRAMS))
+    context = F.shiftright("key", 8).bitwiseAND((1 << (8 * split)) - 1)
+    dealt = grams.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(buckets)))
+    top = dealt.groupBy("bucket").applyInArrow(lambda group: _as_table(_levels(group, depth, split)[1][0]), _NODE)
+    for d in range(split - 1, 0, -1):
+        part = F.shiftright("code", 8).bitwiseAND((1 << (8 * d)) - 1)
+        top = top.groupBy(part.alias("part")).applyInArrow(_shortener(d), _NODE)
+    short = [_as_level(top.toArrow())]
+    if split:
+        short.insert(0, shortened(short[0], 0))
+        if split > 1:
+            # The shares of these nodes come from their own estimate and their weighted value.
+            own = _LN_HALF + _estimate(short[1].zeros, short[1].ones)
+            short[1].share = np.exp(np.minimum(own - short[1].weighted, 0.0))
+        else:
+            short.pop()
+    paths: list[tuple[int, Path]] = []
+    for d, level in enumerate(short):
+        paths.append((d, lengthened(level, d, paths[-1][1] if paths else None)))
+    held = grams.sparkSession.sparkContext.broadcast(paths)
+
+    def run(group: pa.Table) -> pa.Table:
+        known = [x for x in held.value if x[0] < split]
+        keys, levels = _levels(group, depth, split)
+        more, above = [], known[-1][1] if known else None
+        for d, level in enumerate(levels, split):
+            above = lengthened(level, d, above)
+            more.append((d, above))
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(log_chances(keys, [*known, *more]))], names=["key", "price"])
+
+    return dealt.groupBy("bucket").applyInArrow(run, "key bigint, price double")
+
+
+def _scored(docs: pa.Table, prices: pa.Table, depth: int, names: list[str]) -> pa.Table:
+    """The rows of a block with the sums of their prices."""
+    order = np.argsort(prices["key"].to_numpy().view(np.uint64))
+    keys = prices["key"].to_numpy().view(np.uint64)[order]
+    price, known = (prices[c].to_numpy()[order] for c in ("price", "known"))
+    sums: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for some in _uses(docs, depth):
+        new, inverse = np.unique(some.key, return_inverse=True)
+        place = probe(keys, new)[inverse]
+        token = (some.key & _TOKEN) > 0
+        count = len(some.bytes)
+        for out, which, weight in ((0, token, None), (1, token, known), (2, token, price), (3, ~token, price)):
+            sums[out].append(np.bincount(some.owner[which], None if weight is None else weight[place[which]], count))
+        sums[4].append(some.bytes)
+    n_tokens, n_known, base, score, size = (np.concatenate(x) for x in sums)
+    made = [n_tokens.astype(np.int64), np.rint(n_known).astype(np.int64), base.astype(np.float64), score.astype(np.float64), size.astype(np.int64)]
+    return pa.table([*docs["info"].combine_chunks().flatten(), *map(pa.array, made)], names=names)
+
+
+def score_documents(docs: DataFrame, learned: Column, keep: list[str], depth: int = DEPTH, text_column: str = "text") -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
-    Texts are lower-cased in A-Z and read as blank-separated tokens and one end. The model codes each token's bytes and a
-    closing blank, the end as an empty token, by context-tree weighting over the bytes since the token opened, at all
-    depths up to ``depth``. The opening byte names a class of documents, learned from ``label_column`` of the learned rows;
-    a text's probability is the mixture over the classes by their share of learned rows, so no label is read when scoring.
-    A token's cost under a class depends on the token alone: tokens and contexts are counted by Spark over all ``learned``
-    rows, priced once each, and summed per row; nothing that grows reaches the driver. The base score is the add-0.1 unigram
-    of the learned tokens. A null text is empty: it costs one end. Equal rows are scored each; an empty table gives an
-    empty result, and without learned rows every decision costs one bit.
+    Texts are lower-cased in A-Z and read as blank-separated tokens and one end. The model codes the bytes of the tokens,
+    joined by one blank, and an end, by context-tree weighting over the ``depth`` bytes before each, whatever token they
+    belong to. The base score is the add-0.1 unigram of the learned tokens.
+
+    Documents are dealt to blocks of about BLOCK bytes. A block names each of its tokens and grams once, with the count
+    in its learned rows; these counts are summed over all blocks, priced once each, and sent back to the blocks that
+    need them, where the prices are summed per row. So what travels is texts and the distinct grams of each block.
+
+    A null or empty text costs one end. Texts of any length are read in whole. Equal rows are scored each; an empty table
+    gives an empty result, and without learned rows every decision costs one bit.
     """
-    label = F.lit(None).cast("string") if label_column is None else F.col(label_column).cast("string")
-    ranked = docs.filter(learned & label.isNotNull()).groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label")
-    labels = [r["label"] for r in ranked.limit(len(CLASS_BYTES) - 1).collect()]
-    known_labels = F.create_map(*(F.lit(x) for pair in zip(labels, range(1, len(labels) + 1), strict=True) for x in pair)) if labels else None
-    group = F.coalesce(known_labels[label], F.lit(0)) if labels else F.lit(0)
-    groups = len(labels) + 1
-    counted = written(vocabulary(docs, learned, group, groups, text_column))
-    per_class = [F.col(f"n{g}") for g in range(groups)]
-    n = sum(per_class[1:], per_class[0])
-    totals = counted.agg(F.sum(n).alias("tokens"), F.count(F.when(n > 0, 1)).alias("kinds")).first()
+    streams = _streams(docs, keep, learned, text_column)
+    needs = written(streams.select("block", "learned", "size", "body").groupBy("block").applyInArrow(lambda group: _needed(group, depth), "block bigint, key bigint, n bigint"))
+    counted = written(needs.groupBy("key").agg(F.sum("n").alias("n")))
+    of_tokens = counted.filter("key < 0")
+    totals = of_tokens.agg(F.sum("n").alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     tokens, kinds = int(totals["tokens"] or 0), int(totals["kinds"])
-    # The end is counted once per row, so its counts are the rows of each class.
-    rows_of = counted.filter(F.col("key") == END_KEY).select(*per_class).first()
-    rows_of = [c + 1.0 for c in rows_of] if rows_of else [1.0] * groups
-    base = F.log10((n + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    prices = [f"p{g}" for g in range(groups)]
-    table = written(
-        counted.select("key", "use", base.alias("base_score"), (n > 0).cast("double").alias("known"))
-        .join(token_costs(counted, depth, groups).select("key", *prices), "key")
-    )
-
-    def expand(batch: pa.RecordBatch):
-        for part, _, _, _, owner, keys in token_batches(batch, "_text"):
-            yield part, owner, keys
-
-    source = docs.select(*keep, F.col(text_column).alias("_text"), *_coded_bytes(text_column))
-    sums = sums_by_row(source, [*keep, "_bytes"], expand, table, ["base_score", "known", *prices])
-    weighted = [F.col(p) + math.log10(c / sum(rows_of)) for p, c in zip(prices, rows_of, strict=True)]
-    top = F.greatest(*weighted) if groups > 1 else weighted[0]
-    score = top + F.log10(sum((F.pow(F.lit(10.0), w - top) for w in weighted), F.lit(0.0)))
-    return sums.select(
-        *keep,
-        F.col("n_keys").alias("n_tokens"),
-        F.round("known").cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        "base_score",
-        score.alias("score"),
-        (-score / math.log10(2) / F.col("_bytes")).alias("bits_per_byte"),
-    )
-
-
-def _coded_bytes(text_column: str) -> list[Column]:
-    """Bytes that the model codes: tokens with a blank each, and the end."""
-    joined = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return [(F.octet_length(F.trim(joined)) + F.when(F.trim(joined) == "", 1).otherwise(2)).cast("long").alias("_bytes")]
+    base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
+    priced = of_tokens.select("key", base.alias("price"), (F.col("n") > 0).cast("double").alias("known"))
+    priced = written(priced.unionByName(gram_prices(counted.filter("key >= 0"), depth).withColumn("known", F.lit(0.0))))
+    discard(counted)
+    kept = docs.select(*keep).schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("_bytes", "long")):
+        kept = kept.add(name, kind)
+    names = kept.names
+    sent = needs.select("block", "key").join(priced, "key")
+    found = streams.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, depth, names), kept)
+    bits = -F.col("score") / math.log10(2) / F.col("_bytes")
+    return found.select(*keep, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def held_out_report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    rows = docs.select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"))
+    """Scores of all documents by what nine in ten of them, chosen by the checksum of doc_id, teach."""
+    rows = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"))
     return score_documents(rows, ~F.col("held_out"), ["doc_id", "held_out"], depth)

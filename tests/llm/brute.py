@@ -21,6 +21,12 @@ def blank_words(text):
     return [w for w in BLANKS.split((text or "").translate(FOLD)) if w]
 
 
+def shingles(text):
+    w = blank_words(text)
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
 def remainder(doc_id, modulus):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus
 
@@ -99,28 +105,24 @@ def jump(key, shards):
 
 
 class Tree:
-    """Context-tree weighting by its recursive definition, on tokens with class bytes."""
+    """Context-tree weighting by its recursive definition, on whole texts."""
 
-    def __init__(self, learned, words, depth, class_bytes, class_depth):
-        self.depth, self.bytes, self.class_depth = depth, class_bytes, class_depth
+    def __init__(self, streams, depth):
+        self.depth = depth
         self.counts, self.longer, self.memo = defaultdict(lambda: [0, 0]), defaultdict(set), {}
-        for word in words:
-            for g, counted in enumerate(learned):
-                for context, node, bit in self.path(word, g):
-                    for n in range(len(context) + 1):
-                        c = context[len(context) - n :]
-                        self.counts[c, node][bit] += counted[word]
-                        if n:
-                            self.longer[c[1:], node].add(c)
-
-    def path(self, word, g):
-        s = b" " + word + b" "
-        for i in range(1, len(s)):
-            context = s[max(0, i - self.depth) : i]
-            if i <= min(self.class_depth, self.depth):
-                context = bytes([self.bytes[g]]) + context[1:]
+        for stream in streams:
+            for context, node, bit in self.path(stream):
+                for n in range(len(context) + 1):
+                    c = context[len(context) - n :]
+                    self.counts[c, node][bit] += 1
+                    if n:
+                        self.longer[c[1:], node].add(c)
+
+    def path(self, stream):
+        s = b"\n" * self.depth + stream
+        for i in range(self.depth, len(s)):
             for k in range(8):
-                yield context, (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1
+                yield s[i - self.depth : i], (1 << k) | (s[i] >> (8 - k)), (s[i] >> (7 - k)) & 1
 
     @staticmethod
     def kt(a, b):
@@ -135,39 +137,41 @@ class Tree:
             self.memo[c, node] = own
         return self.memo[c, node]
 
-    def log10(self, word, g):
+    def one(self, context, node):
+        """The chance of a one: shares along the way, which ends at the longest context that was learned."""
+        gained, left = 0.0, 1.0
+        for n in range(len(context) + 1):
+            c = context[len(context) - n :]
+            if (c, node) not in self.counts:
+                return 0.5
+            a, b = self.counts[c, node]
+            last = n == len(context) or (context[len(context) - n - 1 :], node) not in self.counts
+            share = 1.0 if last else math.exp(self.kt(a, b) + math.log(0.5) - self.weighted(c, node))
+            gained, left = gained + left * share * (b + 0.5) / (a + b + 1), left * (1 - share)
+            if last:
+                return gained
+
+    def log10(self, stream):
+        chances = {}
         total = 0.0
-        for context, node, bit in self.path(word, g):
-            gained, left = 0.0, 1.0
-            for n in range(len(context) + 1):
-                c = context[len(context) - n :]
-                a, b = self.counts[c, node]
-                share = 1.0 if n == len(context) else math.exp(self.kt(a, b) + math.log(0.5) - self.weighted(c, node))
-                gained, left = gained + left * share * (b + 0.5) / (a + b + 1), left * (1 - share)
-            total += math.log10(gained if bit else 1 - gained)
+        for context, node, bit in self.path(stream):
+            if (context, node) not in chances:
+                chances[context, node] = self.one(context, node)
+            total += math.log10(chances[context, node] if bit else 1 - chances[context, node])
         return total
 
 
-def scores(docs, depth, class_bytes, class_depth):
-    """(n_tokens, n_known, train_tokens, base, score) of each (doc_id, text, lang)."""
+def scores(docs, depth):
+    """(n_tokens, n_known, train_tokens, base, score) of each (doc_id, text)."""
     learned = [d for d in docs if remainder(d[0], 10)]
-    names = sorted(Counter(d[2] for d in learned if d[2] is not None).items(), key=lambda x: (-x[1], x[0]))
-    labels = [None, *(n for n, _ in names)]
-    tokens = lambda t: [w.encode() for w in blank_words(t)] + [b""]
-    by_class = [Counter() for _ in labels]
-    for d in learned:
-        by_class[labels.index(d[2])].update(tokens(d[1]))
-    all_counts = sum(by_class, Counter())
-    total, kinds = sum(all_counts.values()), len(all_counts)
-    words = {w for d in docs for w in tokens(d[1])}
-    tree = Tree(by_class, words, depth, class_bytes, class_depth)
-    price = {(w, g): tree.log10(w, g) for w in words for g in range(len(labels))}
-    prior = [c[b""] + 1 for c in by_class]
+    tokens = lambda t: [*blank_words(t), ""]
+    stream = lambda t: (" ".join(blank_words(t)) + "\n").encode()
+    counts = Counter(w for d in learned for w in tokens(d[1]))
+    total, kinds = sum(counts.values()), len(counts)
+    tree = Tree([stream(d[1]) for d in learned], depth)
     out = []
     for d in docs:
         t = tokens(d[1])
-        base = sum(math.log10((all_counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
-        each = [math.log10(p / sum(prior)) + sum(price[w, g] for w in t) for g, p in enumerate(prior)]
-        top = max(each)
-        out.append((len(t), sum(all_counts[w] > 0 for w in t), total, base, top + math.log10(sum(10 ** (x - top) for x in each))))
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
+        out.append((len(t), sum(counts[w] > 0 for w in t), total, base, tree.log10(stream(d[1]))))
     return out

@@ -124,12 +124,17 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, **{k: 100 for k in (100, 200, 300)}, **{1000 + k: 1000 for k in range(51)}}
 
 
-@pytest.mark.parametrize("depth", [2, 5])
-def test_context_tree(docs, made, depth):
-    some = made[150:]
-    frame = docs.sparkSession.createDataFrame(some, brute.DOCS).repartition(3)
+@pytest.mark.parametrize(("depth", "small"), [(1, False), (2, True), (5, True)])
+def test_context_tree(docs, made, monkeypatch, depth, small):
+    """Small blocks and buckets give what one block and one bucket give, and both what the definition gives."""
+    if small:
+        monkeypatch.setattr(weighting, "BLOCK", 5000)
+        monkeypatch.setattr(weighting, "GRAMS", 300)
+        monkeypatch.setattr(weighting, "_PIECE", 700)
+    some = [r for r in made[150:] if len(r[1] or "") < 5000]
+    frame = docs.sparkSession.createDataFrame(some, brute.DOCS).repartition(3).withColumns({"size": F.lit(1), "block": F.lit("x"), "key": F.lit(2), "info": F.lit(3)})
     found = weighting.held_out_report(frame, depth).collect()
-    want = brute.scores([(r[0], r[1], r[2]) for r in some], depth, weighting.CLASS_BYTES, weighting.CLASS_DEPTH)
+    want = brute.scores([(r[0], r[1]) for r in some], depth)
     order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
     left = sorted(((r.doc_id, r.n_tokens, round(r.score, 5), r.n_known, r.train_tokens, r.base_score, r.held_out) for r in found), key=order)
     right = sorted(((d[0], w[0], round(w[4], 5), *w[1:4], not brute.remainder(d[0], 10)) for d, w in zip(some, want, strict=True)), key=order)
@@ -137,14 +142,30 @@ def test_context_tree(docs, made, depth):
     for a, b in zip(left, right, strict=True):
         assert (a[0], a[1], a[3], a[4], a[6]) == (b[0], b[1], b[3], b[4], b[6])
         assert a[2] == pytest.approx(b[2], rel=1e-6, abs=1e-4) and a[5] == pytest.approx(b[5], rel=1e-9)
+    assert weighting.held_out_report(docs.limit(0), depth).count() == 0
 
 
-def test_context_tree_shuffled_keys(docs, made, monkeypatch):
-    """Nothing is frequent enough for the broadcast, so every key takes the join."""
-    whole = {(r.doc_id, r.n_tokens, round(r.score, 4)) for r in weighting.held_out_report(docs, 2).collect()}
-    monkeypatch.setattr(weighting, "sums_by_row", lambda *a, f=weighting.sums_by_row: f(*a, share=2.0))
-    assert {(r.doc_id, r.n_tokens, round(r.score, 4)) for r in weighting.held_out_report(docs, 2).collect()} == whole
-    assert weighting.held_out_report(docs.limit(0)).count() == 0
+def test_context_tree_reads_across_words(spark):
+    """The order of words tells, labels do not, and bits a byte follow from the score."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{a}{a}x {a}{a}y" for a in rng.choice(list("abcdefgh"), 40)), f"label{i % 14}") for i in range(60)]
+    held = [i for i in range(60) if not brute.remainder(i, 10)]
+    text = rows[held[0]][1]
+    swapped = " ".join(sorted(text.split()))
+    frame = spark.createDataFrame([*rows, (rows[held[0]][0], swapped, "none")], "doc_id long, text string, lang string")
+    first, second = sorted((r for r in weighting.held_out_report(frame).collect() if r.doc_id == held[0]), key=lambda r: -r.score)
+    assert first.score > second.score + 10 and first.n_tokens == second.n_tokens and first.base_score == pytest.approx(second.base_score)
+    assert first.bits_per_byte == pytest.approx(-first.score / np.log10(2) / (len(text) + 1))
+    assert {r.doc_id: r.score for r in weighting.held_out_report(frame.drop("lang").withColumn("lang", F.lit(None).cast("string"))).collect() if r.doc_id != held[0]} == pytest.approx(
+        {r.doc_id: r.score for r in weighting.held_out_report(frame).collect() if r.doc_id != held[0]}
+    )
+
+
+def test_context_tree_without_learned_rows(spark):
+    frame = spark.createDataFrame([(k, "ab c") for k in range(3)] + [(9, "x" * 300000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in weighting.score_documents(frame, F.lit(False), ["doc_id"]).collect()}
+    assert found[0].score == pytest.approx(-8 * 5 * np.log10(2)) and found[0].bits_per_byte == pytest.approx(8)
+    assert found[9].score == pytest.approx(-8 * 300001 * np.log10(2)) and (found[9].n_known, found[9].train_tokens) == (0, 0)
 
 
 def secret_rows():

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from molframe.llm import decontamination, simhash, vectors
+from molframe.llm import decontamination, vectors
 from tests.llm import brute
 
 
@@ -74,8 +75,8 @@ def test_graph_reaches_everything():
 
 
 def test_pipeline(spark, tmp_path):
-    rows = list({r[0]: r for r in brute.rows(count=120) if r[0] is not None}.values())
-    frame = spark.createDataFrame(rows, brute.DOCS)
+    rows = [*{r[0]: r for r in brute.rows(count=120) if r[0] is not None}.values(), *(r for r in brute.rows(count=120) if r[0] is None)]
+    frame = spark.createDataFrame(rows, brute.DOCS).withColumns({"node": F.lit("mine"), "a": F.lit(1), "ids": F.lit(2), "_text": F.lit("x")})
     frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     bench = [(1, " ".join(rows[20][1].split()[:12])), (2, "nothing like it here")]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -85,8 +86,9 @@ def test_pipeline(spark, tmp_path):
         assert out.columns == docs.columns, name
         before, after = docs.count(), out.cache().count()
         if name == "near_duplicates":
-            groups = simhash.fingerprint_groups(docs).select("component_id").distinct().count()
-            assert after == groups < before
+            sets = [brute.shingles(r.text) for r in docs.collect()]
+            near = [(i, j) for i in range(before) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+            assert after == len(set(brute.reach(before, near))) < before
         if name == "decontamination":
             hit = {r[0] for r in brute.contamination([(r.doc_id, r.text) for r in docs.collect()], bench) if r[5]}
             assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in out.collect()} == hit and hit
