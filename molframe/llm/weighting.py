@@ -18,9 +18,9 @@ DEPTH = 5
 SPLIT = 2
 BLANK, END = 0x20, 0x0A
 # Bytes of text that share one table of prices, and grams of one task that builds the tree.
-BLOCK = 64 << 20
+BLOCK = 96 << 20
 GRAMS = 1 << 20
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 _TOKEN = np.uint64(1 << 63)
 _LN_HALF = math.log(0.5)
 
@@ -168,9 +168,10 @@ def _streams(docs: DataFrame, keep: list[str], learned: Column, text_column: str
 
 @dataclass
 class Uses:
-    """Every use of a token or gram in some rows of a block: its row and key. Token keys have the highest bit set."""
+    """Every use of a token or gram in some rows of a block: its row and key, tokens first, whose highest bit is set."""
 
     rows: slice
+    tokens: int
     owner: np.ndarray
     key: np.ndarray
     bytes: np.ndarray
@@ -202,21 +203,75 @@ def _uses(group: pa.Table, depth: int) -> Iterator[Uses]:
         starts, ends, counts = words(data, at, NOT_BLANK)
         tokens = np.maximum(hashes(data, starts, ends) >> np.uint64(1), np.uint64(1)) | _TOKEN
         rows = np.arange(high - low)
-        yield Uses(slice(low, high), np.concatenate([np.repeat(rows, counts), rows, row[coded]]), np.concatenate([tokens, np.full(high - low, _TOKEN), grams]), size + 1)
+        yield Uses(slice(low, high), len(tokens) + high - low, np.concatenate([np.repeat(rows, counts), rows, row[coded]]), np.concatenate([tokens, np.full(high - low, _TOKEN), grams]), size + 1)
         low = high
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def _needed(group: pa.Table, depth: int) -> pa.Table:
     """(block, key, n): the tokens and grams of a block and how often its learned rows use them."""
     learned = group["learned"].to_numpy(zero_copy_only=False).astype(bool)
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
     for some in _uses(group, depth):
-        new, inverse = np.unique(some.key, return_inverse=True)
-        times = np.bincount(inverse, learned[some.rows][some.owner], len(new))
-        keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([counts, times]), len(keys))
+        teaches = learned[some.rows][some.owner]
+        taught, times = _counted(some.key[teaches])
+        other = _counted(some.key[~teaches])[0]
+        held += [(taught, times), (other, np.zeros(len(other), np.int64))]
+        waiting += len(taught) + len(other)
+        if waiting > max(1 << 20, len(keys)):
+            keys, counts = _merged(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
+            held, waiting = [], 0
+    keys, counts = _merged(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
     block = pa.array(np.full(len(keys), group["block"][0].as_py(), np.int64))
-    return pa.table([block, pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["block", "key", "n"])
+    return pa.table([block, pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "n"])
+
+
+class Prices:
+    """Values by key in slots of a table twice as large; a key lies in the first free slot from its own on."""
+
+    EMPTY = np.uint64((1 << 64) - 1)
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, self.EMPTY)
+        self.values = [np.zeros(1 << self.bits) for _ in values]
+        slot, rest = self._first(keys), np.arange(len(keys))
+        while len(rest):
+            free = self.keys[slot] == self.EMPTY
+            self.keys[slot[free]] = keys[rest[free]]
+            placed = self.keys[slot] == keys[rest]
+            for mine, given in zip(self.values, values, strict=True):
+                mine[slot[placed]] = given[rest[placed]]
+            slot, rest = self._next(slot[~placed]), rest[~placed]
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key lies; all of them are there."""
+        out = self._first(keys)
+        rest = np.flatnonzero(self.keys[out] != keys)
+        while len(rest):
+            out[rest] = self._next(out[rest])
+            rest = rest[self.keys[out[rest]] != keys[rest]]
+        return out
 
 
 def _levels(group: pa.Table, depth: int, split: int) -> tuple[np.ndarray, list[Level]]:
@@ -289,17 +344,14 @@ def gram_prices(grams: DataFrame, depth: int) -> DataFrame:
 
 def _scored(docs: pa.Table, prices: pa.Table, depth: int, names: list[str]) -> pa.Table:
     """The rows of a block with the sums of their prices."""
-    order = np.argsort(prices["key"].to_numpy().view(np.uint64))
-    keys = prices["key"].to_numpy().view(np.uint64)[order]
-    price, known = (prices[c].to_numpy()[order] for c in ("price", "known"))
+    table = Prices(prices["key"].to_numpy().view(np.uint64), prices["price"].to_numpy(), prices["known"].to_numpy())
     sums: list[list[np.ndarray]] = [[] for _ in range(5)]
     for some in _uses(docs, depth):
-        new, inverse = np.unique(some.key, return_inverse=True)
-        place = probe(keys, new)[inverse]
-        token = (some.key & _TOKEN) > 0
-        count = len(some.bytes)
-        for out, which, weight in ((0, token, None), (1, token, known), (2, token, price), (3, ~token, price)):
-            sums[out].append(np.bincount(some.owner[which], None if weight is None else weight[place[which]], count))
+        slot, count = table.slots(some.key), len(some.bytes)
+        tokens = some.tokens
+        price, known = table.values[0][slot], table.values[1][slot[:tokens]]
+        for out, owner, weight in ((0, some.owner[:tokens], None), (1, some.owner[:tokens], known), (2, some.owner[:tokens], price[:tokens]), (3, some.owner[tokens:], price[tokens:])):
+            sums[out].append(np.bincount(owner, weight, count))
         sums[4].append(some.bytes)
     n_tokens, n_known, base, score, size = (np.concatenate(x) for x in sums)
     made = [n_tokens.astype(np.int64), np.rint(n_known).astype(np.int64), base.astype(np.float64), score.astype(np.float64), size.astype(np.int64)]
