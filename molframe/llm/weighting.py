@@ -18,7 +18,7 @@ DEPTH = 5
 SPLIT = 2
 BLANK, END = 0x20, 0x0A
 # Bytes of text that share one table of prices, and grams of one task that builds the tree.
-BLOCK = 96 << 20
+BLOCK = 64 << 20
 GRAMS = 1 << 20
 _PIECE = 1 << 20
 _TOKEN = np.uint64(1 << 63)
@@ -237,6 +237,7 @@ def _needed(group: pa.Table, depth: int) -> pa.Table:
             held, waiting = [], 0
     keys, counts = _merged(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
     block = pa.array(np.full(len(keys), group["block"][0].as_py(), np.int64))
+    pa.default_memory_pool().release_unused()
     return pa.table([block, pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "n"])
 
 
@@ -245,17 +246,16 @@ class Prices:
 
     EMPTY = np.uint64((1 << 64) - 1)
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, self.EMPTY)
-        self.values = [np.zeros(1 << self.bits) for _ in values]
+        self.values = np.zeros(1 << self.bits)
         slot, rest = self._first(keys), np.arange(len(keys))
         while len(rest):
             free = self.keys[slot] == self.EMPTY
             self.keys[slot[free]] = keys[rest[free]]
             placed = self.keys[slot] == keys[rest]
-            for mine, given in zip(self.values, values, strict=True):
-                mine[slot[placed]] = given[rest[placed]]
+            self.values[slot[placed]] = values[rest[placed]]
             slot, rest = self._next(slot[~placed]), rest[~placed]
 
     def _first(self, keys: np.ndarray) -> np.ndarray:
@@ -342,20 +342,24 @@ def gram_prices(grams: DataFrame, depth: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "key bigint, price double")
 
 
-def _scored(docs: pa.Table, prices: pa.Table, depth: int, names: list[str]) -> pa.Table:
-    """The rows of a block with the sums of their prices."""
-    table = Prices(prices["key"].to_numpy().view(np.uint64), prices["price"].to_numpy(), prices["known"].to_numpy())
+def _scored(docs: pa.Table, prices: pa.Table, depth: int, unknown: float, names: list[str]) -> pa.Table:
+    """The rows of a block with the sums of their prices; tokens above the price ``unknown`` were learned."""
+    table = Prices(prices["key"].to_numpy().view(np.uint64), prices["price"].to_numpy())
+    del prices
     sums: list[list[np.ndarray]] = [[] for _ in range(5)]
     for some in _uses(docs, depth):
         slot, count = table.slots(some.key), len(some.bytes)
         tokens = some.tokens
-        price, known = table.values[0][slot], table.values[1][slot[:tokens]]
+        price = table.values[slot]
+        known = price[:tokens] > unknown
         for out, owner, weight in ((0, some.owner[:tokens], None), (1, some.owner[:tokens], known), (2, some.owner[:tokens], price[:tokens]), (3, some.owner[tokens:], price[tokens:])):
             sums[out].append(np.bincount(owner, weight, count))
         sums[4].append(some.bytes)
     n_tokens, n_known, base, score, size = (np.concatenate(x) for x in sums)
     made = [n_tokens.astype(np.int64), np.rint(n_known).astype(np.int64), base.astype(np.float64), score.astype(np.float64), size.astype(np.int64)]
-    return pa.table([*docs["info"].combine_chunks().flatten(), *map(pa.array, made)], names=names)
+    made_rows = pa.table([*docs["info"].combine_chunks().flatten(), *map(pa.array, made)], names=names)
+    pa.default_memory_pool().release_unused()
+    return made_rows
 
 
 def score_documents(docs: DataFrame, learned: Column, keep: list[str], depth: int = DEPTH, text_column: str = "text") -> DataFrame:
@@ -379,15 +383,16 @@ def score_documents(docs: DataFrame, learned: Column, keep: list[str], depth: in
     totals = of_tokens.agg(F.sum("n").alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     tokens, kinds = int(totals["tokens"] or 0), int(totals["kinds"])
     base = F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    priced = of_tokens.select("key", base.alias("price"), (F.col("n") > 0).cast("double").alias("known"))
-    priced = written(priced.unionByName(gram_prices(counted.filter("key >= 0"), depth).withColumn("known", F.lit(0.0))))
+    priced = written(of_tokens.select("key", base.alias("price")).unionByName(gram_prices(counted.filter("key >= 0"), depth)))
     discard(counted)
+    # Half way between a token that learned rows lack and one that they have once.
+    unknown = math.log10(0.5 / (tokens + 0.1 * (kinds + 1)))
     kept = docs.select(*keep).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("_bytes", "long")):
         kept = kept.add(name, kind)
     names = kept.names
     sent = needs.select("block", "key").join(priced, "key")
-    found = streams.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, depth, names), kept)
+    found = streams.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, depth, unknown, names), kept)
     bits = -F.col("score") / math.log10(2) / F.col("_bytes")
     return found.select(*keep, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
