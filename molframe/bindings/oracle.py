@@ -125,12 +125,12 @@ _POINTS = "(SELECT p_partkey, " + ", ".join(
 ) + f" FROM {_SPECS} s, LATERAL (SELECT unnest(range(s.nx)) AS ix) gx, LATERAL (SELECT unnest(range(s.ny)) AS iy) gy, LATERAL (SELECT unnest(range(s.nz)) AS iz) gz)"
 _CELL = "p_partkey AS mol_id, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz"
 ORACLE["grid_points"] = f"""SELECT {_CELL}, {r('x', 9, 'x')}, {r('y', 9, 'y')}, {r('z', 9, 'z')} FROM {_POINTS}"""
-_RHO_STEPS = f"""c AS {_CENTERS}, f AS {_FUNCTIONS}, pt AS {_POINTS}, m AS {_MO},
-phi AS (SELECT pt.p_partkey, ix, iy, iz, mu, sum(coef * pow(pt.x - c.x, lx) * pow(pt.y - c.y, ly) * pow(pt.z - c.z, lz)
+_RHO_STEPS = f"""c AS MATERIALIZED {_CENTERS}, f AS MATERIALIZED {_FUNCTIONS}, pt AS MATERIALIZED {_POINTS}, m AS MATERIALIZED {_MO},
+phi AS MATERIALIZED (SELECT pt.p_partkey, ix, iy, iz, mu, sum(coef * pow(pt.x - c.x, lx) * pow(pt.y - c.y, ly) * pow(pt.z - c.z, lz)
     * exp(-f.exp * ((pt.x - c.x) * (pt.x - c.x) + (pt.y - c.y) * (pt.y - c.y) + (pt.z - c.z) * (pt.z - c.z)))) AS v
   FROM pt JOIN f ON pt.p_partkey = f.p_partkey JOIN c ON c.p_partkey = f.p_partkey AND c.center = f.center
   GROUP BY ALL),
-psi AS (SELECT phi.p_partkey, ix, iy, iz, mo, occ, sum(m.coef * v) AS v FROM phi
+psi AS MATERIALIZED (SELECT phi.p_partkey, ix, iy, iz, mo, occ, sum(m.coef * v) AS v FROM phi
   JOIN m ON m.p_partkey = phi.p_partkey AND m.mu = phi.mu GROUP BY ALL),
 rho AS (SELECT p_partkey, ix, iy, iz, sum(occ * v * v) AS rho FROM psi GROUP BY ALL)"""
 ORACLE["density"] = f"""WITH {_RHO_STEPS} SELECT {_CELL}, {r('x', 8, 'x')}, {r('y', 8, 'y')}, {r('z', 8, 'z')}, {r('rho', 8, 'rho')}
@@ -341,6 +341,9 @@ _QUADRANTS = f"""(WITH n AS {_NORMED}, m AS (SELECT median(x) AS mx, median(y) A
 ORACLE["quadrants"] = f"SELECT mol_id, quadrant FROM {_QUADRANTS}"
 ORACLE["quadrant_tally"] = f"""SELECT k.quadrant, count(d.mol_id) AS "count" FROM (VALUES ('Q1'), ('Q2'), ('Q3'), ('Q4')) k(quadrant)
 LEFT JOIN {_QUADRANTS} d ON d.quadrant = k.quadrant GROUP BY 1"""
+ORACLE["quadrant_head"] = f"""SELECT max(source) AS scdi_source,
+  {r("median(CASE WHEN y IS NOT NULL THEN x END)", 8, "snci_median")}, {r("median(CASE WHEN x IS NOT NULL THEN y END)", 8, "scdi_median")},
+  count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS labelled FROM {_NORMED}"""
 ORACLE["pending_inputs"] = """SELECT mol_id, lane FROM {runs} u
 WHERE NOT EXISTS (SELECT 1 FROM {results} s WHERE s.mol_id = u.mol_id AND readable)"""
 

@@ -376,6 +376,11 @@ def quadrants(spark, sf):
     return batch.quadrants(_normed(spark, sf)).select("mol_id", "quadrant")
 
 
+@query
+def quadrant_head(spark, sf):
+    return rounded(batch.quadrant_head(_normed(spark, sf)), 8, "snci_median", "scdi_median")
+
+
 @query
 def quadrant_tally(spark, sf):
     return batch.quadrant_tally(batch.quadrants(_normed(spark, sf)))

@@ -20,9 +20,10 @@ VIEWS: dict[str, str] = {}
 # --- molecules: an order is a molecule, its line numbers are atoms -----------------------------------
 
 VIEWS["raw_atoms"] = """
-SELECT l_orderkey AS mol_id, CAST(l_linenumber AS INT) AS atom, min(l_partkey) AS pk,
-       min(l_quantity) / 5e0 AS x, min(l_discount) * 30e0 AS y, min(l_tax) * 30e0 AS z
-FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+SELECT l_orderkey AS mol_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+         l_quantity, l_discount, l_tax) - 1 AS INT) AS atom, l_partkey AS pk,
+       l_quantity / 5e0 AS x, l_discount * 30e0 AS y, l_tax * 30e0 AS z
+FROM {lineitem}"""
 
 VIEWS["atoms"] = """
 SELECT mol_id, atom, CASE pk % 4 WHEN 0 THEN 'H' WHEN 1 THEN 'O' WHEN 2 THEN 'N' ELSE 'C' END AS el,
@@ -50,7 +51,8 @@ FROM (SELECT mol_id, atom, pk + lag(pk) OVER (PARTITION BY mol_id ORDER BY atom)
 WHERE s % 3 <> 0"""
 
 VIEWS["wbo"] = """
-SELECT l_orderkey AS mol_id, CAST(l_linenumber AS INT) AS i, CAST(l_partkey % 7 + 1 AS INT) AS j,
+SELECT l_orderkey AS mol_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+         l_quantity, l_discount, l_tax) - 1 AS INT) AS i, CAST(l_partkey % 7 AS INT) AS j,
        CAST((l_partkey * 7 + l_suppkey * 13) % 1000 AS DOUBLE) / 1e3 AS wbo
 FROM {lineitem}"""
 

@@ -114,6 +114,15 @@ def quadrants(normed: DataFrame, medians: tuple[float | None, float | None] | No
     return normed.withColumn("quadrant", label)
 
 
+def quadrant_head(normed: DataFrame, medians: tuple[float | None, float | None] | None = None) -> DataFrame:
+    """One row from which the quadrants can be drawn again: where the second score comes from, both medians, rows with both."""
+    mx, my = norm_medians(normed) if medians is None else medians
+    both = F.col("snci_norm").isNotNull() & F.col("scdi_norm").isNotNull()
+    return normed.agg(F.max("scdi_source").alias("scdi_source"), F.count_if(both).alias("labelled")).select(
+        "scdi_source", F.lit(mx).cast("double").alias("snci_median"), F.lit(my).cast("double").alias("scdi_median"), "labelled"
+    )
+
+
 def quadrant_tally(labelled: DataFrame) -> DataFrame:
     """``(quadrant, count)``, all four present. The file lists are the labelled rows themselves."""
     counts = labelled.agg(*[F.count_if(F.col("quadrant") == q).alias(q) for q in QUADRANTS])

@@ -23,19 +23,22 @@ class Batch:
     records: DataFrame
     labelled: DataFrame
     tally: DataFrame
+    head: DataFrame
     summary: DataFrame
 
 
 def finish_batch(records: DataFrame, total_time: float | None = None) -> Batch:
     """Normalise, label and summarise descriptor records; failed ones keep their row."""
     normed = batch.normalise(records)
-    labelled = batch.quadrants(normed)
+    medians = batch.norm_medians(normed)
+    labelled = batch.quadrants(normed, medians)
     scores = labelled.select("mol_id", "snci_norm", "scdi_norm", "quadrant")
     summary = batch.batch_summary(records, total_time)
     return Batch(
         records=records.join(scores, "mol_id", "left"),
         labelled=labelled,
         tally=batch.quadrant_tally(labelled),
+        head=batch.quadrant_head(normed, medians),
         summary=batch.throughput(summary),
     )
 
@@ -45,7 +48,7 @@ def store_batch(done: Batch, out: str, solvent: str) -> None:
     place = f"solvent={solvent}"
     sinks.write_batch_csv(done.records, f"{out}/batch_csv/{place}")
     sinks.write_batch_json(done.records, done.summary, f"{out}/batch_json/{place}")
-    sinks.write_quadrants(done.labelled, done.tally, f"{out}/quadrants/{place}")
+    sinks.write_quadrants(done.labelled, done.tally, done.head, f"{out}/quadrants/{place}")
 
 
 def batch_metrics(records: DataFrame) -> DataFrame:

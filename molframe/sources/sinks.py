@@ -60,8 +60,9 @@ def write_batch_json(records: DataFrame, summary: DataFrame, path: str) -> None:
     records.orderBy("mol_id").write.mode("overwrite").json(f"{path}/records", ignoreNullFields=False)
 
 
-def write_quadrants(labelled: DataFrame, tally: DataFrame, path: str) -> None:
-    """Counts as one small table, and the file list of each quadrant as its own partition."""
+def write_quadrants(labelled: DataFrame, tally: DataFrame, head: DataFrame, path: str) -> None:
+    """Medians and source as one row, counts as one small table, the file list of each quadrant as its own partition."""
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/head", ignoreNullFields=False)
     tally.coalesce(1).write.mode("overwrite").json(f"{path}/counts")
     files = labelled.filter("quadrant is not null").select(
         "quadrant", F.element_at(F.split("mol_id", "/"), -1).alias("file")

@@ -10,6 +10,7 @@ from molframe.operators.fragments import fragments
 from molframe.operators.geometry import bonds_by_distance, shape_terms
 from molframe.sources import structures
 from molframe.sources.corpus import structure_files
+from molframe.sources.text import file_key
 
 
 def shape_records(files: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def start_shapes(spark: SparkSession, directory: str, out: str, checkpoint: str)
         shape_records(files).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     files = spark.readStream.format("text").option("wholetext", "true").load(directory)
-    named = files.select(F.col("_metadata.file_path").alias("mol_id"), F.col("value").alias("text"))
+    named = files.select(file_key().alias("mol_id"), F.col("value").alias("text"))
     return (
         named.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
