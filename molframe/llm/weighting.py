@@ -18,9 +18,9 @@ DEPTH = 5
 SPLIT = 2
 BLANK, END = 0x20, 0x0A
 # Bytes of text that share one table of prices, and grams of one task that builds the tree.
-BLOCK = 64 << 20
+BLOCK = 40 << 20
 GRAMS = 1 << 20
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _TOKEN = np.uint64(1 << 63)
 _LN_HALF = math.log(0.5)
 
