@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -30,6 +31,14 @@ def _powers(base: int, count: int) -> np.ndarray:
 _POWERS = _powers(_ODD, _PERIOD)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back, as workers live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import LOWER, NOT_BLANK, discard, hashes, joined_words, pieces, probe, remainder, utf8, words, written
+from molframe.llm.common import LOWER, NOT_BLANK, discard, hashes, joined_words, pieces, probe, release, remainder, utf8, words, written
 
 DEPTH = 5
 # Contexts are dealt to tasks by their last two bytes; the levels above those have at most 256 * 255 nodes.
@@ -19,7 +19,7 @@ SPLIT = 2
 BLANK, END = 0x20, 0x0A
 # Bytes of text that share one table of prices, and grams of one task that builds the tree.
 BLOCK = 40 << 20
-GRAMS = 1 << 20
+GRAMS = 1 << 18
 _PIECE = 1 << 19
 _TOKEN = np.uint64(1 << 63)
 _LN_HALF = math.log(0.5)
@@ -162,6 +162,7 @@ def _streams(docs: DataFrame, keep: list[str], learned: Column, text_column: str
                 sizes = np.diff(utf8(text)[1]).astype(np.int32)
                 body = pa.array([codec.compress(x.as_buffer(), asbytes=True) if n else b"" for x, n in zip(text, sizes.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes), body], schema.names)
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -237,7 +238,8 @@ def _needed(group: pa.Table, depth: int) -> pa.Table:
             held, waiting = [], 0
     keys, counts = _merged(*(np.concatenate(x) for x in zip((keys, counts), *held, strict=True)))
     block = pa.array(np.full(len(keys), group["block"][0].as_py(), np.int64))
-    pa.default_memory_pool().release_unused()
+    del held
+    release()
     return pa.table([block, pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "n"])
 
 
@@ -337,7 +339,10 @@ def gram_prices(grams: DataFrame, depth: int) -> DataFrame:
         for d, level in enumerate(levels, split):
             above = lengthened(level, d, above)
             more.append((d, above))
-        return pa.table([pa.array(keys.view(np.int64)), pa.array(log_chances(keys, [*known, *more]))], names=["key", "price"])
+        made = pa.table([pa.array(keys.view(np.int64)), pa.array(log_chances(keys, [*known, *more]))], names=["key", "price"])
+        del levels, more, above
+        release()
+        return made
 
     return dealt.groupBy("bucket").applyInArrow(run, "key bigint, price double")
 
@@ -357,9 +362,9 @@ def _scored(docs: pa.Table, prices: pa.Table, depth: int, unknown: float, names:
         sums[4].append(some.bytes)
     n_tokens, n_known, base, score, size = (np.concatenate(x) for x in sums)
     made = [n_tokens.astype(np.int64), np.rint(n_known).astype(np.int64), base.astype(np.float64), score.astype(np.float64), size.astype(np.int64)]
-    made_rows = pa.table([*docs["info"].combine_chunks().flatten(), *map(pa.array, made)], names=names)
-    pa.default_memory_pool().release_unused()
-    return made_rows
+    del table
+    release()
+    return pa.table([*docs["info"].combine_chunks().flatten(), *map(pa.array, made)], names=names)
 
 
 def score_documents(docs: DataFrame, learned: Column, keep: list[str], depth: int = DEPTH, text_column: str = "text") -> DataFrame:
