@@ -120,19 +120,41 @@ def test_best_setting_and_timing(spark):
     assert got["fast"].speedup == 3.0 and got["fast"].points_per_second == 10.0
 
 
-@pytest.mark.parametrize("direct", [10**6, 20])
-def test_exact_quantiles(spark, monkeypatch, direct):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(6)
     columns = {"normal": rng.normal(size=2000), "ties": rng.integers(0, 4, 2000).astype(float), "same": np.full(2000, 7.0)}
     columns["heavy"] = np.where(rng.random(2000) < 0.4, 0.0, rng.exponential(size=2000))
-    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], list(columns))
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 50)
+    # Neighbouring doubles, which differ in their last bits only, and both signs of zero among far values.
+    columns["close"] = -1.0 - rng.permutation(2000) * 2.0**-52
+    columns["wide"] = rng.permutation(np.r_[np.full(50, -1e300), np.zeros(900), np.full(900, -0.0), np.full(150, 1e300)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], list(columns)).repartition(4)
     for q in (0.0, 0.37, 0.5, 0.999, 1.0):
-        got = quantiles.exact_quantiles(df, {n: (F.col(n), q) for n in columns}, direct)
+        got = quantiles.exact_quantiles(df, {n: (F.col(n), q) for n in columns})
         for n, v in columns.items():
-            assert got[n] == pytest.approx(np.quantile(v, q), rel=1e-12), (n, q)
-    assert statistics.median(columns["normal"]) == pytest.approx(quantiles.exact_quantiles(df, {"m": (F.col("normal"), 0.5)}, direct)["m"])
+            assert got[n] == pytest.approx(np.quantile(v, q), rel=1e-15), (n, q)
+    assert statistics.median(columns["normal"]) == pytest.approx(quantiles.exact_quantiles(df, {"m": (F.col("normal"), 0.5)})["m"])
     assert quantiles.exact_quantiles(df, {"m": (F.lit(None).cast("double"), 0.5)}) == {"m": None}
+    assert quantiles.exact_quantiles(df.limit(0), {"m": (F.col("normal"), 0.5)}) == {"m": None}
+    odd = spark.createDataFrame([(None,), (float("nan"),), (3.0,), (1.0,), (2.0,)], "v double")
+    assert quantiles.exact_quantiles(odd, {"m": (F.col("v"), 0.5), "hi": (F.col("v"), 0.75)}) == {"m": 2.0, "hi": 2.5}
+
+
+def test_order_keys_keep_order():
+    rng = np.random.default_rng(8)
+    values = np.r_[rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), 0.0, -np.inf, np.inf, 5e-324, -5e-324]
+    keys = quantiles.order_keys(values)
+    assert (np.argsort(values) == np.argsort(keys)).all() and (quantiles.key_values(keys) == values).all()
+    assert quantiles.order_keys(np.array([0.0])) == quantiles.order_keys(np.array([-0.0]))
+
+
+def test_smallest_rows(spark):
+    rows = [(i, float(i % 50) if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    whole = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[0]))
+    for n in (1, 60, 342, 343, 350, 400, 999):
+        got = quantiles.smallest_rows(df, F.col("v"), "id", n).collect()
+        assert sorted(r.id for r in got) == sorted(i for i, _ in whole[:n]), n
+    assert quantiles.smallest_rows(df, F.col("v"), "id", 0).count() == 400
 
 
 def average_rank(v):
