@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 DIGIT_BITS = 16
 KEY_BITS = 64
 SIGN = np.uint64(1 << 63)
-HISTOGRAM = "slot int, digit int, n bigint, low double, high double"
+HISTOGRAM = "slot int, digit bigint, n bigint, low double, high double"
 
 
 def order_keys(values: np.ndarray) -> np.ndarray:
@@ -31,11 +31,15 @@ def key_values(keys: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Slot:
-    """A wanted rank of one column among the values whose key starts with ``prefix``."""
+    """A wanted rank of one column among the values whose key starts with ``prefix``.
+
+    With no more values than a digit has counts, ``whole`` counts their keys instead.
+    """
 
     name: str
     prefix: int
     place: Callable[[Column], Column]
+    whole: bool = False
 
 
 def _histograms(slots: list[Slot], done_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -46,15 +50,20 @@ def _histograms(slots: list[Slot], done_bits: int) -> Callable[[Iterator[pa.Reco
     groups: dict[tuple[str, int], list[int]] = {}
     for i, slot in enumerate(slots):
         groups.setdefault((slot.name, slot.prefix), []).append(i)
+    small = {(slot.name, slot.prefix) for slot in slots if slot.whole}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {g: (np.zeros(size, np.int64), np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64)) for g in groups}
+        kept: dict[tuple[str, int], list[np.ndarray]] = {g: [] for g in small}
+        tables = {
+            g: (np.zeros(size, np.int64), np.full(size, ~np.uint64(0)), np.zeros(size, np.uint64)) for g in groups if g not in small
+        }
         for batch in batches:
             for name in {name for name, _ in groups}:
                 column = batch.column(batch.schema.get_field_index(name)).drop_null()
                 values = column.to_numpy(zero_copy_only=False)
                 keys = np.sort(order_keys(values[~np.isnan(values)]))
-                for (owner, prefix), (n, low, high) in tables.items():
+                for group in groups:
+                    owner, prefix = group
                     if owner != name:
                         continue
                     inside = keys
@@ -64,6 +73,10 @@ def _histograms(slots: list[Slot], done_bits: int) -> Callable[[Iterator[pa.Reco
                         inside = keys[np.searchsorted(keys, first) : np.searchsorted(keys, last, "right")]
                     if not len(inside):
                         continue
+                    if group in small:
+                        kept[group].append(inside)
+                        continue
+                    n, low, high = tables[group]
                     digits = ((inside >> shift) & np.uint64(size - 1)).astype(np.int64)
                     starts = np.flatnonzero(np.r_[True, digits[1:] != digits[:-1]])
                     ends = np.r_[starts[1:], len(inside)]
@@ -72,13 +85,18 @@ def _histograms(slots: list[Slot], done_bits: int) -> Callable[[Iterator[pa.Reco
                     low[at] = np.minimum(low[at], inside[starts])
                     high[at] = np.maximum(high[at], inside[ends - 1])
         for group, members in groups.items():
-            n, low, high = tables[group]
-            at = np.flatnonzero(n)
+            if group in small:
+                low, n = np.unique(np.concatenate(kept[group] or [np.zeros(0, np.uint64)]), return_counts=True)
+                digit, high = (low ^ SIGN).view(np.int64), low
+            else:
+                n, low, high = tables[group]
+                digit = np.flatnonzero(n)
+                n, low, high = n[digit], low[digit], high[digit]
             for slot in members:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(at), slot, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]),
-                        pa.array(key_values(low[at])), pa.array(key_values(high[at])),
+                        pa.array(np.full(len(digit), slot, np.int32)), pa.array(digit.astype(np.int64)), pa.array(n.astype(np.int64)),
+                        pa.array(key_values(low)), pa.array(key_values(high)),
                     ],
                     names=["slot", "digit", "n", "low", "high"],
                 )
@@ -114,8 +132,8 @@ def order_statistics(
     ``wanted`` maps a name to a column, its 0-based place as an expression of the row count, and the same place as a
     function of the counted number. Radix selection: a pass counts the values by the next 16 bits of their
     order-preserving key, for all columns and places in one aggregation, and goes on inside the digit that holds the
-    rank. Four passes reach all 64 bits; a pass before that is the last one where the rank is the smallest or largest
-    value of its digit. The driver sees at most two digits of each rank.
+    rank. Four passes reach all 64 bits. An earlier one is the last where the rank is the smallest or largest value of its
+    digit, and a digit of at most 2^16 values is settled by the next pass, which counts its values instead. The driver sees at most two digits of each rank.
     """
     columns = list(wanted)
     values = df.select(*[wanted[n][0].cast("double").alias(f"v{i}") for i, n in enumerate(columns)])
@@ -146,7 +164,7 @@ def order_statistics(
                     found[name, rank] = digit.high
                 else:
                     prefix = (slots[i].prefix << DIGIT_BITS) | digit.digit
-                    next_slots.append(Slot(slots[i].name, prefix, _fixed(local - digit.before)))
+                    next_slots.append(Slot(slots[i].name, prefix, _fixed(local - digit.before), digit.n <= 1 << DIGIT_BITS))
                     next_goals.append([(name, rank)])
                     next_offsets.append(offsets[i] + digit.before)
         slots, goals, offsets = next_slots, next_goals, next_offsets
