@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from molframe.constants import BATCH_METRICS
 from molframe.operators import batch, delta
 from molframe.plans.descriptors import Inputs, Options, describe
-from molframe.plans.folders import folder_inputs
+from molframe.plans.folders import folder_inputs, list_structures
 from molframe.session import materialise
 from molframe.sources import sinks
 
@@ -68,17 +68,18 @@ def run_folder(
 ) -> Batch:
     """Describe the molecules of a folder and store records, sheets and quadrants.
 
-    Finished molecules of the same variant are kept; ``force`` describes them again and ``clean`` also drops
+    Finished molecules of the same variant are kept and none of their files is opened; ``force`` describes them again and ``clean`` also drops
     stored molecules that left the folder. The batch is derived from the stored table.
     """
     options = options or Options()
     started = time.monotonic()
-    inputs = folder_inputs(spark, directory, results, text_grids)
+    listed = list_structures(spark, directory)
     store = f"{out}/descriptors"
     stored = None if clean else _stored(spark, store, options.solvent)
     if stored is not None and not force:
-        inputs = _only_pending(inputs, stored)
-    fresh = materialise(describe(inputs, options).unionByName(_unreadable(inputs, options), True))
+        listed = batch.pending_inputs(listed, stored)
+    inputs = folder_inputs(spark, directory, results, text_grids, listed)
+    fresh = materialise(describe(inputs, options).unionByName(unreadable(inputs, options), True))
     keep = fresh
     if stored is not None:
         # The stored variant is about to be replaced by itself plus the new records.
@@ -99,12 +100,7 @@ def _stored(spark: SparkSession, store: str, solvent: str) -> DataFrame | None:
     return spark.read.parquet(store).filter((F.col("solvent") == solvent) & (F.col("status") == "success"))
 
 
-def _only_pending(inputs: Inputs, stored: DataFrame) -> Inputs:
-    drop = lambda df: None if df is None else batch.pending_inputs(df, stored)
-    return Inputs(**{name: drop(getattr(inputs, name)) for name in Inputs.__dataclass_fields__})
-
-
-def _unreadable(inputs: Inputs, options: Options) -> DataFrame:
+def unreadable(inputs: Inputs, options: Options) -> DataFrame:
     """Structures that could not be read, as failed records."""
     return inputs.rejects.select(
         "mol_id",

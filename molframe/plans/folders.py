@@ -21,15 +21,20 @@ PREFERRED_SURFACE = "xtb.cosmo"
 GRID_TEXT = "nci_grid.txt"
 
 
-def _stem(name: Column) -> Column:
+def stem_of(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
 
 
-def _outputs(spark: SparkSession, root: str, pattern: str, whole: bool) -> DataFrame:
-    """``(stem, file, text)`` of one kind of output below ``root``; the parent folder names the molecule."""
+def read_outputs(spark: SparkSession, root: str, pattern: str, whole: bool, stems: list[str] | None = None) -> DataFrame:
+    """``(stem, file, text)`` of one kind of output below ``root``; the parent folder names the molecule.
+
+    With ``stems``, files of other molecules are left out by their path alone and never opened.
+    """
     files = spark.read.format("text").option("wholetext", str(whole).lower())
     files = files.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.split(file_key(), "/")
+    if stems is not None:
+        files = files.filter(F.element_at(path, -2).isin(stems))
     return files.select(
         F.element_at(path, -2).alias("stem"), F.element_at(path, -1).alias("file"), F.col("value").alias("text")
     )
@@ -45,12 +50,26 @@ def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.createDataFrame(sorted(stems), "stem string")
 
 
-def structure_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def list_structures(spark: SparkSession, directory: str) -> DataFrame:
+    """``(mol_id, stem)`` of the molecule files of a folder; no content is read."""
+    files = corpus.structure_files(corpus.list_files(spark, directory))
+    return files.select(F.col("path").alias("mol_id"), stem_of(F.col("file")).alias("stem"))
+
+
+def read_structures(spark: SparkSession, directory: str, paths: list[str]) -> DataFrame:
+    """``(mol_id, text, modified)`` of these files alone: a filter on the path prunes the scan's list of files."""
+    return read_documents(spark, directory).filter(F.col("mol_id").isin(paths))
+
+
+def structure_tables(spark: SparkSession, directory: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``atoms``, ``bonds`` and ``rejects`` of a folder; MOL and SDF carry bonds, XYZ bonds are inferred.
 
-    Texts are parsed once and stored; every later use reads the parsed rows.
+    Texts are parsed once and stored; every later use reads the parsed rows. Files that are no molecules, or not among
+    ``paths``, are not opened. The list of paths is part of the file list that the driver of any scan holds.
     """
-    files = corpus.structure_files(read_documents(spark, directory), "mol_id")
+    if paths is None:
+        paths = [row.mol_id for row in list_structures(spark, directory).select("mol_id").toLocalIterator()]
+    files = corpus.structure_files(read_structures(spark, directory, paths), "mol_id")
     files = materialise(files.select("mol_id", "ext", "text"))
     blocks = materialise(structures.parse_mol(files.filter(F.col("ext").isin(".mol", ".sdf"))))
     plain = materialise(structures.parse_xyz(files.filter(F.col("ext") == ".xyz")))
@@ -68,14 +87,26 @@ def structure_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, Da
     )
 
 
-def folder_inputs(spark: SparkSession, directory: str, results: str, text_grids: bool = False) -> Inputs:
-    """All inputs of a batch: structures in ``directory``, solver outputs in ``results/<file stem>/``."""
-    atoms, bonds, rejects = structure_tables(spark, directory)
-    files = corpus.structure_files(corpus.list_files(spark, directory))
-    stems = materialise(files.select(F.col("path").alias("mol_id"), _stem(F.col("file")).alias("stem")))
+def folder_inputs(
+    spark: SparkSession, directory: str, results: str, text_grids: bool = False, wanted: DataFrame | None = None
+) -> Inputs:
+    """All inputs of a batch: structures in ``directory``, solver outputs in ``results/<file stem>/``.
+
+    ``wanted`` (``mol_id``, ``stem``, as of :func:`list_structures`) limits the batch to these molecules before any file
+    is opened.
+    """
+    listed = materialise(list_structures(spark, directory) if wanted is None else wanted.select("mol_id", "stem"))
+    paths, chosen = [], None if wanted is None else set()
+    for row in listed.toLocalIterator():
+        paths.append(row.mol_id)
+        if chosen is not None:
+            chosen.add(row.stem)
+    names = None if chosen is None else sorted(chosen)
+    atoms, bonds, rejects = structure_tables(spark, directory, paths)
+    stems = listed
 
     def keyed(pattern: str, whole: bool = True) -> DataFrame:
-        return _outputs(spark, results, pattern, whole).join(stems, "stem").drop("stem")
+        return read_outputs(spark, results, pattern, whole, names).join(stems, "stem").drop("stem")
 
     surfaces = (
         keyed(SURFACE)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,9 @@ from molframe.operators import density, moments
 from molframe.plans.batch import finish_batch, run_folder, store_delta
 from molframe.plans.descriptors import Options
 from molframe.session import materialise
+from molframe.plans.folders import list_structures, read_outputs, read_structures
 from molframe.sources import molden, sinks
+from molframe.streaming.arrivals import latest_records, start_records
 from molframe.streaming.incremental import start_shapes
 from tests.test_grid import wave_text
 from tests.test_sources import mol_line
@@ -131,3 +134,63 @@ def test_stream_sees_new_files_only(spark, tmp_path):
         start_shapes(spark, source, out, state).awaitTermination(120)
     rows = spark.read.parquet(out).collect()
     assert sorted((r.mol_id.rsplit("/", 1)[1], r.fragments, r.batch) for r in rows) == [("a.mol", 2, 0), ("b.mol", 2, 1)]
+
+
+def opened(df):
+    """Files that the scan of a plan opens."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()))
+
+
+def test_finished_files_are_not_opened(spark, folder):
+    source, results = str(folder / "in"), str(folder / "res")
+    paths = {r.stem: r.mol_id for r in list_structures(spark, source).collect()}
+    assert set(paths) == {"one", "two", "dry", "broken"}
+    assert opened(read_structures(spark, source, [paths["two"]])) == 1
+    assert opened(read_outputs(spark, results, "wbo", False, ["two", "none"])) == 1
+    assert opened(read_outputs(spark, results, "wbo", False)) == 3
+    assert opened(read_outputs(spark, results, "*.cosmo", True, ["one"])) == 2
+
+
+def test_stream_waits_for_late_outputs(spark, tmp_path):
+    source, results, out, state = (str(tmp_path / n) for n in ("in", "res", "out", "state"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "res").mkdir()
+    outputs(tmp_path / "kept", "a b", 1.5, 0.1)
+
+    def arrive(stem, *names):
+        (tmp_path / "res" / stem).mkdir(exist_ok=True)
+        for name in names:
+            (tmp_path / "res" / stem / name).write_bytes((tmp_path / "kept" / "a b" / name).read_bytes())
+
+    def start():
+        args = (source, results, out, state, OPTIONS)
+        assert start_records(spark, *args, patience=1).awaitTermination(240)
+        return by_name(latest_records(spark, out))
+
+    arrive("a b", "wbo")
+    arrive("early", "wbo", "xtb.log", "molden.input", "xtb.cosmo")
+    (tmp_path / "in" / "early.mol").write_text(dimer(2.5))
+    rows = start()
+    assert set(rows) == {"early.mol"} and rows["early.mol"].status == "success"
+    (tmp_path / "in" / "a b.mol").write_text(dimer(2.0))
+    arrive("a b", "xtb.log")
+    (tmp_path / "in" / "alone.mol").write_text(dimer(3.0))
+    assert set(start()) == {"early.mol"}
+    time.sleep(1.5)
+    arrive("a b", "molden.input")
+    rows = start()
+    assert set(rows) == {"early.mol", "a b.mol", "alone.mol"}
+    assert (rows["alone.mol"].status, rows["alone.mol"].error) == ("failed", "log not found")
+    assert rows["a b.mol"].meta.status == "no surface"
+    arrive("a b", "xtb.cosmo", "a.cosmo")
+    arrive("alone", "wbo", "xtb.log", "molden.input")
+    rows = start()
+    batch = by_name(run_folder(spark, source, results, str(tmp_path / "whole"), OPTIONS).records)
+    assert {n: r.status for n, r in rows.items()} == {"early.mol": "success", "a b.mol": "success", "alone.mol": "success"}
+    for name, row in rows.items():
+        assert row.asDict(True) == {k: v for k, v in batch[name].asDict(True).items() if k in row.asDict()}
