@@ -151,6 +151,17 @@ ORACLE["results_read"] = """SELECT p_partkey AS mol_id, p_partkey % 9 <> 0 AS re
   CASE WHEN p_partkey % 9 <> 0 THEN p_size::DOUBLE END AS f3, NULL::DOUBLE AS f4,
   CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey % 4)::INT END AS fragments FROM part"""
 
+ORACLE["batch_read"] = """SELECT l_orderkey AS file, CASE WHEN ok THEN 'in/' || l_partkey || '.mol' END AS mol_id,
+  CASE WHEN ok AND l_linenumber <> 3 THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN l_linenumber = 4 THEN 'unreadable record' WHEN l_linenumber = 5 THEN 'record without a molecule'
+    WHEN l_linenumber = 3 THEN 'stopped early' END AS error,
+  ok AS readable, CASE WHEN ok THEN l_quantity::DOUBLE END AS snci, CASE WHEN ok AND l_linenumber <> 2 THEN 25e-2 END AS scdi,
+  CASE WHEN ok THEN l_suppkey::DOUBLE END AS scdi_variance, CASE WHEN ok THEN 2 END AS width,
+  CASE WHEN ok THEN l_linenumber + 5e-1 END AS f2
+FROM (SELECT *, l_linenumber NOT IN (4, 5) AS ok FROM lineitem WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0)
+UNION ALL SELECT l_orderkey, NULL, 'failed', 'unreadable batch', false, NULL, NULL, NULL, NULL, NULL
+FROM lineitem WHERE l_orderkey % 11 = 0 OR l_orderkey % 13 = 0 GROUP BY l_orderkey"""
+
 # --- scalar work ------------------------------------------------------------------------------------
 
 ORACLE["assemble_vector"] = """SELECT l_partkey AS mol_id, min(l_quantity) AS f1, min(l_discount) AS f2, min(l_tax) AS f3,

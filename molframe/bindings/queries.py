@@ -119,6 +119,13 @@ def results_read(spark, sf):
                        F.get("f", F.lit(3)).alias("f4"), "fragments")
 
 
+@query
+def batch_read(spark, sf):
+    rows = results.parse_batches(view(spark, sf, "batch_docs"))
+    return rows.select("file", "mol_id", "status", "error", "readable", "snci", "scdi", "scdi_variance",
+                       F.size("f").alias("width"), F.get("f", F.lit(1)).alias("f2"))
+
+
 # --- scalar work ------------------------------------------------------------------------------------
 
 

@@ -203,6 +203,19 @@ SELECT p_partkey AS mol_id, CASE WHEN p_partkey % 9 = 0 THEN '{"SNCI": 1.5, "SCD
       || CAST(p_partkey % 4 AS STRING) || ', "charge": 0}}' END AS text
 FROM {part}"""
 
+# A stored batch is an order, its records the line items.
+VIEWS["batch_docs"] = """
+SELECT l_orderkey AS file, CASE WHEN l_orderkey % 11 = 0 THEN '{"records": [{"SNCI": 1'
+    WHEN l_orderkey % 13 = 0 THEN '{"records": "none"}'
+    ELSE '{"schema_version": 1, "summary": {"total_files": ' || CAST(count(*) AS STRING) || '}, "records": ['
+      || concat_ws(', ', collect_list(entry)) || ']}' END AS text
+FROM (SELECT l_orderkey, CASE WHEN l_linenumber = 4 THEN '"no record"'
+    ELSE '{"input_file": "' || CASE WHEN l_linenumber = 5 THEN '' ELSE 'in/' || CAST(l_partkey AS STRING) || '.mol' END
+      || '", "status": "' || CASE WHEN l_linenumber = 3 THEN 'failed", "error": "stopped early' ELSE 'success' END
+      || '", "SNCI": ' || CAST(l_quantity AS STRING) || ', "SCDI": ' || CASE WHEN l_linenumber = 2 THEN 'null' ELSE '"0.25"' END
+      || ', "SCDI_variance": ' || CAST(l_suppkey AS STRING) || ', "a_vector": [1, ' || CAST(l_linenumber AS STRING) || '.5]}' END AS entry
+  FROM {lineitem}) GROUP BY l_orderkey"""
+
 VIEWS["name_paths"] = """
 SELECT page_id, CASE page_id % 8 WHEN 0 THEN url || '.mol' WHEN 1 THEN url || '.XYZ' WHEN 2 THEN url || '.sdf '
     WHEN 3 THEN url || '.pdb' WHEN 4 THEN url || '.mol2' WHEN 5 THEN url || '.log' WHEN 6 THEN url || '.mol.bak'

@@ -42,6 +42,36 @@ def parse_results(docs: DataFrame, suffix: str = "vector") -> DataFrame:
     )
 
 
+def parse_batches(docs: DataFrame, suffix: str = "vector") -> DataFrame:
+    """``(file, entry, mol_id, status, error, readable, snci, scdi, scdi_variance, f)`` of stored batches, a row per record.
+
+    ``docs`` holds ``(file, text)``, a text being one object with a ``records`` array. The text is parsed once, as a
+    variant, and its records leave it as rows before any field is taken. A text that is no such object gives one failed
+    row without an entry; a record that is no object, or names no molecule, gives a failed row of its own.
+    """
+    body = F.try_parse_json("text")
+    listed = docs.select("file", F.try_variant_get(body, "$.records", "array<variant>").alias("_all"))
+    rows = listed.select("file", F.col("_all").isNull().alias("_bad"), F.posexplode_outer("_all").alias("entry", "_v"))
+    rows = rows.filter("_bad or entry is not null")
+    part = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    fields = F.try_variant_get("_v", "$", "map<string,variant>")
+    vector = F.get(F.map_values(F.map_filter(fields, lambda k, v: k.endswith(suffix))), F.lit(0))
+    named = F.coalesce(part("input_file", "string") != "", F.lit(False))
+    problem = F.when(F.col("_bad"), "unreadable batch").when(fields.isNull(), "unreadable record").when(~named, "record without a molecule")
+    stated = F.coalesce(part("status", "string"), F.lit("failed"))
+    given = lambda c: F.when(problem.isNull(), c)
+    return rows.select(
+        "file",
+        "entry",
+        given(part("input_file", "string")).alias("mol_id"),
+        F.when(problem.isNull(), stated).otherwise("failed").alias("status"),
+        F.coalesce(problem, part("error", "string")).alias("error"),
+        problem.isNull().alias("readable"),
+        *[given(safe_double(part(name, "string"))).alias(name.lower()) for name in ("SNCI", "SCDI", "SCDI_variance")],
+        given(F.try_variant_get(vector, "$", "array<double>")).alias("f"),
+    )
+
+
 def parse_timings(docs: DataFrame) -> DataFrame:
     """``(file, modified, setting, seconds)`` from metrics keyed by worker count; a bad file gives no row.
 

@@ -1,3 +1,4 @@
+import json
 import statistics
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from molframe.constants import BATCH_METRICS, SINGLE_METRICS
 from molframe.operators import batch, compare, delta, quantiles, ranks, surface
+from molframe.sources import results
 
 RECORDS = "mol_id string, status string, snci double, scdi double, scdi_variance double"
 
@@ -221,3 +223,21 @@ def test_sample_is_repeatable_and_whole_when_covered(spark):
     assert one == two and len(one) == 300
     assert compare.sample_points(df, 10**6).count() == 5000
     assert one != {r.id for r in compare.sample_points(df, 300, seed=8).collect()}
+
+
+def test_stored_batch_is_one_side_of_a_comparison(spark):
+    entry = lambda name, **k: json.dumps({"input_file": name, "status": "success", "a_vector": [1.0] * 9, **k})
+    first = '{"summary": {}, "records": [%s, %s, %s, 7, {"SNCI": 2}]}' % (
+        entry("a", SNCI=1.0, SCDI=None), entry("b", SNCI="2.5"), entry("a", SNCI=3.0),
+    )
+    texts = [("one", first), ("cut", first[:40]), ("empty", '{"records": []}'), ("null", None), ("list", "[1]")]
+    rows = results.parse_batches(spark.createDataFrame(texts, "file string, text string"))
+    found = {(r.file, r.entry): r for r in rows.collect()}
+    assert set(found) == {("one", i) for i in range(5)} | {("cut", None), ("null", None), ("list", None)}
+    assert [found["one", i].error for i in range(5)] == [None, None, None, "unreadable record", "record without a molecule"]
+    assert found["cut", None].error == "unreadable batch" and found["one", 1].snci == 2.5 and len(found["one", 0].f) == 9
+    kept = delta.keep_last(rows.filter("readable"), "mol_id", "entry")
+    old = record(spark, [("a", 1, 1.0, None, 1.0, [1.0] * 9, 0.5, None)])
+    metrics = lambda df: df.select("mol_id", F.col("snci").alias("SNCI"))
+    both = metrics(old).alias("o").join(metrics(kept).alias("n"), "mol_id", "full")
+    assert sorted(map(tuple, both.collect())) == [("a", 1.0, 3.0), ("b", None, 2.5)]
