@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from molframe.llm.common import mix, pieces, probe
 
@@ -22,6 +23,10 @@ LONGEST_WORD = 96
 STEP_CELLS = 1 << 21
 CACHED_WORDS = 400_000
 MEMO_SLOTS = 1 << 21
+# Kinds of model and of piece in the model format, and what an unknown character costs a unigram path.
+UNIGRAM, MERGES = 1, 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+UNKNOWN_COST = 10.0
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_ODD, k, 1 << 64) for k in range(LONGEST_WORD + 1)], np.uint64)
@@ -39,7 +44,7 @@ def split_words(text: str) -> list[str]:
 
 @dataclass
 class Vocabulary:
-    """Pieces of a model with merges: sorted keys, merge priority, and what each piece was merged from."""
+    """Pieces of a model: sorted keys and scores; of one with merges also their priority and what each was merged from."""
 
     texts: list[str]
     scores: np.ndarray
@@ -54,6 +59,7 @@ class Vocabulary:
     pair_keys: np.ndarray
     pair_rank: np.ndarray
     unknown: int
+    kind: int = MERGES
 
     @property
     def longest(self) -> int:
@@ -77,8 +83,37 @@ def _span_hash(sums: np.ndarray, low: int, high: int) -> np.ndarray:
     return mix(sums[:, high] - sums[:, low] * _POWERS[high - low])
 
 
+def _kind(model_file: str) -> int:
+    """The model's kind; a model that these encoders would not follow is refused."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as f:
+        proto.ParseFromString(f.read())
+    kind, rules = proto.trainer_spec.model_type, proto.normalizer_spec
+    texts = [p.piece for p in proto.pieces if p.type == NORMAL]
+    problems = {
+        "neither a unigram model nor one with merges": kind not in (UNIGRAM, MERGES),
+        "characters are normalised": bool(rules.precompiled_charsmap),
+        "no blank is put before the text": not rules.add_dummy_prefix,
+        "blanks are removed": rules.remove_extra_whitespaces,
+        "blanks are not escaped": not rules.escape_whitespaces,
+        "blanks end words": proto.trainer_spec.treat_whitespace_as_suffix,
+        "no byte fallback": not proto.trainer_spec.byte_fallback or sum(p.type == BYTE for p in proto.pieces) != 256,
+        "user-defined or unused pieces": any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in proto.pieces),
+        "pieces over several words": any(SPACE in t.lstrip(SPACE) for t in texts),
+        "overlong pieces": any(len(t) > LONGEST_WORD for t in texts),
+    }
+    found = [text for text, wrong in problems.items() if wrong]
+    if found:
+        raise ValueError(f"{model_file} is not supported: {', '.join(found)}")
+    return kind
+
+
 def load_vocabulary(model_file: str) -> Vocabulary:
-    """Read a BPE model with byte fallback; this runs once on the driver, the tables are broadcast (some MB)."""
+    """Read a unigram model or one with merges, with byte fallback and no normaliser; others are refused with a ValueError.
+
+    This runs once on the driver, the tables are broadcast (some MB).
+    """
+    kind = _kind(model_file)
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     count = model.get_piece_size()
     texts = [model.id_to_piece(i) for i in range(count)]
@@ -100,7 +135,7 @@ def load_vocabulary(model_file: str) -> Vocabulary:
     rank[np.lexsort((np.arange(count), -scores))] = np.arange(count)
     left, right = np.full(count, -1), np.full(count, -1)
     pairs = []
-    for i in real.tolist():
+    for i in real.tolist() if kind == MERGES else []:
         text = texts[i]
         pairs += [
             (mergeable[text[:k]] * count + mergeable[text[k:]], rank[i])
@@ -112,7 +147,7 @@ def load_vocabulary(model_file: str) -> Vocabulary:
             left[i], right[i] = last if last else (-1, -1)
     pairs.sort()
     pair_keys, pair_rank = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    return Vocabulary(texts, scores, byte_ids, mergeable, hashed[order], order, sizes, rank, left, right, pair_keys, pair_rank, model.unk_id())
+    return Vocabulary(texts, scores, byte_ids, mergeable, hashed[order], order, sizes, rank, left, right, pair_keys, pair_rank, model.unk_id(), kind)
 
 
 def _merged(text: str, mergeable: dict[str, int], scores: np.ndarray) -> tuple[list[str], tuple[int, int] | None]:
@@ -233,11 +268,59 @@ class Encoder:
         order = np.lexsort((-step, rows))
         return ids[order].astype("<i4").tobytes(), np.cumsum(np.bincount(rows, minlength=len(texts))) * 4
 
+    def _best(self, texts: list[str]) -> list[bytes]:
+        """Ids of words of one length along the path of the largest summed score, by a unigram model.
+
+        All words advance by one place together: substring hashes probe the sorted piece keys for every piece that may end
+        there, the maximum over them is taken for all words at once, and the piece that gave it is the backpointer. Of equal
+        sums the longer piece stays. A character that is no piece costs more than any piece and becomes its bytes.
+        """
+        v, width = self.v, len(texts[0])
+        sums = _prefixes(_codes(texts, width))
+        score = np.full((len(texts), width + 1), -np.inf)
+        score[:, 0] = 0.0
+        last = np.full((len(texts), width + 1), -1)
+        unknown = v.scores[v.key_ids].min() - UNKNOWN_COST
+        for i in range(1, width + 1):
+            for size in range(min(i, v.longest), 0, -1):
+                found = self._find(_span_hash(sums, i - size, i))
+                gain = np.where(found >= 0, v.scores[found], unknown if size == 1 else -np.inf)
+                sum_ = score[:, i - size] + gain
+                better = sum_ > score[:, i]
+                score[better, i] = sum_[better]
+                last[better, i] = found[better]
+        out = []
+        for text, row in zip(texts, last.tolist(), strict=True):
+            ids, i = [], width
+            while i:
+                piece = row[i]
+                if piece >= 0:
+                    ids.append(piece)
+                    i -= int(v.sizes[piece])
+                else:
+                    ids += v.byte_ids[list(text[i - 1].encode("utf-8", "surrogatepass"))].tolist()[::-1]
+                    i -= 1
+            out.append(np.array(ids[::-1], "<i4").tobytes())
+        return out
+
+    def _learn_by_score(self, fresh: list[str]) -> None:
+        """Encode new words by a unigram model, equal lengths together, whatever their length."""
+        by_length: dict[int, list[str]] = {}
+        for word in fresh:
+            by_length.setdefault(len(word), []).append(word)
+        for width, some in by_length.items():
+            rows = max(1, STEP_CELLS // (width + 1))
+            for low in range(0, len(some), rows):
+                part = some[low : low + rows]
+                self.words.update(zip(part, self._best([SPACE + w.replace(" ", SPACE) for w in part]), strict=True))
+
     def learn(self, words: set[str]) -> None:
         """Encode new words: cut at unknown characters, equal lengths together, exceptions by the heap."""
         fresh = [w for w in words if w not in self.words]
         if len(self.words) + len(fresh) > CACHED_WORDS:
             self.words, fresh = {}, list(words)
+        if self.v.kind == UNIGRAM:
+            return self._learn_by_score(fresh)
         known, by_length, runs = self.v.mergeable, {}, {}
         for word in fresh:
             low, cut = 0, []

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from molframe.llm import chat, packing, queries, sentencepieces
 from tests.llm import brute
@@ -38,6 +39,51 @@ def test_bounded_tables_change_nothing(monkeypatch):
     assert [small.encode([t])[0] for t in texts] == whole
 
 
+def unigram_model(path, pieces, kind=1, **rules):
+    """A model file written piece by piece; nothing is trained."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    special = [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))]
+    for text, sort, score in [*((t, k, 0.0) for t, k in special), *((t, 1, s) for t, s in pieces)]:
+        proto.pieces.add(piece=text, type=sort, score=score)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, True
+    settings = {"name": "identity", "add_dummy_prefix": True, "remove_extra_whitespaces": False, "escape_whitespaces": True}
+    for name, value in (settings | rules).items():
+        setattr(proto.normalizer_spec, name, value)
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_unigram_pieces(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {"▁", "▁▁", "▁▁a", "qu", "é", "a" * 20, *"abcdez"}
+    while len(texts) < 150:
+        texts.add(rng.choice(["", "▁"]) + "".join(rng.choice("abcdeéz") for _ in range(rng.randint(1, 5))))
+    # Sums of these scores are exact in either precision, so that equal paths are ties for the library too.
+    pieces = [(t, -rng.randint(8, 120) / 8) for t in sorted(texts)]
+    file = unigram_model(tmp_path / "unigram.model", pieces)
+    library = sentencepiece.SentencePieceProcessor(model_file=file)
+    lines = ["", " ", "a", "  a  b ", "quiz q u", "ünknown 日本 \n\t", "ab" * 300 + " " + "a" * 500, "z" * 97, "▁a▁"]
+    lines += ["".join(rng.choice("aaabcdeé z  qü") for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(lines), (-1, None)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in sentencepieces.encode_documents(docs, file).collect()}
+    assert found.pop(-1).ids is None
+    for i, row in found.items():
+        assert row.ids == library.encode(lines[i]) and row.round_trip, lines[i]
+
+
+def test_other_models_are_refused(tmp_path):
+    plain = [("a", -1.0), ("▁", -2.0)]
+    for name, change in {
+        "kind": {"kind": 3}, "prefix": {"add_dummy_prefix": False}, "removed": {"remove_extra_whitespaces": True},
+        "normalised": {"precompiled_charsmap": b"x"}, "unescaped": {"escape_whitespaces": False},
+    }.items():
+        with pytest.raises(ValueError, match="not supported"):
+            sentencepieces.load_vocabulary(unigram_model(tmp_path / name, plain, **change))
+    with pytest.raises(ValueError, match="several words"):
+        sentencepieces.load_vocabulary(unigram_model(tmp_path / "several", [*plain, ("a▁a", -3.0)]))
+    assert sentencepieces.load_vocabulary(unigram_model(tmp_path / "good", plain)).kind == sentencepieces.UNIGRAM
+
+
 def test_pieces_in_spark(spark, docs):
     clashing = docs.withColumns({"ids": F.lit("mine")})
     found = sentencepieces.encode_documents(clashing, queries.PIECES)
