@@ -16,6 +16,15 @@ ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BLANKS = re.compile("[\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
+# Fixed values: (kind, pattern, group, fewest characters) of a secret, as the contract words them. Only A-Z and a-z fold, so
+# the letters are written out: a case-blind match would also take the Kelvin sign and the long s.
+WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+SECRETS = (
+    ("assign", f"({WORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+
 
 def blank_words(text):
     return [w for w in BLANKS.split((text or "").translate(FOLD)) if w]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -192,8 +193,8 @@ def test_secrets(spark, empty):
     by_id = {r.doc_id: r for r in found.values()}
     for doc_id, text, *_ in made:
         spans = []
-        for kind, pattern, group, least in (("assign", secrets.ASSIGN, 1, 6), ("access", secrets.ACCESS, 0, 20), ("hex", secrets.HEX, 0, 24)):
-            spans += [(m.start(), secrets.KINDS.index(kind), kind, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+        for place, (kind, pattern, group, least) in enumerate(brute.SECRETS):
+            spans += [(m.start(), place, kind, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
         want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
         assert by_id[doc_id].base_sha256 == brute.sha(want)
         rest = [s for s in by_id[doc_id].spans.split(",") if not s.startswith("owned")]
