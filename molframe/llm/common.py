@@ -31,6 +31,23 @@ def _powers(base: int, count: int) -> np.ndarray:
 _POWERS = _powers(_ODD, _PERIOD)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps between tasks: the tables of one operator at a time."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what an earlier operator kept in this worker."""
+    _KEPT.clear()
+    release()
+
+
 def release() -> None:
     """Give freed memory of a Python worker back, as workers live on between tasks and share an executor's limit."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molframe.llm.common import mix, pieces, probe, remainder
+from molframe.llm.common import forget, mix, pieces, probe, release, remainder
 
 ORDER = 4
 # Text that the models learn from, per language: rows are drawn by hash so that about this many bytes are expected.
@@ -32,6 +32,9 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(16)], np.uint64)
 _CHUNK = 1 << 20
+# Words that are scored at once, and bytes of text: both bound a worker's memory only.
+_WORDS = 1 << 14
+_PIECE = 1 << 22
 
 
 def letter_runs(text: str) -> Iterator[list[str]]:
@@ -113,10 +116,10 @@ class Models:
             sizes.append(len(spot))
         vocabulary = list(seen)
         bits, chars = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
-        for low in range(0, len(vocabulary), 1 << 16):
-            b, c = self.bits(vocabulary[low : low + (1 << 16)])
+        for low in range(0, len(vocabulary), _WORDS):
+            b, c = self.bits(vocabulary[low : low + _WORDS])
             # A run of numerals such as a superscript two is no word: it has no letter.
-            lettered = np.array([any(map(str.isalpha, w)) for w in vocabulary[low : low + (1 << 16)]])
+            lettered = np.array([any(map(str.isalpha, w)) for w in vocabulary[low : low + _WORDS]])
             bits.append(b * lettered[:, None])
             chars.append(c * lettered)
         bits, chars = np.concatenate(bits), np.concatenate(chars)
@@ -212,6 +215,7 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
     rows_of = usable_rows(docs, sample_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for language, found in _counts(pairs).items():
@@ -219,6 +223,7 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
                     [pa.array([language] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
                     ["lang", "word", "n"],
                 )
+            release()
 
     counted = rows_of.filter("fitted").select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
     rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "word"])
@@ -245,12 +250,14 @@ def _calibrated(models: Models, aside: DataFrame) -> Models:
     held = aside.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = {name: i for i, name in enumerate(held.value.languages)}
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 23):
+            for part in pieces(batch, "text", _PIECE):
                 entropy, chars = held.value.entropy(part.column(1).to_pylist())
                 keep = [(name, float(e[known[name]])) for name, e, c in zip(part.column(0).to_pylist(), entropy, chars, strict=True) if c >= PRIOR_CHARS and name in known]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.float64())], ["lang", "bits"])
+                release()
 
     rows = aside.select("lang", "text").mapInArrow(measure, "lang string, bits double")
     spread = {r["lang"]: r["q"] for r in rows.groupBy("lang").agg(F.percentile_approx("bits", [0.5, TOP], 10000).alias("q")).collect()}
@@ -273,11 +280,13 @@ def identify(docs: DataFrame, models: Models, text_column: str = "text") -> Data
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in pieces(batch, text_column, 1 << 23):
+            for part in pieces(batch, text_column, _PIECE):
                 lang, score, rejected = zip(*held.value.predict(part.column(at).to_pylist()), strict=True)
                 columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, "lang_pred", "score", "rejected"])
+                release()
 
     source = docs.select(*names)
     schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from molframe.llm.common import mix, pieces, probe
+from molframe.llm.common import kept, mix, pieces, probe, release
 
 SPACE = "▁"
 # Words up to this length advance in numpy; merges of longer ones go through a heap.
@@ -391,16 +391,9 @@ def byte_table(vocabulary: Vocabulary) -> list[bytes]:
     return table
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(held) -> Encoder:
     """One encoder per worker process and broadcast, so that its tables outlive a task."""
-    key = held.value.keys.tobytes().__hash__()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(held.value)
-    return _ENCODERS[key]
+    return kept(("pieces", held.value.keys.tobytes().__hash__()), lambda: Encoder(held.value))
 
 
 def encode_documents(docs: DataFrame, model_file: str, text_column: str = "text", check: bool = True) -> DataFrame:
@@ -433,6 +426,7 @@ def encode_documents(docs: DataFrame, model_file: str, text_column: str = "text"
                     same = [None if t is None else d == t.replace(SPACE, " ") for t, d in zip(texts, back, strict=True)]
                     columns.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+        release()
 
     source = docs.select(*names)
     made = {"ids": F.array().cast("array<int>"), "round_trip": F.lit(None).cast("boolean")}
