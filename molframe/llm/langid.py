@@ -34,7 +34,7 @@ _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(16)], np
 _CHUNK = 1 << 20
 # Words that are scored at once, and bytes of text: both bound a worker's memory only.
 _WORDS = 1 << 14
-_PIECE = 1 << 22
+_PIECE = 1 << 23
 
 
 def letter_runs(text: str) -> Iterator[list[str]]:
