@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -85,6 +86,23 @@ def test_field_against_eigenvalues(spark, arrays):
             assert row.sl2rho == math.copysign(row.rho, middle)
 
 
+def test_sign_of_a_middle_eigenvalue_at_rounding_level():
+    """Prices of three given parts: their second difference is zero up to rounding, and with it the middle eigenvalue."""
+    rows = (0.17586, 0.175878, 0.17589600000000002)
+    u = np.empty((3, 3, 3))
+    for i, j, k in np.ndindex(3, 3, 3):
+        u[i, j, k] = rows[k] + 0.25 * i * i - 0.125 * j * j
+    assert np.array_equal(stencil._second(u, 0.5, 2)[0, 0], np.full(3, (rows[2] - 2 * rows[1] + rows[0]) / 0.25))
+    for diagonal in itertools.permutations((0.5, 0.0, -0.25)):
+        exact = [np.array([v]) for v in (*diagonal, 0.0, 0.0, 0.0)]
+        t = sum(diagonal) / 3
+        p = math.sqrt(sum((v - t) * (v - t) for v in diagonal) / 6)
+        det = math.prod(v - t for v in diagonal)
+        turn = math.acos(max(-1.0, min(1.0, det / (2 * p * p * p)))) / 3
+        plain = 3 * t - (t + 2 * p * math.cos(turn)) - (t + 2 * p * math.cos(turn + 2 * math.pi / 3))
+        assert stencil.middle_eigenvalues(exact)[0] == plain
+
+
 def test_eigenvalue_columns(spark):
     rng = np.random.default_rng(2)
     rows = [tuple(map(float, rng.normal(size=6))) for _ in range(200)] + [(2.0, 2.0, 2.0, 0.0, 0.0, 0.0)]
