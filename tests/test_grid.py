@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from molframe.bindings import queries
+from molframe.bindings.views import view
 from molframe.operators import basis, compare, density, grid, moments, stencil
 from molframe.plans.compare import checked_reference, compare_wavefunctions
 from molframe.sources import molden
@@ -213,6 +215,15 @@ def test_density_from_text(spark, normalise):
         assert r.rho == pytest.approx(plain_density((r.x, r.y, r.z), normalise), rel=1e-10)
 
 
+def test_wavefunction_texts_are_dealt_to_all_tasks(spark, tmp_path):
+    """A short table in one file is not one task: its texts take long to read."""
+    spark.range(200).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    docs = queries._wave_docs(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plain = view(spark, str(tmp_path), "wave_docs")
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_field_in_one_pass_equals_field_from_points(spark):
     wf = waves(spark, {"m": wave_text()})
     direct = {(r.ix, r.iy, r.iz): r for r in density.field(wf, 0.5, 0.8, brick=4).collect()}
