@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from molframe.llm.common import LOWER, NOT_BLANK, discard, hashes, mix, pieces, probe, release, utf8, words, written
 from molframe.llm.components import components
+from molframe.llm.simhash import near_links
 
 SHINGLE = 5
 # Similarity as a fraction, so that no pair at the very limit depends on rounding.
@@ -23,6 +25,11 @@ COMMON = 1 << 16
 CENTRES = 8
 # Nodes of a cell that one task compares; larger cells are compared part by part.
 CELL = 2048
+# Links that each root of a cell may propose in the first round, and how much more in each later one.
+FIRST_LINKS, MORE_LINKS = 1, 32
+# Pairs held at once while the best of a cell are sought, and hashes whose bits are counted at once.
+HELD_PAIRS = 1 << 18
+BITS_STEP = 1 << 16
 # Bits that tell where sets are made which of them are needed.
 BITMAP = 1 << 25
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
@@ -117,13 +124,36 @@ def most_shared(size_a: int, odd_a: bytes, size_b: int, odd_b: bytes) -> int:
     return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, signed: a bit is 1 if set in over half the hashes."""
+    total = np.zeros(64, np.int64)
+    for low in range(0, len(shingles), BITS_STEP):
+        part = shingles[low : low + BITS_STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def with_outlines(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size and parity bits of the shingle set of each row."""
+    """doc_id, node, size, parity bits and fingerprint of the shingle set of each row."""
 
     def columns(sets: list[np.ndarray]) -> list[pa.Array]:
-        return [_nodes(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary())]
+        prints = pa.array([set_fingerprint(s) for s in sets], pa.int64())
+        return [_nodes(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), prints]
+
+    return _mapped(docs, ["doc_id"], "text", "node bigint, size int, odd binary, fp bigint", columns)
 
-    return _mapped(docs, ["doc_id"], "text", "node bigint, size int, odd binary", columns)
+
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that operator 2 joins: equal fingerprints, each to one node, and links of these by their bits.
+
+    They are as many as the nodes at most, whatever the size of a group; the whole sets decide afterwards.
+    """
+    held = nodes.filter("size > 0").select("node", "fp")
+    ends = held.groupBy("fp").agg(F.min("node").alias("end"))
+    equal = held.join(ends, "fp").filter("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    near = near_links(ends.select("fp"))
+    near = near.join(ends.select(F.col("fp").alias("a"), F.col("end").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("end").alias("y")), "b")
+    return equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -210,10 +240,22 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], ["a", "b"])
 
 
-def _close(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sizes: np.ndarray, odd: list[bytes]) -> Iterator[tuple[int, int]]:
+def _best(pairs: np.ndarray, likeness: np.ndarray, roots: np.ndarray, limit: int) -> np.ndarray:
+    """Which of the ``pairs`` (two rows of places) are among the ``limit`` likeliest of one of their roots."""
+    root = roots[pairs].ravel()
+    order = np.lexsort((-np.concatenate([likeness, likeness]), root))
+    first = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    kept = np.zeros(len(order), bool)
+    kept[order[rank < limit]] = True
+    return kept[: len(likeness)] | kept[len(likeness) :]
+
+
+def _close(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sizes: np.ndarray, odd: list[bytes], limit: int) -> tuple[np.ndarray, bool]:
     """Pairs of a cell that can be similar enough, of unequal roots and, in a cell of two parts, of unequal parts.
 
-    By size, a node is compared with those of up to WHOLE/PART its size. Their parity bits are as many or twice as many;
+    Each root proposes its ``limit`` likeliest pairs, so they are as many as roots and not as pairs of them; the second result
+    tells whether others were left out. By size, a node is compared with those of up to WHOLE/PART its size. Their parity bits are as many or twice as many;
     the latter are folded once.
     """
     order = np.argsort(sizes, kind="stable")
@@ -222,6 +264,15 @@ def _close(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sizes: np.nd
     bits = {w: np.frombuffer(b"".join(odd[i] for i in order if len(odd[i]) == w), np.uint8).reshape(-1, w) for w in np.unique(widths).tolist()}
     begin = {w: int(np.searchsorted(widths, w)) for w in bits}
     mixed = len(np.unique(parts)) > 1
+    held, count, left_out = [(np.zeros((2, 0), np.int64), np.zeros(0))], 0, False
+
+    def settle() -> None:
+        nonlocal held, count, left_out
+        pairs, likeness = np.concatenate([p for p, _ in held], axis=1), np.concatenate([x for _, x in held])
+        kept = _best(pairs, likeness, roots, limit) if len(likeness) else np.zeros(0, bool)
+        left_out |= not kept.all()
+        held, count = [(pairs[:, kept], likeness[kept])], 0
+
     for i in range(len(nodes) - 1):
         end = int(np.searchsorted(sizes, sizes[i] * WHOLE // PART, side="right"))
         fit = (roots[i + 1 : end] != roots[i]) & (not mixed or parts[i + 1 : end] != parts[i])
@@ -238,23 +289,37 @@ def _close(nodes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sizes: np.nd
                 differing.append(np.bitwise_count(folded ^ own).sum(1, dtype=np.int64))
         total = sizes[others] + sizes[i]
         most = (total - np.concatenate(differing)) // 2
-        for j in others[(PART + WHOLE) * most >= PART * total].tolist():
-            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+        fit = (PART + WHOLE) * most >= PART * total
+        if fit.any():
+            # The widths were taken in turn, and nodes of one width stand together.
+            held.append((np.stack([np.full(int(fit.sum()), i), others[fit]]), most[fit] / (total[fit] - most[fit])))
+            count += len(held[-1][1])
+            if count > HELD_PAIRS:
+                settle()
+    settle()
+    return np.sort(nodes[held[0][0]], axis=0).T, left_out
+
 
+def _close_pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (t, low, high, part, node, root, size, odd) sorted by the first three: close pairs (a, b) of the cells.
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (t, low, high, part, node, root, size, odd) sorted by the first three: the close pairs of each cell."""
+    Rows without a pair name the cells that have more of them.
+    """
 
     def cut(rows: pa.Table) -> pa.RecordBatch:
         keys = np.stack([rows[c].to_numpy() for c in ("t", "low", "high")])
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
         columns = [rows[c].to_numpy() for c in ("node", "root", "part", "size")]
-        odd, found = rows["odd"].to_pylist(), []
+        odd, found, more = rows["odd"].to_pylist(), [np.zeros((0, 2), np.int64)], []
         for a, b in zip(edge.tolist(), np.append(edge[1:], rows.num_rows).tolist(), strict=True):
             if (columns[1][a:b] != columns[1][a]).any():
-                found += _close(*(c[a:b] for c in columns), odd[a:b])
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+                pairs, left_out = _close(*(c[a:b] for c in columns), odd[a:b], limit)
+                found.append(pairs)
+                more += [a] if left_out else []
+        pairs = np.unique(np.concatenate(found), axis=0)
+        made = [pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, k])), pa.nulls(len(more), pa.int64())]) for k in (0, 1)]
+        made += [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(keys[k][more], pa.int64())]) for k in range(3)]
+        return pa.RecordBatch.from_arrays(made, ["a", "b", "t", "low", "high"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -306,9 +371,11 @@ def _verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all pairs of similarity PART/WHOLE or more.
 
-    Nodes that share an early shingle form a cell. Each is first compared with its cell's centre, which settles crowds of
-    copies in linear work; then those of a cell that are in different components by then with each other, by size and
-    parity bits and without making a row of any pair that these rule out. Every link is verified on the whole sets.
+    Operator 2 proposes links of fingerprints. Nodes that share an early shingle form a cell, and each is compared with its
+    cell's centre; both settle crowds of copies in linear work. Then those of a cell that are in different components are
+    compared with each other, by size and parity bits. In rounds, each component of a cell proposes its likeliest links and
+    is joined by those that hold; cells with more to propose go on, with more each time, until none is left out.
+    Every link is verified on the whole sets.
     """
     early = early_shingles(docs, common_shingles(docs))
     shared = written(early.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_shared, "t bigint, node bigint"))
@@ -318,19 +385,36 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = [nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("odd").alias(f"odd_{n}")) for n in ("a", "b")]
     fit = F.least("size_a", "size_b") * WHOLE >= F.greatest("size_a", "size_b") * PART
     outlined = near.join(ends[0], "a").join(ends[1], "b").filter(fit).select("a", "b", "size_a", "size_b", "odd_a", "odd_b")
-    first = _verified(outlined.mapInArrow(_possible, "a bigint, b bigint"), docs)
-    placed = written(shared.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    likely = outlined.mapInArrow(_possible, "a bigint, b bigint")
+    links = _verified(likely.unionByName(fingerprint_links(nodes)), docs)
+    placed = written(shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     discard(shared)
     cells = placed.groupBy("t").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / CELL).alias("parts"))
     open_cells = written(cells.filter("least <> most").select("t", "parts"))
     rows = placed.join(open_cells, "t").withColumn("part", F.pmod("node", "parts"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     rows = rows.select("t", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "root")
-    rows = rows.join(nodes.filter("size > 0"), "node").select("t", "low", "high", "part", "node", "root", "size", "odd")
-    dealt = rows.repartition("t", "low", "high").sortWithinPartitions("t", "low", "high")
-    rest = _verified(dealt.mapInArrow(_close_pairs, "a bigint, b bigint"), docs)
-    discard(placed, open_cells)
-    return first.unionByName(rest)
+    limit, tried, more = FIRST_LINKS, [], None
+    while True:
+        if more is not None:
+            rest = rows.drop("root").join(more, ["t", "low", "high"], "left_semi")
+            rest = rest.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        dealt = (rows if more is None else rest).join(nodes.filter("size > 0").drop("fp"), "node")
+        dealt = dealt.select("t", "low", "high", "part", "node", "root", "size", "odd")
+        dealt = dealt.repartition("t", "low", "high").sortWithinPartitions("t", "low", "high")
+        found = written(dealt.mapInArrow(partial(_close_pairs, limit=limit), "a bigint, b bigint, t bigint, low bigint, high bigint"))
+        proposed = found.filter("a IS NOT NULL").select("a", "b").distinct()
+        for earlier in tried:
+            proposed = proposed.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+        if not proposed.isEmpty():
+            links = links.unionByName(_verified(proposed, docs))
+        tried.append(found)
+        more = found.filter("a IS NULL").select("t", "low", "high")
+        if more.isEmpty():
+            break
+        limit *= MORE_LINKS
+    discard(placed, open_cells, *tried)
+    return links
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -340,7 +424,7 @@ def group(docs: DataFrame) -> DataFrame:
     each; texts without words are one group.
     """
     rows = written(with_outlines(docs.select("doc_id", "text")))
-    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd")))
+    nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "odd", "fp"))))
     roots = components(similar_links(docs, nodes))
     discard(nodes)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -75,3 +75,29 @@ def test_stage_keeps_one_of_each_group(spark, expected):
     assert kept.columns == frame.columns and {r.node for r in rows} == {"mine"}
     assert sorted(r.doc_id for r in rows) == sorted(least.values())
     assert corpus_pipeline.keep_one_of_each_group(spark, frame.limit(0), "").count() == 0
+
+
+def test_a_cell_proposes_by_its_roots_and_not_by_its_pairs():
+    """Near copies of one text that no centre joined: each proposes its likeliest link, and the rest comes in later rounds."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[12:], rng.integers(1, 1 << 62, 12).astype(np.uint64)])) for _ in range(300)]
+    nodes, parts = np.arange(300), np.zeros(300, np.int64)
+    sizes, odd = np.array([len(s) for s in sets]), [nearcopies.parity(s) for s in sets]
+    few, left_out = nearcopies._close(nodes, nodes, parts, sizes, odd, 1)
+    assert left_out and 150 <= len(few) <= 300
+    assert set(few.ravel().tolist()) == set(range(300))
+    every, left_out = nearcopies._close(nodes, nodes, parts, sizes, odd, 300)
+    assert not left_out and len(every) == 300 * 299 // 2
+    assert nearcopies._close(nodes, nodes * 0, parts, sizes, odd, 1)[0].shape == (0, 2)
+
+
+def test_stage_takes_links_of_fingerprints(spark):
+    """Equal and near fingerprints are proposed, at most as many as nodes, and far ones are not."""
+    far = (1 << 62) - 1
+    rows = [(n, 9, fp) for n, fp in enumerate([5, 5, 5, 4, far, far ^ 3, far ^ (31 << 40)])] + [(99, 0, 5)]
+    nodes = spark.createDataFrame(rows, "node long, size int, fp long")
+    found = {tuple(r) for r in nearcopies.fingerprint_links(nodes).collect()}
+    label = brute.reach(7, list(found))
+    assert len(found) <= 7 and [label[i] == label[j] for i, j in ((0, 1), (1, 2), (2, 3), (4, 5), (0, 4), (4, 6))] == [True] * 4 + [False] * 2
+    assert 99 not in {n for pair in found for n in pair}
