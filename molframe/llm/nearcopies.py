@@ -98,9 +98,10 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     drawn = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == 0)
     sets = _mapped(drawn, [], "text", "tokens array<bigint>", lambda sets: [_nested(sets)])
     counts = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().filter("count > 2")
-    found = counts.orderBy(F.desc("count"), "t").limit(COMMON).collect()
-    found.sort(key=lambda r: r["t"] % (1 << 64))
-    return np.array([r["t"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
+    found = counts.orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
+    keys, times = found["t"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], times[order]
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -192,7 +193,13 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (place, node, t) sorted by place and node: (t, node) of shingles that several nodes hold, each node once."""
+    """Of rows (place, node, t) sorted by place and node: (t, node) of cells, shingles that several nodes hold, each node once.
+
+    A cell is named after its nodes, so that two texts that share a thousand shingles meet in one cell and not in a thousand,
+    and a task hands on a name once. Cells that got one name by chance are one, which loses no pair. A shingle
+    known as frequent, whose nodes are in many tasks, keeps its own name.
+    """
+    done: set[int] = set()
 
     def cut(place: np.ndarray, node: np.ndarray, t: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
         once = np.ones(len(place), bool)
@@ -200,7 +207,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, node, t, known = place[once], node[once], t[once], known[once]
         same = place[1:] == place[:-1]
         several = known | np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(t[several]), pa.array(node[several])], ["t", "node"])
+        place, node, t, known = place[several], node[several], t[several], known[several]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+        sizes = np.diff(np.append(first, len(place)))
+        names = np.add.reduceat(mix(node.view(np.uint64)), first).view(np.int64) if len(first) else first
+        new = known[first]
+        for i in np.flatnonzero(~new).tolist():
+            if (name := int(names[i])) not in done:
+                done.add(name)
+                new[i] = True
+        new = np.repeat(new, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(known, t, np.repeat(names, sizes))[new]), pa.array(node[new])], ["t", "node"])
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -344,9 +361,12 @@ def sets_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
     A bitmap of bounded size holds back most other sets where they are made, so that neither texts nor all sets are
     shuffled; what it lets through, the join drops.
     """
-    bits = np.zeros(BITMAP, bool)
-    bits[needed.select(F.pmod("node", F.lit(BITMAP)).alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    byte = F.shiftright(F.pmod("node", F.lit(BITMAP)), 3).alias("byte")
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod("node", F.lit(8)).cast("int"))
+    found = needed.groupBy(byte).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(BITMAP >> 3, np.uint8)
+    bits[found["byte"].to_numpy()] = found["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def columns(sets: list[np.ndarray]) -> list[pa.Array]:
         nodes = [_node(s) for s in sets]
@@ -368,17 +388,18 @@ def _verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
     return made
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes whose components are those of all pairs of similarity PART/WHOLE or more.
+def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that pairs of similarity PART/WHOLE or more join to others: the smallest of each component.
 
-    Operator 2 proposes links of fingerprints. Nodes that share an early shingle form a cell, and each is compared with its
+    Operator 2 proposes links of fingerprints. Nodes that share an early shingle form a cell, one for all shingles with the same nodes, and each is compared with its
     cell's centre; both settle crowds of copies in linear work. Then those of a cell that are in different components are
     compared with each other, by size and parity bits. In rounds, each component of a cell proposes its likeliest links and
     is joined by those that hold; cells with more to propose go on, with more each time, until none is left out.
-    Every link is verified on the whole sets.
+    Every link is verified on the whole sets. A round's links are joined to the roots so far, not to all links again.
     """
     early = early_shingles(docs, common_shingles(docs))
-    shared = written(early.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_shared, "t bigint, node bigint"))
+    shared = early.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_shared, "t bigint, node bigint")
+    shared = written(shared.distinct())
     centres = shared.groupBy("t").agg(F.min_by("node", F.xxhash64("node", F.pmod("t", F.lit(CENTRES)))).alias("centre"))
     near = shared.join(written(centres), "t").filter(F.col("centre") != F.col("node"))
     near = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
@@ -387,7 +408,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     outlined = near.join(ends[0], "a").join(ends[1], "b").filter(fit).select("a", "b", "size_a", "size_b", "odd_a", "odd_b")
     likely = outlined.mapInArrow(_possible, "a bigint, b bigint")
     links = _verified(likely.unionByName(fingerprint_links(nodes)), docs)
-    placed = written(shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = written(components(links))
+    placed = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     discard(shared)
     cells = placed.groupBy("t").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / CELL).alias("parts"))
     open_cells = written(cells.filter("least <> most").select("t", "parts"))
@@ -398,7 +420,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         if more is not None:
             rest = rows.drop("root").join(more, ["t", "low", "high"], "left_semi")
-            rest = rest.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = (rows if more is None else rest).join(nodes.filter("size > 0").drop("fp"), "node")
         dealt = dealt.select("t", "low", "high", "part", "node", "root", "size", "odd")
         dealt = dealt.repartition("t", "low", "high").sortWithinPartitions("t", "low", "high")
@@ -407,14 +429,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for earlier in tried:
             proposed = proposed.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
         if not proposed.isEmpty():
-            links = links.unionByName(_verified(proposed, docs))
+            links = _verified(proposed, docs)
+            last, roots = roots, written(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+            discard(last)
         tried.append(found)
         more = found.filter("a IS NULL").select("t", "low", "high")
         if more.isEmpty():
             break
         limit *= MORE_LINKS
     discard(placed, open_cells, *tried)
-    return links
+    return roots
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -425,7 +449,7 @@ def group(docs: DataFrame) -> DataFrame:
     """
     rows = written(with_outlines(docs.select("doc_id", "text")))
     nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "odd", "fp"))))
-    roots = components(similar_links(docs, nodes))
+    roots = similar_roots(docs, nodes)
     discard(nodes)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 

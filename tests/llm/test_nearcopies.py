@@ -101,3 +101,16 @@ def test_stage_takes_links_of_fingerprints(spark):
     label = brute.reach(7, list(found))
     assert len(found) <= 7 and [label[i] == label[j] for i, j in ((0, 1), (1, 2), (2, 3), (4, 5), (0, 4), (4, 6))] == [True] * 4 + [False] * 2
     assert 99 not in {n for pair in found for n in pair}
+
+
+def test_texts_that_share_many_shingles_meet_in_one_cell(spark):
+    """A cell for each set of nodes, not for each shingle: two long texts made 400 cells of two rows before."""
+    rows = [(t, n, None) for t in range(400) for n in (1, 2)] + [(t, n, None) for t in range(400, 500) for n in (1, 3, 4)]
+    rows += [(t, 5, None) for t in range(500, 520)] + [(1000 + k, n, -7) for k, n in enumerate((1, 2, 6))]
+    place, node, t = zip(*rows, strict=True)
+    table = pa.table({"place": pa.array(place, pa.int64()), "node": pa.array(node, pa.int64()), "t": pa.array(t, pa.int64())})
+    made = pa.Table.from_batches(nearcopies._shared(iter(table.to_batches(max_chunksize=7))))
+    cells = {}
+    for name, n in zip(made["t"].to_pylist(), made["node"].to_pylist(), strict=True):
+        cells.setdefault(name, []).append(n)
+    assert sorted(cells.values()) == [[1, 2], [1, 2, 6], [1, 3, 4]] and cells[-7] == [1, 2, 6]
