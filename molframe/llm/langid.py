@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,12 +227,13 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
             release()
 
     counted = rows_of.filter("fitted").select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
-    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "word"])
-    languages = sorted(rows["lang"].unique().tolist())
+    # Arrow columns and not rows: the driver holds all words of the sample at once.
+    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    languages = sorted(rows["lang"].unique().to_pylist())
     tables, alphabet = [], []
     for language in languages:
-        own = rows[rows["lang"] == language]
-        words, times = own["word"].tolist(), own["n"].to_numpy(np.float64)
+        own = rows.filter(pc.equal(rows["lang"], language))
+        words, times = own["word"].to_pylist(), own["n"].to_numpy().astype(np.float64)
         hashed, sizes = grams(words, order)
         before, weight = contexts(words, order), np.repeat(times, sizes)
         table = []
@@ -242,7 +244,10 @@ def train(docs: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES)
         alphabet.append(len(table[0][0]))
     if not languages:
         return Models([], order)
-    return _calibrated(kneser_ney(languages, tables, alphabet, order), rows_of.filter("NOT fitted"))
+    models = kneser_ney(languages, tables, alphabet, order)
+    del rows, own, words, times, hashed, sizes, before, weight, tables, table, gram, first, inverse
+    release()
+    return _calibrated(models, rows_of.filter("NOT fitted"))
 
 
 def _calibrated(models: Models, aside: DataFrame) -> Models:

@@ -21,6 +21,8 @@ PART, WHOLE = 4, 5
 # Rows that the order of shingles is estimated on, and the frequent shingles it knows. Neither changes which pairs are found.
 SAMPLE_ROWS = 4000
 COMMON = 1 << 16
+# A set of n shingles lists n / EVIDENCE more of them than one shared shingle takes, and has to share as many more.
+EVIDENCE = 10
 # Orders by which a crowded cell chooses the document that all others are compared with first.
 CENTRES = 8
 # Nodes of a cell that one task compares; larger cells are compared part by part.
@@ -161,7 +163,8 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
     """(place, node, t): the first shingles of each set, rare ones first; of equal sets in one task, one.
 
     Two sets of similarity PART/WHOLE share at least ceil(PART/WHOLE size) shingles of either, so under any one order of all
-    shingles they share one within the first size - ceil(PART/WHOLE size) + 1 of each. ``place`` is the shingle, or, for
+    shingles they share k within the first size - ceil(PART/WHOLE size) + k of each; k is 1 + size // EVIDENCE, the lesser of both
+    sets' counting. ``place`` is the shingle, or, for
     one known as frequent, a hash of it and the node, and only then is ``t`` the shingle: those are spread over all tasks.
     """
     held = docs.sparkSession.sparkContext.broadcast(common)
@@ -179,7 +182,7 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
                     if len(keys):
                         spot = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         s = s[np.argsort(np.where(keys[spot] == s, times[spot], 0), kind="stable")]
-                    first.append(s[: len(s) - -(-PART * len(s) // WHOLE) + 1])
+                    first.append(s[: len(s) - -(-PART * len(s) // WHOLE) + 1 + len(s) // EVIDENCE])
                     nodes.append(node)
                     counts.append(len(first[-1]))
                 t, node = np.concatenate(first), np.repeat(np.array(nodes, np.int64), counts)
@@ -193,31 +196,33 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (place, node, t) sorted by place and node: (t, node) of cells, shingles that several nodes hold, each node once.
+    """Of rows (place, node, t) sorted by place and node: (t, node, times) of cells, shingles that several nodes hold, each node once.
 
     A cell is named after its nodes, so that two texts that share a thousand shingles meet in one cell and not in a thousand,
-    and a task hands on a name once. Cells that got one name by chance are one, which loses no pair. A shingle
-    known as frequent, whose nodes are in many tasks, keeps its own name.
+    and a task hands on a name once, with the number of its shingles. Cells that got one name by chance are one, which loses no
+    pair. A shingle known as frequent, whose nodes are in many tasks, keeps its own name.
     """
-    done: set[int] = set()
+    times: dict[int, int] = {}
+    cells: list[tuple[np.ndarray, np.ndarray]] = []
 
     def cut(place: np.ndarray, node: np.ndarray, t: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
         once = np.ones(len(place), bool)
         once[1:] = (place[1:] != place[:-1]) | (node[1:] != node[:-1])
         place, node, t, known = place[once], node[once], t[once], known[once]
         same = place[1:] == place[:-1]
-        several = known | np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        place, node, t, known = place[several], node[several], t[several], known[several]
+        several = ~known & (np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        alone = pa.array(t[known]), pa.array(node[known]), pa.array(np.ones(int(known.sum()), np.int64))
+        place, node = place[several], node[several]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
         sizes = np.diff(np.append(first, len(place)))
         names = np.add.reduceat(mix(node.view(np.uint64)), first).view(np.int64) if len(first) else first
-        new = known[first]
-        for i in np.flatnonzero(~new).tolist():
-            if (name := int(names[i])) not in done:
-                done.add(name)
-                new[i] = True
-        new = np.repeat(new, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(np.where(known, t, np.repeat(names, sizes))[new]), pa.array(node[new])], ["t", "node"])
+        new = np.zeros(len(first), bool)
+        for i, name in enumerate(names.tolist()):
+            new[i] = name not in times
+            times[name] = times.get(name, 0) + 1
+        wide = np.repeat(new, sizes)
+        cells.append((np.repeat(names, sizes)[wide], node[wide]))
+        return pa.RecordBatch.from_arrays(list(alone), ["t", "node", "times"])
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -233,6 +238,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(tuple(c[last:] for c in columns))
     if held:
         yield cut(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    for names, node in cells:
+        count = np.array([times[name] for name in names.tolist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node), pa.array(count)], ["t", "node", "times"])
+
+
+def shared_cells(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(t, node) of the cells, of the nodes that can be similar to another.
+
+    Such a node shares at least 1 + m // EVIDENCE of its early shingles, m being the size of the smallest set it can be similar to.
+    Most nodes share a few by chance, or a passage: they are as many as pairs of documents, and are not handed on.
+    """
+    early = early_shingles(docs, common_shingles(docs))
+    shared = early.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_shared, "t bigint, node bigint, times bigint")
+    shared = written(shared.groupBy("t", "node").agg(F.sum("times").alias("times")))
+    least = F.expr(f"1 + ((size * {PART} + {WHOLE - 1}) div {WHOLE}) div {EVIDENCE}")
+    counts = shared.groupBy("node").agg(F.sum("times").alias("times")).join(nodes.select("node", "size"), "node")
+    made = written(shared.join(counts.filter(F.col("times") >= least), "node", "left_semi").select("t", "node"))
+    discard(shared)
+    return made
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,9 +421,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     is joined by those that hold; cells with more to propose go on, with more each time, until none is left out.
     Every link is verified on the whole sets. A round's links are joined to the roots so far, not to all links again.
     """
-    early = early_shingles(docs, common_shingles(docs))
-    shared = early.repartition("place").sortWithinPartitions("place", "node").mapInArrow(_shared, "t bigint, node bigint")
-    shared = written(shared.distinct())
+    shared = shared_cells(docs, nodes)
     centres = shared.groupBy("t").agg(F.min_by("node", F.xxhash64("node", F.pmod("t", F.lit(CENTRES)))).alias("centre"))
     near = shared.join(written(centres), "t").filter(F.col("centre") != F.col("node"))
     near = near.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()

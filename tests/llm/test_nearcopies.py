@@ -114,3 +114,20 @@ def test_texts_that_share_many_shingles_meet_in_one_cell(spark):
     for name, n in zip(made["t"].to_pylist(), made["node"].to_pylist(), strict=True):
         cells.setdefault(name, []).append(n)
     assert sorted(cells.values()) == [[1, 2], [1, 2, 6], [1, 3, 4]] and cells[-7] == [1, 2, 6]
+
+
+def test_only_nodes_that_share_enough_are_handed_on(spark):
+    """Texts with a passage in common, or pieces of two others, met in cells before; pairs at the limit still do."""
+    rng = random.Random(5)
+    line = " ".join(f"l{i}" for i in range(16))
+    made = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(120)) for _ in range(60)]
+    rows = [(i, f"{text} {line}") for i, text in enumerate(made)]
+    rows += [(100 + i, f"{text} {line} " + " ".join(f"n{i}x{k}" for k in range(33))) for i, text in enumerate(made[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    outlines = nearcopies.with_outlines(docs).cache()
+    cells = nearcopies.shared_cells(docs, outlines.drop("doc_id"))
+    found = {r.doc_id for r in outlines.join(cells.select("node").distinct(), "node").collect()}
+    assert found == {0, 1, 2, 3, 4, 100, 101, 102, 103, 104}
+    sizes = {r.doc_id: r["size"] for r in outlines.collect()}
+    assert (sizes[0], sizes[100]) == (132, 165) and 5 * 132 == 4 * 165
+    assert nearcopies.group(docs).select("root").distinct().count() == 60
