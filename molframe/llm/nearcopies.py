@@ -34,6 +34,8 @@ HELD_PAIRS = 1 << 18
 BITS_STEP = 1 << 16
 # Bits that tell where sets are made which of them are needed.
 BITMAP = 1 << 25
+# Bytes of text whose sets are made at once: they bound a worker's memory only.
+PIECE = 1 << 20
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -70,7 +72,7 @@ def _mapped(docs: DataFrame, keep: list[str], text_column: str, schema: str, col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", PIECE):
                 made = columns(shingle_sets(part.column(len(keep))))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], full.names)
         release()
@@ -88,11 +90,6 @@ def _nodes(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([_node(s) for s in sets], pa.int64())
 
 
-def with_nodes(docs: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
-    """``keep`` columns and ``node``, the name of the row's shingle set."""
-    return _mapped(docs, keep, text_column, "node bigint", lambda sets: [_nodes(sets)])
-
-
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several sampled rows hold, sorted, and how many rows hold each."""
     rows = docs.count()
@@ -136,14 +133,14 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def with_outlines(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size, parity bits and fingerprint of the shingle set of each row."""
+def with_outlines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, node, size, parity bits and fingerprint of the shingle set of each row."""
 
     def columns(sets: list[np.ndarray]) -> list[pa.Array]:
         prints = pa.array([set_fingerprint(s) for s in sets], pa.int64())
         return [_nodes(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), prints]
 
-    return _mapped(docs, ["doc_id"], "text", "node bigint, size int, odd binary, fp bigint", columns)
+    return _mapped(docs, [*keep], "text", "node bigint, size int, odd binary, fp bigint", columns)
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -173,7 +170,7 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
         keys, times = held.value
         done: set[int] = set()
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", PIECE):
                 first, nodes, counts = [np.zeros(0, np.uint64)], [], []
                 for s in shingle_sets(part.column(0)):
                     if (node := _node(s)) in done:
@@ -191,6 +188,7 @@ def early_shingles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
                 for low in range(0, len(t), 1 << 16):
                     some = slice(low, low + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(node[some]), pa.array(t[some].view(np.int64), mask=~known[some])], ["place", "node", "t"])
+        release()
 
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, "place bigint, node bigint, t bigint")
 
@@ -241,6 +239,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for names, node in cells:
         count = np.array([times[name] for name in names.tolist()], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(node), pa.array(count)], ["t", "node", "times"])
+    del times, cells
+    release()
 
 
 def shared_cells(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -464,23 +464,28 @@ def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, root) of every row: rows have one root if links of similarity PART/WHOLE or more join them.
+    """(doc_id, print, node, root) of every row: rows have one root if links of similarity PART/WHOLE or more join them.
 
     Words are blank-separated and lower-cased in A-Z. Texts of equal shingle sets are joined first, so copies cost one row
-    each; texts without words are one group.
+    each; texts without words are one group. ``print`` is Spark's hash of the text.
     """
-    rows = written(with_outlines(docs.select("doc_id", "text")))
+    rows = written(with_outlines(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), ("doc_id", "print")))
     nodes = written(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "odd", "fp"))))
     roots = similar_roots(docs, nodes)
     discard(nodes)
-    return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    named = rows.select("doc_id", "print", "node").join(roots, "node", "left")
+    return named.select("doc_id", "print", "node", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group, with all its columns; of equal ids and sets, any one."""
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "node")
-    chosen = group(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_set"))
-    packed = docs.select(F.struct(*docs.columns).alias("_kept"), F.col("doc_id").alias("_doc"), "text")
-    marked = with_nodes(packed, ["_kept", "_doc"])
-    kept = marked.join(chosen, (F.col("node") == F.col("_set")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_doc", "node"]).select("_kept.*")
+    """The row with the smallest doc_id of each group, with all its columns; of equal ids and texts, any one.
+
+    A row is told by its id and the hash of its text, so that whole rows are not sent through Python, and are shuffled once.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "node", "print")
+    chosen = group(docs).groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.print")
+    doc = [F.col("doc_id").isNull().alias("_missing"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_doc")]
+    packed = docs.select(F.struct(*docs.columns).alias("_kept"), *doc, F.xxhash64("text").alias("_print"))
+    key = ["_missing", "_doc", "_print"]
+    kept = packed.join(chosen.select(*doc, F.col("print").alias("_print")), key, "left_semi")
+    return kept.dropDuplicates(key).select("_kept.*")

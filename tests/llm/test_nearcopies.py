@@ -131,3 +131,19 @@ def test_only_nodes_that_share_enough_are_handed_on(spark):
     sizes = {r.doc_id: r["size"] for r in outlines.collect()}
     assert (sizes[0], sizes[100]) == (132, 165) and 5 * 132 == 4 * 165
     assert nearcopies.group(docs).select("root").distinct().count() == 60
+
+
+def test_whole_rows_are_not_sent_through_python_again(spark, expected):
+    """The last pass sent each text twice to a worker, in its row and beside it, and shuffled the rows that were left twice."""
+    made, _, _, label = expected
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = nearcopies.keep_one(frame)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    least = {}
+    for (doc_id, text), g in zip(made, label, strict=True):
+        least.setdefault(g, []).append((doc_id is None, doc_id or 0, text or ""))
+    rows = [(r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()]
+    assert len(rows) == len(least)
+    for row in rows:
+        own = next(g for g in least.values() if row in g)
+        assert row[:2] == min(own)[:2]
