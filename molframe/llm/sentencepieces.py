@@ -23,6 +23,8 @@ LONGEST_WORD = 96
 STEP_CELLS = 1 << 21
 CACHED_WORDS = 400_000
 MEMO_SLOTS = 1 << 21
+# Ids whose bytes are gathered at once.
+DECODED_AT_ONCE = 1 << 16
 # Kinds of model and of piece in the model format, and what an unknown character costs a unigram path.
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -374,11 +376,15 @@ class Decoder:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - before, sizes)].tobytes()
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """The texts of consecutive id lists that begin at ``at``; bytes that do not form a character are replaced."""
-        sizes = self.sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        raw = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        raw = b"".join([self._bytes(ids[low : low + DECODED_AT_ONCE]) for low in range(0, len(ids), DECODED_AT_ONCE)])
         texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[at[:-1]], ends[at[1:]], strict=True))
         return [t[1:] if t.startswith(" ") else t for t in texts]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,3 +182,18 @@ def test_long_texts_are_encoded_in_cuts(monkeypatch):
     monkeypatch.setattr(packing, "_LONG", 50)
     for text in (t for _, t, *_ in brute.rows() if t):
         assert packing._encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+
+
+def test_decoding_gathers_a_bounded_number_of_bytes_at_once():
+    """The places of all bytes of a run of texts were three arrays of 64-bit numbers, 24 times the text."""
+    table = [b"", "é".encode(), b" ab", b"cdef", b"x"]
+    decoder = sentencepieces.Decoder(table)
+    ids = np.random.default_rng(4).integers(0, 5, 400_000).astype("<i4")
+    at = np.array([0, 3, 3, sentencepieces.DECODED_AT_ONCE + 5, len(ids)])
+    tracemalloc.start()
+    found = decoder.decode(ids, at)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    raw = [b"".join(table[i] for i in ids[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert found == [t.removeprefix(" ") for t in raw]
+    assert peak < 12 * 2**20
