@@ -155,23 +155,25 @@ def near_words(words: DataFrame, least_letters: int = LEAST_LETTERS) -> DataFram
 
     All words have ``least_letters`` code points or more. Words meet on equal signatures; those that share one only by
     chance are dropped by their edit distance. Signatures that many words share are split by Spark's skew join, so no
-    group must fit a task.
+    group must fit a task. Spark sizes the signatures like the stored words, thirty times too low, so both sides are merged
+    and none is sent to the driver.
     """
     left = with_signatures(words, least_letters // 2)
     right = left.select("sig", F.col("word").alias("other"))
-    pairs = left.join(right, "sig").filter("word < other AND abs(length(word) - length(other)) <= 1 AND levenshtein(word, other, 1) = 1")
+    pairs = left.join(right.hint("merge"), "sig").filter("word < other AND abs(length(word) - length(other)) <= 1 AND levenshtein(word, other, 1) = 1")
     return pairs.select(F.col("word").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _rooted(forms: DataFrame) -> DataFrame:
     """(word, root) of words that have a form: forms are followed to the last, twice as far in each round.
 
-    A form is at least FORM_FACTOR times as frequent as its word, so there is no circle and few rounds.
+    A form is at least FORM_FACTOR times as frequent as its word, so there is no circle and few rounds. Stored tables are
+    merged, here and below: Spark sizes them by their compressed files, which would bring too much to the driver.
     """
     steps = written(forms.select("word", F.col("form").alias("root")))
     while True:
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        joined = written(steps.join(onward, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        joined = written(steps.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         steps = joined.select("word", "root")
         if joined.filter("moved").isEmpty():
             return steps
@@ -188,12 +190,12 @@ def variant_groups(counts: DataFrame, least_count: int = LEAST_COUNT, factor: in
     known = written(counts.filter((F.col("n") >= least_count) & (F.length("word") >= least_letters)))
     pairs = written(near_words(known, least_letters))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    ranked = both.join(known.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    ranked = both.join(known.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = ranked.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    matched = known.join(best, "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= factor * F.col("n"), -F.col("best.less")))
+    matched = known.join(best.hint("merge"), "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= factor * F.col("n"), -F.col("best.less")))
     named = written(matched.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("form_n").isNotNull(), F.col("best.near")).alias("form"), "form_n"))
     roots = _rooted(named.filter("form IS NOT NULL"))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_report(docs: DataFrame) -> DataFrame:

@@ -201,6 +201,17 @@ def test_a_crowd_of_anagrams_and_long_words(spark):
     assert found == {w: len(near[w]) for w in words}
 
 
+def test_no_join_of_the_spelling_report_goes_through_the_driver(spark, monkeypatch):
+    """A table of few compressed bytes may hold many words, each of which gets thirty signatures."""
+    plans, write = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df: plans.append(df) or write(df))
+    frame = spark.createDataFrame([("abcdefgh", 500), ("abcdefg", 20), ("abcdefgi", 5), ("zzzzzzz", 9)], "word string, n long")
+    found = spelling.variant_groups(frame)
+    assert {r.word: r.root for r in found.collect()} == {"abcdefgh": "abcdefgh", "abcdefg": "abcdefgh", "abcdefgi": "abcdefgh", "zzzzzzz": "zzzzzzz"}
+    texts = [d._jdf.queryExecution().executedPlan().toString() for d in (*plans, found)]
+    assert sum("SortMergeJoin" in x for x in texts) >= 4 and not any("Broadcast" in x for x in texts)
+
+
 def test_signatures_of_near_multisets_meet():
     rng = random.Random(1)
     for _ in range(300):
